@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
 1. Voters. On a bounded sample of labelled training rows, words and word beginnings are counted in toxic and clean texts
-   (in Spark); those far likelier in toxic texts become voters: exact words are lexicon voters, beginnings are pattern
-   voters. A voter says "toxic" where it occurs and abstains elsewhere; one more voter says "clean" where none occurs.
+   (in Spark); those that nearly always stand in toxic texts, more often than chance lets any
+   of them, become voters: exact words are lexicon voters, beginnings (that occur,
+   are frequent, or are frequent and repeated) are pattern voters. A voter says "toxic" where it occurs and abstains elsewhere; one more voter says "clean" where none occurs.
 2. Label model. Over the sample's votes, a generative model with the true label hidden estimates by EM how often each
    voter speaks in toxic and in clean texts. Voters that speak together more than the label explains are correlated; their
    evidence is discounted by the correlations, so that a word and its beginnings count about once.
@@ -37,22 +38,35 @@ MAX_TRAIN = 30_000
 MAX_VOTERS = 256
 MAX_FEATURES = 1024
 THRESHOLD = 0.7
-PREFIXES = (3, 4, 5, 6)
+MIN_PRECISION = 0.9  # of the sampled texts with a feature, the share that is toxic
+PREFIXES = (3, 4, 5, 6, 7)
+RATE = 0.01  # of the words of a text: a beginning is frequent from here
 FLUSH = 300_000
 MEMO = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    """The word itself and, with a star, its beginnings."""
-    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+def beginnings(word: str) -> list[str]:
+    return [word[:k] for k in PREFIXES if len(word) > k]
+
+
+def marks(start: str, n: int, words: int) -> list[str]:
+    """What a beginning that n of the words have stands for: it occurs, it is frequent, it is frequent and repeated."""
+    if n < RATE * words:
+        return [f"{start}*"]
+    return [f"{start}*", f"{start}*%"] if n < 2 else [f"{start}*", f"{start}*%", f"{start}*%%"]
 
 
 def text_features(text: str | None) -> set[str]:
-    found: set[str] = set()
-    for w in set(_LETTERS.findall((text or "").lower())):
-        found.update(features(w))
+    counts = Counter(_LETTERS.findall((text or "").lower()))
+    words, starts = counts.total(), Counter()
+    for w, n in counts.items():
+        for s in beginnings(w):
+            starts[s] += n
+    found = set(counts)
+    for s, n in starts.items():
+        found.update(marks(s, n, words))
     return found
 
 
@@ -65,18 +79,27 @@ class Model:
     voters: list[str]
     accuracies: dict[str, float]
 
+    def __post_init__(self) -> None:
+        self.starts = {f.rstrip("%")[:-1] for f in self.weights if f.rstrip("%").endswith("*")}
+
     def score(self, text: str | None, memo: dict[str, tuple[str, ...]]) -> float:
-        hit: set[str] = set()
-        for w in set(_LETTERS.findall((text or "").lower())):
+        """memo: the beginnings of known words that have a weight; bounded, and kept from text to text."""
+        weights, found = self.weights, _LETTERS.findall((text or "").lower())
+        starts: Counter = Counter()
+        z = [self.intercept]
+        for w, n in Counter(found).items():
+            if w in weights:
+                z.append(weights[w])
             got = memo.get(w)
             if got is None:
-                got = tuple(f for f in features(w) if f in self.weights)
+                got = tuple(s for s in beginnings(w) if s in self.starts)
                 if len(memo) < MEMO:
                     memo[w] = got
-            if got:
-                hit.update(got)
-        z = self.intercept + math.fsum(self.weights[f] for f in hit)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+            for s in got:
+                starts[s] += n
+        for s, n in starts.items():
+            z.extend(weights.get(f, 0.0) for f in marks(s, n, len(found)))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, math.fsum(z)))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -153,7 +176,7 @@ def label_model(votes: np.ndarray, said: np.ndarray, n_rows: int, a0: np.ndarray
     return q, a, b
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, rounds: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, rounds: int = 800, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels over a sparse 0/1 matrix, by Adam on the whole sample."""
     w = np.zeros(k + 1)
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -172,10 +195,15 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model | N
     pos, neg = sizes.get(True, 0), sizes.get(False, 0)
     if not pos or not neg:
         return None
-    counts = sample.mapInPandas(_count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
-    strong = counts.where(F.col("p") >= max(3, round(pos / 200))).withColumn("odds", odds).where(F.col("odds") >= math.log(4))
-    best = strong.withColumn("rank", F.col("odds") * F.sqrt("p")).orderBy(F.desc("rank"), "feature").limit(MAX_FEATURES).collect()
+    counts = cut(sample.mapInPandas(_count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("q")).where("p > 0"))
+    prior = pos / (pos + neg)
+    p, q = F.col("p"), F.col("q")
+    surprise = p * F.log(p / (p + q) / prior) + F.when(q > 0, q * F.log(q / (p + q) / (1 - prior))).otherwise(0.0)
+    odds = F.log((p + 0.5) / (pos + 1)) - F.log((q + 0.5) / (neg + 1))
+    telling = counts.where(p >= MIN_PRECISION * (p + q)).withColumns({"surprise": surprise, "odds": odds})
+    # a bar that chance would let about one of all counted features pass
+    bar = math.log(max(2, counts.count()))
+    best = telling.where(F.col("surprise") >= bar).orderBy(F.desc("surprise"), "feature").limit(MAX_FEATURES).collect()
     if not best:
         return None
     names = [r["feature"] for r in best]
@@ -183,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model | N
     n = len(got)
     rows = np.repeat(np.arange(n), [len(h) for h in got])
     cols = np.concatenate([np.asarray(h, dtype=np.int64) for h in got]) if len(rows) else np.zeros(0, dtype=np.int64)
-    voters = np.array([i for i, r in enumerate(best) if r["odds"] >= math.log(8)][:MAX_VOTERS] or [0])
+    voters = np.arange(min(len(best), MAX_VOTERS))
     place = np.full(len(names), -1)
     place[voters] = np.arange(len(voters))
     vote = place[cols] >= 0
