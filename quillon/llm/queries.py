@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import decontaminate, mixing, sharding, simhash, tokens, toxicity
 from .common import table
 
 
@@ -49,13 +49,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "hits.n_words", "hits.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op2_simhash": op2_simhash,
-    "op3_mixing": op3_mixing,
-    "op6_sharding": op6_sharding,
-    "op8_decontamination": op8_decontamination,
-}
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,6 +76,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
+    "op6_sharding": op6_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op9_tokens": op9_tokens,
+}
+
 ORACLES: dict[str, str] = {
     "op8_decontamination": _OP8_SQL,
 }
