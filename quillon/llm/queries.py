@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, tokens, toxicity
+from . import decontaminate, html, mixing, sharding, simhash, tokens, toxicity
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.select("page_id", "url", html.main_text_column(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def shard_keys() -> list:
     return [F.col("doc_id"), sharding.text_crc(F.col("text"))]
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_html": op4_html,
     "op6_sharding": op6_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
