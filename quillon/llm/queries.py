@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, mixing, sharding, simhash, tokens, toxicity
+from . import chat, decontaminate, html, mixing, sharding, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -19,9 +19,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = simhash.groups(docs)
-    ids = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(ids, "root").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = simhash.component_ids(docs)
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +34,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", html.main_text_column(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = topk.top_k(rows, topk.scaled(F.col("embedding")), F.col("vec_id") % 20 == 0, "vec_id", k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def shard_keys() -> list:
     return [F.col("doc_id"), sharding.text_crc(F.col("text"))]
 
@@ -47,6 +52,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    records = chat.records_of_rows(rows).withColumns({"prompt": F.lit(None).cast("string"), "response": F.lit(None).cast("string")})
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(None).cast(records.schema["messages"].dataType).alias("messages"), F.lit(said).alias("prompt"), F.lit(said).alias("response"))
+    turns = chat.canonical_turns(records.unionByName(extra), ["messages", "prompt", "response"])
+    written = chat.format_turns(turns).select("conv_id", "layout", "formatted", "loss_spans")
+    back, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    joined = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = written.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -86,11 +104,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_html": op4_html,
+    "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
+    "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
 }
 
+_OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+_OP7_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?<SYS>>|unk>|pad>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS esc FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(role) + 1 + length(esc) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_chat": _OP7_SQL,
+    "op5_topk": _OP5_SQL,
     "op8_decontamination": _OP8_SQL,
 }
