@@ -127,18 +127,33 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, tie, fp, root) of every row: ``tie`` is the text's hash, rows of one ``root`` are one group."""
-    prints = cut(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie"), fingerprint_column(F.col(text)).alias("fp")))
-    roots = components(links(prints.select("fp").distinct()))
-    return prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, tie, fp) of every row, computed once; ``tie`` is the text's hash."""
+    return cut(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie"), fingerprint_column(F.col(text)).alias("fp")))
+
+
+def group_minimum(prints: DataFrame, value: Column) -> DataFrame:
+    """(fp, root, least) of every distinct fingerprint: the smallest ``value`` among the rows of its group.
+
+    Rows are brought down to their fingerprints before anything is shuffled by group, so large groups of copies are light.
+    """
+    own = prints.groupBy("fp").agg(F.min(value).alias("own"))
+    roots = components(links(prints.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    own = own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return own.join(own.groupBy("root").agg(F.min("own").alias("least")), "root").select("fp", "root", "least")
+
+
+def component_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, fp, component_id) of every row: the smallest id of the rows that links lead to."""
+    prints = fingerprints(docs, text, doc_id)
+    return prints.join(group_minimum(prints, F.col("id")), "fp").select("id", "fp", F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The caller's rows without near-duplicates: the smallest id of each group stays."""
     i, none, tie, row = temp_name(docs, "id", "none", "tie", "row")
-    first = groups(docs, text, doc_id).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first"))
-    first = first.select(F.coalesce("first.id", F.lit(0)).alias(i), F.col("first.none").alias(none), F.col("first.tie").alias(tie))
+    least = group_minimum(fingerprints(docs, text, doc_id), F.struct(F.col("id").isNull().alias("none"), "id", "tie"))
+    first = least.select("root", "least").distinct().select(F.coalesce("least.id", F.lit(0)).alias(i), F.col("least.none").alias(none), F.col("least.tie").alias(tie))
     tagged = docs.withColumns({i: F.coalesce(F.col(doc_id), F.lit(0)), none: F.col(doc_id).isNull(), tie: F.xxhash64(text)})
     kept = tagged.join(first, [i, none, tie], "left_semi")
     once = F.row_number().over(Window.partitionBy(i, none, tie).orderBy(F.lit(0)))
