@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, mixing, sharding, simhash, tokens, topk, toxicity
+from . import chat, decontaminate, html, licenses, mixing, sharding, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -81,6 +81,14 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a tree, its documents lie in folders of 64 ids below folders of 4096."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    steps = [F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))]
+    files = docs.select("doc_id", "text", F.concat_ws("/", *steps).alias("path"))
+    return licenses.scan_licenses(files, "text", "path").drop("text")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP8_SQL = rf"""
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
+    "op10_licenses": op10_licenses,
 }
 
 _OP5_SQL = """
