@@ -12,7 +12,7 @@ joined with the declared ones, and the deepest wins; rows are then joined by dir
 Defined results: a NULL or empty text has no license and score 0; ties between licenses go to the smaller name, between
 blocks to the earlier one; if files of one directory declare different licenses, the higher score wins, then the smaller
 name; a NULL path has no directory and inherits nothing; equal rows are scanned as rows of their own; an empty table gives
-no rows; columns of the caller are kept, and the working columns avoid their names.
+no rows; columns of the caller but the text are kept, and the working columns avoid their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import temp_name
+from .common import cut, temp_name
 
 THRESHOLD = 0.6
 
@@ -156,7 +156,7 @@ def license_file_name(path: Column) -> Column:
 
 
 def scan_licenses(files: DataFrame, text: str, path: str, file_share: float = 0.5) -> DataFrame:
-    """The caller's columns, with ``license``, ``score`` and ``line`` (the row's own), ``license_file``, ``effective``
+    """The caller's columns but the text, with ``license``, ``score`` and ``line`` (the row's own), ``license_file``, ``effective``
     (own or inherited) and ``inherited_from`` (the directory).
 
     A row is a license file by its name, or if at least ``file_share`` of its words stand in licensing blocks.
@@ -164,13 +164,14 @@ def scan_licenses(files: DataFrame, text: str, path: str, file_share: float = 0.
     hit, folder, up = temp_name(files, "hit", "folder", "up")
     scanned = files.withColumns({hit: scan_column(F.col(text)), folder: parent(F.col(path))})
     own = scanned.withColumns({"license": F.col(f"{hit}.license"), "score": F.col(f"{hit}.score"), "line": F.col(f"{hit}.line")})
-    own = own.withColumn("license_file", F.col("license").isNotNull() & (license_file_name(F.col(path)) | (F.col(f"{hit}.share") >= file_share))).drop(hit)
+    own = own.withColumn("license_file", F.col("license").isNotNull() & (license_file_name(F.col(path)) | (F.col(f"{hit}.share") >= file_share)))
+    own = cut(own.drop(hit, text))  # read three times below, scanned once
     declared = own.where("license_file").where(F.col(folder).isNotNull()).groupBy(F.col(folder).alias(up)).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).getField("license").alias("declared"))
-    folders = files.select(parent(F.col(path)).alias(folder)).where(F.col(folder).isNotNull()).distinct()
+    folders = own.select(folder).where(F.col(folder).isNotNull()).distinct()
     steps = F.split(F.col(folder), "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("at")))
     # an absolute path has an empty first step, so its root is found twice
     chains = folders.select(folder, F.inline(above)).select(folder, "depth", F.col("at").alias(up))
     nearest = chains.join(declared, up).groupBy(folder).agg(F.max(F.struct("depth", F.col(up).alias("at"), "declared")).alias("n"))
     joined = own.join(nearest, folder, "left")
-    return joined.select(*files.columns, "license", "score", "line", "license_file", F.coalesce("license", "n.declared").alias("effective"), F.when(F.col("license").isNull(), F.col("n.at")).alias("inherited_from"))
+    return joined.select(*[c for c in files.columns if c != text], "license", "score", "line", "license_file", F.coalesce("license", "n.declared").alias("effective"), F.when(F.col("license").isNull(), F.col("n.at")).alias("inherited_from"))

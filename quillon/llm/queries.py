@@ -86,7 +86,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     steps = [F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))]
     files = docs.select("doc_id", "text", F.concat_ws("/", *steps).alias("path"))
-    return licenses.scan_licenses(files, "text", "path").drop("text")
+    return licenses.scan_licenses(files, "text", "path")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
