@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import temp_name
+
 TURN, END = "<|turn|>", "<|end|>\n"
 #: Strings that mark structure in this template or in common ones.
 CONTROL = r"(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?<SYS>>|unk>|pad>)|(\[)(/?INST\])"
@@ -108,18 +110,21 @@ def canonical_turns(df: DataFrame, fields: list[str], layouts: tuple[Layout, ...
     """The caller's columns, with ``layout`` (name or NULL) and the canonical turns."""
     have = {f for f in fields}
     usable = [x for x in layouts if {p.split("[")[0].split(".")[0] for p in x.paths} <= have]
+    (mark,) = temp_name(df, "fingerprint")
     name = turns = None
     for x in usable:
-        hit = F.col("__fingerprint") == x.fingerprint
+        hit = F.col(mark) == x.fingerprint
         name = F.when(hit, F.lit(x.name)) if name is None else name.when(hit, F.lit(x.name))
         turns = F.when(hit, _turns(x)) if turns is None else turns.when(hit, _turns(x))
-    marked = df.withColumn("__fingerprint", fingerprint(df, fields))
-    return marked.withColumns({"layout": name if name is not None else F.lit(None).cast("string"), out: turns if turns is not None else F.lit(None).cast("array<struct<role:string,text:string>>")}).drop("__fingerprint")
+    marked = df.withColumn(mark, fingerprint(df, fields))
+    return marked.withColumns({"layout": name if name is not None else F.lit(None).cast("string"), out: turns if turns is not None else F.lit(None).cast("array<struct<role:string,text:string>>")}).drop(mark)
 
 
 def parse_records(df: DataFrame, json: str) -> DataFrame:
     """Records as JSON text become columns of RECORD."""
-    return df.withColumn("__r", F.from_json(json, RECORD)).select(*df.columns, "__r.*")
+    (r,) = temp_name(df, "r")
+    names = {f.name for f in RECORD.fields}
+    return df.withColumn(r, F.from_json(json, RECORD)).select(*[c for c in df.columns if c not in names], f"{r}.*")
 
 
 def records_of_rows(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

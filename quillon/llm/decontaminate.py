@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import temp_name
+
 WINDOW = 13
 COVERAGE = 20  # contaminated from one hit word in so many
 PART_WORDS = 150_000
@@ -209,7 +211,8 @@ def contaminated(hits: str = "hits", coverage: int = COVERAGE):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents below the coverage limit, with the caller's columns."""
-    return scan(docs, benchmark, out="__hits", **options).where(~contaminated("__hits")).drop("__hits")
+    (mark,) = temp_name(docs, "hits")
+    return scan(docs, benchmark, out=mark, **options).where(~contaminated(mark)).drop(mark)
 
 
 def remove_spans(text: str, spans: list[list[int]]) -> str:

@@ -161,7 +161,7 @@ def scan_licenses(files: DataFrame, text: str, path: str, file_share: float = 0.
 
     A row is a license file by its name, or if at least ``file_share`` of its words stand in licensing blocks.
     """
-    hit, folder, up = temp_name(files, "hit", "folder", "up")
+    hit, folder, up, near = temp_name(files, "hit", "folder", "up", "near")
     scanned = files.withColumns({hit: scan_column(F.col(text)), folder: parent(F.col(path))})
     own = scanned.withColumns({"license": F.col(f"{hit}.license"), "score": F.col(f"{hit}.score"), "line": F.col(f"{hit}.line")})
     own = own.withColumn("license_file", F.col("license").isNotNull() & (license_file_name(F.col(path)) | (F.col(f"{hit}.share") >= file_share)))
@@ -172,6 +172,7 @@ def scan_licenses(files: DataFrame, text: str, path: str, file_share: float = 0.
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("at")))
     # an absolute path has an empty first step, so its root is found twice
     chains = folders.select(folder, F.inline(above)).select(folder, "depth", F.col("at").alias(up))
-    nearest = chains.join(declared, up).groupBy(folder).agg(F.max(F.struct("depth", F.col(up).alias("at"), "declared")).alias("n"))
+    nearest = chains.join(declared, up).groupBy(folder).agg(F.max(F.struct("depth", F.col(up).alias("at"), "declared")).alias(near))
     joined = own.join(nearest, folder, "left")
-    return joined.select(*[c for c in files.columns if c != text], "license", "score", "line", "license_file", F.coalesce("license", "n.declared").alias("effective"), F.when(F.col("license").isNull(), F.col("n.at")).alias("inherited_from"))
+    own_names = ("license", "score", "line", "license_file", "effective", "inherited_from")
+    return joined.select(*[c for c in files.columns if c != text and c not in own_names], "license", "score", "line", "license_file", F.coalesce("license", f"{near}.declared").alias("effective"), F.when(F.col("license").isNull(), F.col(f"{near}.at")).alias("inherited_from"))

@@ -8,7 +8,7 @@ first, and rows are only numbered inside a cell, so a hot source is spread over
 
 Defined results: a NULL text has size 0 and takes no words; a NULL source is a source of its own and comes last; equal
 rows are drawn as rows of their own; sources whose texts are all empty keep each document once; an empty table gives no
-rows; columns of the caller are kept, and the working columns avoid their names.
+rows; columns of the caller are kept unless an output has their name, and the working columns avoid their names.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def size_class(size: Column) -> Column:
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, n_salts: int = N_SALTS, seed: int = SEED) -> DataFrame:
     """The caller's rows with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix emits the row)."""
-    no_src, src, cls, salt, size, tie = temp_name(df, "no_src", "src", "cls", "salt", "size", "tie")
+    no_src, src, cls, salt, size, tie, base, part, shift, whole, goal, rank = temp_name(df, "no_src", "src", "cls", "salt", "size", "tie", "base", "share", "shift", "whole", "goal", "rank")
     salted = F.coalesce(F.conv(F.substring(F.md5(F.col(doc_id).cast("string")), 1, 4), 16, 10).cast("int") % n_salts, F.lit(0))
     rows = df.withColumns({no_src: F.col(source).isNull(), src: F.coalesce(F.col(source), F.lit("")), size: word_count(F.col(text))}).withColumns({cls: size_class(F.col(size)), salt: salted, tie: F.xxhash64(text)})
     cells = rows.groupBy(F.col(no_src).alias("no_src"), F.col(src).alias("src"), F.col(cls).alias("cls"), F.col(salt).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words"))
@@ -64,14 +64,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     cell_base = cells.select("no_src", "src", "cls", "salt", sum_n(Window.partitionBy("no_src", "src", "cls").orderBy("salt")).alias("cell_base"))
     plan = cell_base.join(class_base, ["no_src", "src", "cls"]).join(targets, ["no_src", "src"])
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    plan = plan.select(F.col("no_src").alias(no_src), F.col("src").alias(src), F.col("cls").alias(cls), F.col("salt").alias(salt), (F.col("class_base") + F.col("cell_base")).alias("__base"), share.alias("__share"), F.col("shift").alias("__shift"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rank = F.row_number().over(Window.partitionBy(no_src, src, cls, salt).orderBy(F.col(doc_id).asc_nulls_last(), tie))
-    drawn = rows.withColumn("__rank", rank).join(plan, [no_src, src, cls, salt])
-    upto = lambda k: F.floor((F.col("__base") + F.col("__rank") - k) * F.col("__share") + F.col("__shift"))
+    plan = plan.select(F.col("no_src").alias(no_src), F.col("src").alias(src), F.col("cls").alias(cls), F.col("salt").alias(salt), (F.col("class_base") + F.col("cell_base")).alias(base), share.alias(part), F.col("shift").alias(shift), F.col("source_size").alias(whole), F.col("target").alias(goal))
+    place = F.row_number().over(Window.partitionBy(no_src, src, cls, salt).orderBy(F.col(doc_id).asc_nulls_last(), tie))
+    drawn = rows.withColumn(rank, place).join(plan, [no_src, src, cls, salt])
+    upto = lambda k: F.floor((F.col(base) + F.col(rank) - k) * F.col(part) + F.col(shift))
     keep = [F.col(c) for c in df.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    return drawn.select(*keep, F.col(size).alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (upto(0) - upto(1)).cast("long").alias("copies"))
+    return drawn.select(*keep, F.col(size).alias("size"), F.col(whole).alias("source_size"), F.col(goal).alias("target"), (upto(0) - upto(1)).cast("long").alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it was drawn."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy")
+    (copy,) = temp_name(mixed, "copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(copy)

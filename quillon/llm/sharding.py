@@ -7,7 +7,7 @@ gathered or broadcast; the records are numbered slot by slot, so no task holds a
 
 Defined results: a NULL text has no bytes and checksum 0; an empty one likewise, apart from the fixed overhead both
 pay; a NULL doc_id hashes like any other value; equal rows share a slot but get numbers of their own; an empty table
-gives no rows; columns of the caller are kept, and the working columns avoid their names.
+gives no rows; columns of the caller are kept unless an output has their name, and the working columns avoid their names.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def place(df: DataFrame, keys: list[Column], slot_map: DataFrame, n_slots: int =
     """Records with ``virtual_slot`` and ``shard``; the map has at most ``n_slots`` rows, so it is broadcast."""
     (slot,) = temp_name(df, "slot")
     small = slot_map.select(F.col("slot").alias(slot), "shard")
-    return df.withColumn(slot, slot_of(keys, n_slots)).join(F.broadcast(small), slot).withColumnRenamed(slot, "virtual_slot")
+    return df.drop("shard", "virtual_slot").withColumn(slot, slot_of(keys, n_slots)).join(F.broadcast(small), slot).withColumnRenamed(slot, "virtual_slot")
 
 
 def number(df: DataFrame, keys: list[Column], slot_map: DataFrame, order: list[Column], n_slots: int = N_SLOTS) -> DataFrame:
@@ -102,5 +102,5 @@ def number(df: DataFrame, keys: list[Column], slot_map: DataFrame, order: list[C
     vslot, base, rank = temp_name(df, "vslot", "base", "rank")
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     small = slot_map.withColumn(base, F.coalesce(F.sum("rows").over(before), F.lit(0))).select(F.col("slot").alias(vslot), "shard", base)
-    ranked = df.withColumn(vslot, slot_of(keys, n_slots)).withColumn(rank, F.row_number().over(Window.partitionBy(vslot).orderBy(*order)))
+    ranked = df.withColumn(vslot, slot_of(keys, n_slots)).drop("shard", "slot", "virtual_slot").withColumn(rank, F.row_number().over(Window.partitionBy(vslot).orderBy(*order)))
     return ranked.join(F.broadcast(small), vslot).withColumn("slot", (F.col(base) + F.col(rank) - 1).cast("long")).drop(base, rank).withColumnRenamed(vslot, "virtual_slot")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, temp_name
 
 MAX_TRAIN = 30_000
 MAX_VOTERS = 256
@@ -238,4 +238,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents scored below the threshold, with the caller's columns."""
-    return score(docs, fit(docs, labels), out="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    (mark,) = temp_name(docs, "toxicity")
+    return score(docs, fit(docs, labels), out=mark).where(F.col(mark) < threshold).drop(mark)
