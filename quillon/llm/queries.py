@@ -139,7 +139,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+# Sources reach the water level by the closed form; documents are numbered in the order of half octave, salt and id.
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+c AS (SELECT *, 2 * length(bin(size)) + CASE WHEN size >= 2 THEN CAST(substr(bin(size), 2, 1) AS INTEGER) ELSE 0 END AS cls,
+      coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 16, 0) AS salt FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)) AS w FROM c GROUP BY source),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (ORDER BY 3 * source_size / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * max(level) OVER ()) AS target,
+      CAST('0x' || substr(md5(CASE WHEN source IS NULL THEN '?' ELSE '=' || source END || '#17'), 1, 8) AS BIGINT) / 4294967296.0 AS shift FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, salt, doc_id NULLS LAST) AS k FROM c),
+m AS (SELECT r.*, t.source_size, t.target, shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0 END AS share FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST((floor(k * share + shift) - floor((k - 1) * share + shift)) * size AS BIGINT) AS taken,
+       CAST(floor(k * share + shift) - floor((k - 1) * share + shift) AS BIGINT) AS copies FROM m
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_mixing": _OP3_SQL,
     "op7_chat": _OP7_SQL,
     "op5_topk": _OP5_SQL,
     "op8_decontamination": _OP8_SQL,
