@@ -86,6 +86,19 @@ def pair_roll(agg: Callable[[Column, Column], Column], a: Column | str, b: Colum
     return F.when((F.count(x).over(w) >= (n if least is None else least)) & moves, agg(x, y).over(w))
 
 
+def corr(a: Column, b: Column) -> Column:
+    """Correlation as an aggregate of pairs, NULL where either side does not vary (the built-in one raises there)."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    moves = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(moves, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
+def roll_corr(a: Column | str, b: Column | str, n: int, least: int | None = None) -> Column:
+    part = lambda agg: pair_roll(agg, a, b, n, least)
+    return part(F.covar_pop) / F.nullif(part(lambda x, _: F.stddev_pop(x)) * part(lambda _, y: F.stddev_pop(y)), F.lit(0.0))
+
+
 def skew(c: Column | str, n: int, least: int | None = None) -> Column:
     """Bias-corrected skewness."""
     k = F.count(as_col(c)).over(frame(n))
@@ -133,14 +146,15 @@ def ceil_bucket(c: Column | str, q: int, keys: tuple[str, ...], tie: str = "asse
     """Buckets 1..q: the ceiling of rank * q / n."""
     c = as_col(c)
     n = F.count(c).over(cross(keys))
-    return F.least(F.lit(q), F.greatest(F.lit(1), F.ceil(first_rank(c, keys, tie) * q / n))).cast("int")
+    return F.when(c.isNotNull(), F.least(F.lit(q), F.greatest(F.lit(1), F.ceil(first_rank(c, keys, tie) * q / n)))).cast("int")
 
 
 def edge_bucket(c: Column | str, q: int, keys: tuple[str, ...], tie: str = "asset_id") -> Column:
     """Buckets 0..q-1 between interpolated quantile edges of the ranks; one value alone is bucket 0."""
     c = as_col(c)
     n, r = F.count(c).over(cross(keys)), first_rank(c, keys, tie)
-    return F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(div((r - 1) * q, (n - 1).cast("double"))) - 1)).cast("int")
+    place = F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(div((r - 1) * q, (n - 1).cast("double"))) - 1))
+    return F.when(c.isNotNull(), place).cast("int")
 
 
 def clip(c: Column | str, low: float | None = None, high: float | None = None) -> Column:

@@ -35,8 +35,7 @@ def merged(factors: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]
 
 
 def _corr(a: str, b: str) -> Column:
-    moves = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(moves & (F.count(F.lit(1)) >= 2), F.corr(F.when(F.lit(True), F.col(a)), F.col(b)))
+    return w.corr(F.col(a), F.col(b))
 
 
 def information_coefficient(factors: DataFrame, labels: DataFrame, p_values: bool = True) -> DataFrame:
@@ -46,7 +45,7 @@ def information_coefficient(factors: DataFrame, labels: DataFrame, p_values: boo
     out = ranked.groupBy(*keys).agg(_corr("factor_value", "forward_return").alias("ic"), _corr("fr", "rr").alias("rank_ic"), F.count(F.lit(1)).alias("count"))
     for name in ("ic", "rank_ic"):
         r = F.col(name)
-        sure = F.abs(r) >= 1
+        sure = F.abs(r) >= 1 - 1e-12  # one, up to rounding
         t = F.when(F.col("count") >= 3, F.when(sure, F.signum(r) * 1e12).otherwise(r * F.sqrt((F.col("count") - 2) / F.nullif(1 - r * r, F.lit(0.0)))))
         out = out.withColumn(f"{name}_t_stat", t)
         if p_values:

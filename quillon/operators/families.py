@@ -236,7 +236,7 @@ def rsrs(bars: DataFrame) -> DataFrame:
     """Slope of highs on lows, its score over its own past, and the score weighted by the fit."""
     df = w.steps(
         bars,
-        {"rsrs_slope_18": w.pair_roll(F.regr_slope, "high", "low", 18), "fit": w.pair_roll(F.corr, "high", "low", 18)},
+        {"rsrs_slope_18": w.pair_roll(F.regr_slope, "high", "low", 18), "fit": w.roll_corr("high", "low", 18)},
         {"rsrs_zscore_18_60": div(F.col("rsrs_slope_18") - w.mean("rsrs_slope_18", 60, 20), w.std("rsrs_slope_18", 60, 20))},
         {"rsrs_right_skew_18_60": F.col("rsrs_zscore_18_60") * F.pow("fit", F.lit(2)), "rsrs_reversal_18_60": -F.col("rsrs_zscore_18_60")},
     )
@@ -249,7 +249,7 @@ def formula_features(bars: DataFrame) -> DataFrame:
     df = w.steps(
         bars,
         {"return_1d": w.change(p), "amount_change": w.change("amount"), "momentum_20": w.change(p, 20), "momentum_60": w.change(p, 60), "adv20": w.mean("amount", 20, 5), "hl": div("high", "low") - 1, "range_position_20": div(p - low20, high20 - low20)},
-        {"down": F.when(F.col("return_1d").isNotNull(), F.least("return_1d", F.lit(0.0))), "amount_trend_20": div(w.mean("amount", 5, 3), "adv20") - 1, "pv_corr_20": w.pair_roll(F.corr, "return_1d", "amount_change", 20, 10), "hl_range_20": w.mean("hl", 20, 5), "log_adv20": F.log(F.when(F.col("adv20") > 0, F.col("adv20")))},
+        {"down": F.when(F.col("return_1d").isNotNull(), F.least("return_1d", F.lit(0.0))), "amount_trend_20": div(w.mean("amount", 5, 3), "adv20") - 1, "pv_corr_20": w.roll_corr("return_1d", "amount_change", 20, 10), "hl_range_20": w.mean("hl", 20, 5), "log_adv20": F.log(F.when(F.col("adv20") > 0, F.col("adv20")))},
         {"downside_vol_20": w.std("down", 20, 5), "pv_divergence_20": -F.col("momentum_20") * F.col("amount_trend_20")},
     )
     return df.withColumns({"adv20_rank": w.pct_rank("adv20"), "downside_rank": w.pct_rank("downside_vol_20"), "hl_rank": w.pct_rank("hl_range_20")})

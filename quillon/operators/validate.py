@@ -62,8 +62,7 @@ def pair_correlations(curves: DataFrame, keys: list[str], case: str) -> DataFram
     """Correlation of every pair of return series of a key over their shared dates."""
     b = curves.select(*keys, "date", F.col(case).alias("other"), F.col("period_return").alias("other_return"))
     both = curves.select(*keys, "date", case, "period_return").join(b, [*keys, "date"]).where(F.col(case) < F.col("other"))
-    moves = (F.min("period_return") < F.max("period_return")) & (F.min("other_return") < F.max("other_return"))
-    return both.groupBy(*keys, case, "other").agg(F.when(moves, F.corr("period_return", "other_return")).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy(*keys, case, "other").agg(w.corr(F.col("period_return"), F.col("other_return")).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
 def jaccard(selections: DataFrame, keys: list[str], case: str) -> DataFrame:
