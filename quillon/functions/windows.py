@@ -149,10 +149,14 @@ def ceil_bucket(c: Column | str, q: int, keys: tuple[str, ...], tie: str = "asse
     return F.when(c.isNotNull(), F.least(F.lit(q), F.greatest(F.lit(1), F.ceil(first_rank(c, keys, tie) * q / n)))).cast("int")
 
 
-def edge_bucket(c: Column | str, q: int, keys: tuple[str, ...], tie: str = "asset_id") -> Column:
-    """Buckets 0..q-1 between interpolated quantile edges of the ranks; one value alone is bucket 0."""
+def edge_bucket(c: Column | str, q: int, keys: tuple[str, ...], tie: str = "asset_id", at_most: bool = False) -> Column:
+    """Buckets 0..q-1 between interpolated quantile edges of the ranks; one value alone is bucket 0.
+
+    at_most: no more buckets than values.
+    """
     c = as_col(c)
     n, r = F.count(c).over(cross(keys)), first_rank(c, keys, tie)
+    q = F.least(F.lit(q), n) if at_most else F.lit(q)
     place = F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(div((r - 1) * q, (n - 1).cast("double"))) - 1))
     return F.when(c.isNotNull(), place).cast("int")
 

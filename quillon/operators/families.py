@@ -24,14 +24,16 @@ KEYS = ["asset_id", "market", "date"]
 class Family:
     """features: adds columns to the bars. gate: the SQL condition of a score. scores: name -> {feature: weight}.
 
-    ``fill``: whether a missing z-score counts as 0. ``extra``: further conditions of single scores.
+    ``fill``: whether a missing z-score counts as 0, for all features or for some. ``bucket_size``: scores become fractional
+    ranks within (at most five) buckets of that column. ``extra``: further conditions of single scores.
     ``averages``: names that are the mean of the present ones among others.
     """
 
     features: Callable[[DataFrame], DataFrame]
     gate: str
     scores: dict[str, dict[str, float]]
-    fill: bool = False
+    fill: bool | frozenset[str] = False
+    bucket_size: str | None = None
     extra: dict[str, str] | None = None
     averages: dict[str, tuple[str, ...]] | None = None
     cross: tuple[str, ...] = w.CROSS
@@ -49,13 +51,18 @@ class Family:
         used = sorted({f for n in base for f in self.scores[n]})
         df = self.features(bars)
         df = df.withColumns({f"z_{f}": w.zscore(f, self.cross) for f in used})
-        z = (lambda f: F.coalesce(f"z_{f}", F.lit(0.0))) if self.fill else (lambda f: F.col(f"z_{f}"))
+        filled = lambda f: f in self.fill if isinstance(self.fill, frozenset) else self.fill
+        z = lambda f: F.coalesce(f"z_{f}", F.lit(0.0)) if filled(f) else F.col(f"z_{f}")
         score = {}
         for n in base:
             terms = [weight * z(f) for f, weight in self.scores[n].items()]
             allowed = f"({self.gate})" + (f" and ({self.extra[n]})" if self.extra and n in self.extra else "")
             score[n] = F.when(F.expr(allowed), sum(terms[1:], terms[0]))
         df = df.withColumns(score)
+        if self.bucket_size:
+            whole = {n: F.col(n).isNotNull() & F.col(self.bucket_size).isNotNull() for n in base}
+            df = df.withColumns({f"b_{n}": w.edge_bucket(F.when(whole[n], F.col(self.bucket_size)), 5, self.cross, at_most=True) for n in base})
+            df = df.withColumns({n: w.pct_rank(F.when(F.col(f"b_{n}").isNotNull(), F.col(n)), (*self.cross, f"b_{n}")) for n in base})
         means = {a: w.row_mean_present(*parts) for a, parts in (self.averages or {}).items() if a in wanted}
         return (df.withColumns(means) if means else df).select(*KEYS, *wanted)
 
