@@ -26,7 +26,7 @@ class Family:
 
     ``fill``: whether a missing z-score counts as 0, for all features or for some. ``bucket_size``: scores become fractional
     ranks within (at most five) buckets of that column. ``extra``: further conditions of single scores.
-    ``averages``: names that are the mean of the present ones among others.
+    ``carry``: features to give out as well. ``averages``: names that are the mean of the present ones among others.
     """
 
     features: Callable[[DataFrame], DataFrame]
@@ -37,6 +37,7 @@ class Family:
     extra: dict[str, str] | None = None
     averages: dict[str, tuple[str, ...]] | None = None
     cross: tuple[str, ...] = w.CROSS
+    carry: tuple[str, ...] = ()
 
     @property
     def names(self) -> tuple[str, ...]:
@@ -64,7 +65,7 @@ class Family:
             df = df.withColumns({f"b_{n}": w.edge_bucket(F.when(whole[n], F.col(self.bucket_size)), 5, self.cross, at_most=True) for n in base})
             df = df.withColumns({n: w.pct_rank(F.when(F.col(f"b_{n}").isNotNull(), F.col(n)), (*self.cross, f"b_{n}")) for n in base})
         means = {a: w.row_mean_present(*parts) for a, parts in (self.averages or {}).items() if a in wanted}
-        return (df.withColumns(means) if means else df).select(*KEYS, *wanted)
+        return (df.withColumns(means) if means else df).select(*KEYS, *self.carry, *wanted)
 
 
 def rsi(n: int = 14) -> dict[str, Column]:

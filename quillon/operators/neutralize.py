@@ -39,14 +39,15 @@ def ols_residual(df: DataFrame, y: str, xs: list[str], keys: tuple[str, ...] = w
     for x in xs:
         whole = whole & F.col(x).isNotNull()
     cols = [y, *xs]
-    means = df.where(whole).groupBy(*keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in cols], F.count(F.lit(1)).alias("n_rows"))
-    centred = df.join(means, list(keys), "left").withColumns({f"c_{c}": F.when(whole, F.col(c) - F.col(f"mean_{c}")) for c in cols})
+    over = w.cross(keys)
+    centred = df.withColumns({f"c_{c}": F.when(whole, F.col(c)) for c in cols})
+    centred = centred.withColumns({f"c_{c}": F.col(f"c_{c}") - F.avg(f"c_{c}").over(over) for c in cols} | {"n_rows": F.count(f"c_{y}").over(over)})
     dot = lambda a, b: F.sum(F.col(f"c_{a}") * F.col(f"c_{b}"))
     sums = centred.groupBy(*keys).agg(F.array(*[dot(a, b) for a in xs for b in xs]).alias("xx"), F.array(*[dot(a, y) for a in xs]).alias("xy"))
     beta = sums.select(*keys, _solver(len(xs), on_singular)("xx", "xy").alias("beta"))
     fitted = centred.join(beta, list(keys), "left")
     value = F.col(f"c_{y}") - sum(F.col("beta")[i] * F.col(f"c_{x}") for i, x in enumerate(xs))
-    return fitted.withColumn(out, F.when(F.col("n_rows") >= least, value)).drop("beta", "n_rows", *[f"mean_{c}" for c in cols], *[f"c_{c}" for c in cols])
+    return fitted.withColumn(out, F.when(F.col("n_rows") >= least, value)).drop("beta", "n_rows", *[f"c_{c}" for c in cols])
 
 
 def rank_residual(df: DataFrame, y: str, x: str, keys: tuple[str, ...] = w.CROSS) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import windows as w
-from quillon.operators import asof, evaluate, families, labels, neutralize, portfolio, quality, technical, validate
+from quillon.operators import asof, evaluate, families, inputs, labels, neutralize, portfolio, quality, residuals, technical, validate
 from quillon.sources import store
 from quillon.streaming import upsert
 
@@ -50,6 +50,9 @@ FAMILIES = {
     "shock": families.LIQUIDITY_SHOCK.compute,
     "breadth": lambda b: families.industry_breadth(b, 2),
     "leaders": lambda b: families.industry_leaders(b, least=2),
+    "theme": lambda b: inputs.theme_breadth(b, n=20),
+    "residual_risk": lambda b: residuals.residual_risk(b, 4, 40, 20, 8, 20, 10),
+    "skip": inputs.skip_momentum,
 }
 
 
