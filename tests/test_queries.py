@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.plans import core_queries, factor_queries, input_queries, landing_queries, portfolio_queries, research_queries, residual_queries  # noqa: F401
+from quillon.plans import core_queries, factor_queries, input_queries, landing_queries, portfolio_queries, report_queries, research_queries, residual_queries  # noqa: F401
 from quillon.plans import registry
 
 from .compare import connect, spark_rows, sql_rows
