@@ -33,10 +33,10 @@ def capacity_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("market", "multiplier", F.round("breach_rate", 6).alias("breach_rate"), F.round("top_participation", 6).alias("top_participation"), "trades")
 
 
-@register("return_blocks", f"WITH {_CURVE}, y AS (SELECT market, CAST(year(date) AS INTEGER) AS year, product(1 + r) AS g, count(*) AS periods FROM curve GROUP BY ALL) SELECT market, year, periods, round(g - 1, 6) + 0.0 AS year_return, round(ln(product(g) OVER (PARTITION BY market) / g), 6) + 0.0 AS log_without_year FROM y")
+@register("return_blocks", f"WITH {_CURVE}, y AS (SELECT market, CAST(year(date) AS INTEGER) AS year, product(1 + r) AS g, count(*) AS periods FROM curve GROUP BY ALL) SELECT market, year, periods, round(g - 1, 6) + 0.0 AS year_return, round(product(g) OVER (PARTITION BY market) / g - 1, 6) + 0.0 AS return_without_year FROM y")
 def return_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = reports.return_blocks(portfolio.equity(trades_of(spark, sf_dir)[1], ["market"]), ["market"])
-    return b.select("market", "year", "periods", (F.round("year_return", 6) + F.lit(0.0)).alias("year_return"), (F.round(F.log1p("return_without_year"), 6) + F.lit(0.0)).alias("log_without_year"))
+    return b.select("market", "year", "periods", (F.round("year_return", 6) + F.lit(0.0)).alias("year_return"), (F.round("return_without_year", 6) + F.lit(0.0)).alias("return_without_year"))
 
 
 @register("regimes", f"WITH {_BENCH}, e AS (SELECT *, product(1 + r) OVER (PARTITION BY market ORDER BY date ROWS UNBOUNDED PRECEDING) AS q FROM b), m AS (SELECT *, q / nullif(lag(q, 8) OVER (PARTITION BY market ORDER BY date), 0) - 1 AS mom FROM e) SELECT market, CASE WHEN mom > 0.05 THEN 'bull' WHEN mom < -0.05 THEN 'bear' ELSE 'sideways' END AS regime, count(*) AS dates FROM m WHERE mom IS NOT NULL GROUP BY ALL")
