@@ -2,8 +2,9 @@
 
 A page is parsed into a light tree. Parts that are never article text are cut off by their tag, role or name. Every
 paragraph then passes points for its length and its commas to its ancestors (all to the parent, half to the grandparent,
-less further up); an element's sum is discounted by its link density. The best container is kept, with those siblings
-that score well themselves or read like prose, and its blocks are written out in page order.
+less further up); an element's sum is discounted by its link density. From the best container one climbs to the outermost
+article or main part around it, or without one as far as the other children are not links; everything below is written
+out in page order, short or long, but for menus. Articles side by side are one text.
 
 Defined results: NULL, empty or text-free HTML gives an empty text; plain text without tags is its own article; unclosed
 and stray tags follow the usual implied ends; character references are decoded, broken ones stay as they are; equal
@@ -36,6 +37,7 @@ KEEP_TAGS = frozenset("html body article main".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Blocks that are parts of a text, never its container.
 PARTS = frozenset("p pre h1 h2 h3 h4 h5 h6 hr li dt dd tr td th tbody thead tfoot ul ol dl caption option figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: For a start tag: open elements that it ends, up to the elements that stop the search.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -63,15 +65,15 @@ def _names(value: str) -> set[str]:
 
 
 def _junk(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """2: cut off whatever it holds; 1: cut off unless it holds the article; 0: keep."""
-    if tag in JUNK_TAGS:
+    """2: cut off whatever it holds; 1: cut off unless it holds the article, or is the head of one; 0: keep."""
+    if tag in JUNK_TAGS and tag != "header":
         return 2
     if not attrs or tag in KEEP_TAGS:
-        return 0
+        return int(tag == "header")
     a = dict(attrs)
     if "hidden" in a or (a.get("aria-hidden") or "") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or ""):
         return 2
-    if (a.get("role") or "").lower() in JUNK_ROLES:
+    if tag == "header" or (a.get("role") or "").lower() in JUNK_ROLES:
         return 1
     names = _names(f"{a.get('class') or ''} {a.get('id') or ''}")
     return int(bool(names & JUNK_NAMES) and not names & HOLDS or bool(names & {"comment", "comments", "cookie", "cookies", "sidebar"} and not names & {"has", "with", "no", "without"}))
@@ -137,18 +139,19 @@ def _order(root: Node) -> list[Node]:
 
 
 def prune(root: Node) -> None:
-    """Cut off junk, but never the elements around an article or a main part by name alone."""
+    """Cut off junk, but never the elements around an article or a main part by name alone, nor the heads of articles."""
     holds = set()
     for n in _order(root):
         if n.tag in ("article", "main"):
             while n is not None and id(n) not in holds:
                 holds.add(id(n))
                 n = n.parent
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or not (c.junk == 2 or c.junk == 1 and id(c) not in holds)]
-        stack.extend(c for c in n.children if isinstance(c, Node))
+        n, inside = stack.pop()
+        inside = inside or n.tag in ("article", "main")
+        n.children = [c for c in n.children if isinstance(c, str) or inside and c.tag == "header" and c.junk < 2 or not (c.junk == 2 or c.junk == 1 and id(c) not in holds)]
+        stack.extend((c, inside) for c in n.children if isinstance(c, Node))
 
 
 def measure(root: Node) -> list[Node]:
@@ -191,8 +194,8 @@ def _menu(n: Node) -> bool:
     return n.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and n.length > 0 and n.linked > 0.6 * n.length and sum(isinstance(c, Node) for c in n.children) >= 3
 
 
-def blocks(root: Node) -> list[str]:
-    """The texts of the blocks below a node, in page order."""
+def blocks(root: Node, without: frozenset[int] = frozenset()) -> list[str]:
+    """The texts of the blocks below a node, in page order, but for the nodes of these ids."""
     found: list[str] = []
     piece: list[str] = []
 
@@ -213,7 +216,7 @@ def blocks(root: Node) -> list[str]:
             piece.append(c)
         elif c.tag == "br":
             piece.append(" ")
-        elif not _menu(c):
+        elif id(c) not in without and not _menu(c):
             if c.tag not in INLINE:
                 end()
             stack.append((c, iter(c.children)))
@@ -221,6 +224,28 @@ def blocks(root: Node) -> list[str]:
     return found
 
 
+def _linked(n: Node) -> bool:
+    return n.length > 0 and n.linked > 0.5 * n.length and n.tag not in HEADINGS
+
+
+def _whole(best: Node) -> tuple[Node, frozenset[int]]:
+    """The node that holds the whole text around the best one, and the ids of those of its children that don't belong to it."""
+    top, n = None, best
+    while n.parent is not None:
+        if n.tag in ("article", "main"):
+            top = n
+        n = n.parent
+    if top is not None:
+        if top.tag == "main" or not any(c is not top and isinstance(c, Node) and c.tag == "article" for c in top.parent.children):
+            return top, frozenset()
+        return top.parent, frozenset(id(c) for c in top.parent.children if isinstance(c, Node) and (c.tag not in ("article", "main", *HEADINGS) or _linked(c)) and c is not top)
+    at, out = best, frozenset()
+    while at.parent is not None and not out:
+        out = frozenset(id(c) for c in at.parent.children if isinstance(c, Node) and c is not at and c.tag not in INLINE and _linked(c))
+        at = at.parent
+    return at, out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -230,17 +255,7 @@ def main_text(html: str | None) -> str:
     for n in measure(root)[::-1]:  # parents first: of equals, the outer one
         if n.tag not in INLINE and n.tag not in PARTS and n.score > best.score:
             best = n
-    if best.parent is None:
-        return " ".join(blocks(best))
-    kept = []
-    for c in best.parent.children:
-        if isinstance(c, str):
-            continue
-        density = c.linked / max(1, c.length)
-        prose = c.tag == "p" and (c.length > 80 and density < 0.25 or 0 < c.length <= 80 and density == 0)
-        if c is best or c.tag not in INLINE and c.score >= max(10, 0.2 * best.score) or prose and best.tag not in ("article", "main"):
-            kept.extend(blocks(c))
-    return " ".join(kept)
+    return " ".join(blocks(*_whole(best)))
 
 
 @F.pandas_udf(T.StringType())
