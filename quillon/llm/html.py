@@ -7,8 +7,8 @@ article or main part around it, or without one as far as the other children are
 out in page order, short or long, but for menus. Articles side by side are one text.
 
 Defined results: NULL, empty or text-free HTML gives an empty text; plain text without tags is its own article; unclosed
-and stray tags follow the usual implied ends; character references are decoded, broken ones stay as they are; equal
-pages give equal texts; an empty table gives no rows; columns of the caller are kept.
+and stray tags follow the usual implied ends; character references are decoded, broken ones stay as they are; declarations
+(<!...>, <![...>) end at the next ">"; equal pages give equal texts; an empty table gives no rows; columns of the caller are kept.
 """
 
 from __future__ import annotations
@@ -117,14 +117,14 @@ class Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)  # as in a browser, whatever follows "<!["; the standard parser raises
+
 
 def parse(html: str) -> Node:
     builder = Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # malformed declarations; what was read so far stands
-        pass
+    builder.feed(html)
+    builder.close()
     return builder.root
 
 
