@@ -5,8 +5,11 @@ the automaton keeps the length of the longest match that ends at each word. Wher
 last ``window`` words stand in a test item and are hit; items shorter than the window count where they occur whole. Spans
 of hit words can be removed, and documents are contaminated if the hit share reaches the coverage limit.
 
-Test items are cut into parts of at most ``PART_WORDS`` words, one automaton each, which go over the documents one
-after the other: what is broadcast stays bounded however many items there are.
+Test items are put into parts of at most ``PART_WORDS`` words by tasks, which write one automaton for each into the shared
+folder; longer items are cut into pieces that overlap by a window less a word, so that every window stays in one piece.
+Parts go over the documents one after the other. With several parts, documents and hits are written to the shared folder
+after each part but the last, and its broadcast is dropped before the next one is loaded: the driver and a worker hold one
+automaton at a time however many items there are, and the folder two copies of the documents.
 
 Defined results: a NULL or empty text has no words, no hits and is clean; an item without words never occurs; a NULL
 item id is never reported, but its words count as hits; equal items all count; an empty benchmark leaves every document
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import temp_name
+from .common import fresh_path, temp_name
 
 WINDOW = 13
 COVERAGE = 20  # contaminated from one hit word in so many
@@ -163,18 +167,42 @@ def merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def parts(benchmark: DataFrame, item_id: str, text: str, part_words: int = PART_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in parts of bounded size; the driver holds one part at a time."""
-    part, n = [], 0
-    for item, body in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("binary")).toLocalIterator():
-        seq = words(bytes(body) if body is not None else None)
-        if part and n + len(seq) > part_words:
-            yield part
-            part, n = [], 0
-        part.append((item, seq))
-        n += len(seq)
-    if part:
-        yield part
+def pieces(seq: list[bytes], most: int, window: int) -> Iterator[list[bytes]]:
+    """A long item in pieces that hold all its windows."""
+    most = max(most, window)
+    if len(seq) <= most:
+        yield seq
+        return
+    for a in range(0, len(seq) - window + 1, most - window + 1):
+        yield seq[a : a + most]
+
+
+def parts(benchmark: DataFrame, item_id: str, text: str, part_words: int = PART_WORDS, *, window: int = WINDOW) -> Iterator[Automaton]:
+    """The automata of parts of bounded size; tasks build them, the driver holds one at a time."""
+    spark = benchmark.sparkSession
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n = [], 0
+        for batch in batches:
+            for item, body in zip(batch["item"], batch["body"]):
+                for seq in pieces(words(body), part_words, window):
+                    if part and n + len(seq) > part_words:
+                        yield pd.DataFrame({"automaton": [pickle.dumps(Automaton(part, window))]})
+                        part, n = [], 0
+                    if seq:
+                        part.append((item, seq))
+                        n += len(seq)
+        if part:
+            yield pd.DataFrame({"automaton": [pickle.dumps(Automaton(part, window))]})
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("body"))
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    path = fresh_path(spark, "automata")
+    # few parts, as each is a pass over the documents: tasks get some parts' worth of bytes rather than less than one
+    items.repartition(max(1, size // (8 * part_words))).mapInPandas(build, "automaton binary").write.option("maxRecordsPerFile", 1).parquet(path)
+    for file in sorted(spark.read.schema("automaton binary").parquet(path).inputFiles()):
+        if row := spark.read.schema("automaton binary").parquet(file).first():
+            yield pickle.loads(row[0])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "hits") -> DataFrame:
@@ -182,9 +210,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     spark: SparkSession = docs.sparkSession
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
     done = docs.withColumn(out, F.lit(None).cast(kind))
-    found = parts(benchmark, item_id, item_text)
-    for items in itertools.chain([next(found, [])], found):
-        held = spark.sparkContext.broadcast(Automaton(items, window))
+    held, last = None, ""
+    for automaton in itertools.chain(parts(benchmark, item_id, item_text, window=window), [None]):
+        if automaton is None and held is not None:
+            break
+        if held is not None:  # write the hits of the part before
+            done.write.parquet(path := fresh_path(spark, "hits"))
+            held.unpersist()
+            if last:
+                where = spark._jvm.org.apache.hadoop.fs.Path(last)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            done, last = spark.read.parquet(path), path
+        held = spark.sparkContext.broadcast(automaton or Automaton([], window))
         done = done.withColumn(out, _scanner(held, kind)(F.col(text).cast("binary"), F.col(f"{out}.items"), F.col(f"{out}.spans")))
     return done
 
