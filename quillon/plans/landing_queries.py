@@ -43,6 +43,12 @@ def calendar_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.calendar_differences(b.where("market = 'ASIA'"), b.where("asset_id % 50 = 1"))
 
 
+@register("missing_sessions", f"WITH {s.BARS}, h AS (SELECT DISTINCT market, date FROM bars) SELECT market, date FROM (SELECT DISTINCT market FROM h) CROSS JOIN (SELECT DISTINCT date FROM h) EXCEPT SELECT market, date FROM h")
+def missing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every market against the calendar of all bars."""
+    return store.missing_sessions(panel.bars(spark, sf_dir))
+
+
 @register("available_from", f"WITH {s.BARS}, d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM (SELECT DISTINCT date FROM bars)) SELECT asset_id, market, date, coalesce(CAST(nx AS VARCHAR), '') AS available_date FROM bars JOIN d USING (date)")
 def available_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = panel.bars(spark, sf_dir)

@@ -105,6 +105,12 @@ def calendar_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where("in_a is null or in_b is null").select("date", F.when(F.col("in_b").isNull(), "first").otherwise("second").alias("only_in"))
 
 
+def missing_sessions(bars: DataFrame) -> DataFrame:
+    """For every market, the sessions of the whole table's calendar that it lacks."""
+    have = bars.select("market", "date").distinct()
+    return have.select("market").distinct().crossJoin(have.select("date").distinct()).join(have, ["market", "date"], "left_anti")
+
+
 def available_from(rows: DataFrame, calendar: DataFrame, on: str) -> DataFrame:
     """Rows with ``available_date``: the next session after theirs. The calendar is small and joined by date."""
     days = calendar.select("date").distinct()
