@@ -25,12 +25,15 @@ def asof_by_key(left: DataFrame, right: DataFrame, keys: list[str], left_on: str
 
 
 def asof_global(left: DataFrame, states: DataFrame, left_on: str, state_on: str, values: list[str]) -> DataFrame:
-    """The state in force on each left date. The state table has a row per date: it becomes intervals and is broadcast
-    by size, if it is small."""
-    until = F.lead(state_on).over(Window.partitionBy(F.lit(0)).orderBy(state_on))
-    spans = states.select(F.col(state_on).alias("as_of"), until.alias("__until"), *values)
-    hit = (left[left_on] >= spans["as_of"]) & (spans["__until"].isNull() | (left[left_on] < spans["__until"]))
-    return left.join(spans, hit, "left").drop("__until")
+    """The state in force on each left date, the largest one where a date has several.
+
+    Only distinct dates meet the states, in one ordered stream that the calendar bounds; rows are joined by date.
+    """
+    one = states.groupBy(F.col(state_on).alias("__from")).agg(F.max(F.struct(*values)).alias("__state"))
+    days = left.select(F.lit(0).alias("__all"), F.col(left_on).alias("__day")).distinct()
+    hit = asof_by_key(days, one.withColumn("__all", F.lit(0)), ["__all"], "__day", "__from", ["__state"])
+    picked = hit.select("__day", "as_of", *[F.col(f"__state.{v}").alias(v) for v in values])
+    return left.join(picked, left[left_on] == picked["__day"], "left").drop("__day")
 
 
 def session_after(events: DataFrame, bars: DataFrame, event_on: str, extra: int = 0, strict: bool = True) -> DataFrame:
