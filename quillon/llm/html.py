@@ -6,14 +6,23 @@ less further up); an element's sum is discounted by its link density. From the b
 article or main part around it, or without one as far as the other children are not links; everything below is written
 out in page order, short or long, but for menus. Articles side by side are one text.
 
+Names are read class by class: a class speaks of boilerplate if it has a word for it ("ad", "comments") and its other
+words only say where or in what ("container", "post"); "social-sciences" or "has-sidebar" do not. What is cut off by a
+soft tag (form, nav, aside, ...), a role or a name stays if it wraps the page's article: if it holds its largest main
+part, else its largest article, else its first h1, and half of the unlinked text outside comments with it (without any
+of these, four fifths of the text; a form half of it). Paragraphs and headings are never menus, nor is anything in an
+article.
+
 Defined results: NULL, empty or text-free HTML gives an empty text; plain text without tags is its own article; unclosed
 and stray tags follow the usual implied ends; character references are decoded, broken ones stay as they are; declarations
-(<!...>, <![...>) end at the next ">"; equal pages give equal texts; an empty table gives no rows; columns of the caller are kept.
+(<!...>, <![...>) end at the next ">"; equal pages give equal texts; an empty table gives no rows; columns of the caller
+are kept. The work is linear in the page, whatever its tags.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,96 +32,132 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
-JUNK_TAGS = frozenset("script style noscript template iframe frame object embed svg canvas math audio video map head title nav menu header footer aside form button select textarea input dialog datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Cut off whatever they hold.
+HARD_TAGS = frozenset("script style noscript template iframe frame object embed svg canvas audio video map head title button select textarea input label legend datalist".split())
+#: Cut off unless they wrap the article.
+SOFT_TAGS = frozenset("nav menu header footer aside form fieldset dialog".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Parts of class names and ids that mark boilerplate.
-JUNK_NAMES = frozenset("""nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adv advert adverts
-    advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter
-    subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply
-    discussion search pagination pager toolbar skip hidden copyright legal disclaimer""".split())
-#: Names of wrappers that hold the article itself, or only speak of such parts ("has-sidebar").
-HOLDS = frozenset("article body content main post entry story has with no without page wrapper container layout".split())
-KEEP_TAGS = frozenset("html body article main".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply discussion discussions".split())
+#: Words of class names and ids that mark boilerplate.
+JUNK_NAMES = COMMENT_NAMES | frozenset("""nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adv advert adverts
+    advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promoted banner cookie cookies consent gdpr notice notices
+    alert alerts popup popover modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending
+    search pagination pager toolbar skip hidden copyright legal disclaimer outbrain taboola""".split())
+#: Words beside them that only say where, in what or how.
+BESIDE = frozenset("""article articles post posts entry entries story stories page pages site main content contents body text container wrapper wrap inner outer box
+    block section area region zone slot unit module component panel bar strip row col column columns grid list lists item items link links group holder frame card
+    cards top bottom left right center middle upper lower side first last primary secondary global local mobile desktop sticky fixed floating inline button buttons
+    icon icons form field title heading message messages info image img media video logo policy law settings preferences manager warning accept close more you may
+    like also read next prev previous your our the and of in on to by js ui wp is google dfp gpt mpu leaderboard skyscraper rectangle billboard placement placeholder
+    native thread tree author meta avatar small large big mini full new latest recent odd even depth level parent children reply tools tool btn id no""".split())
+#: A class with such a word speaks of boilerplate that is elsewhere.
+SPEAKS_OF = frozenset("has with without no not open closed enabled disabled layout theme".split())
+#: Heads of articles are no page headers.
+HEADS = frozenset("header banner".split())
+OF_ARTICLE = frozenset("article post entry story content section chapter".split())
+#: As the id of a part of an article, such a word may as well be its subject.
+SUBJECTS = frozenset("discussion discussions notice notices alert alerts legal copyright disclaimer search sharing navigation social header footer subscription promotion recommended recommendations trending overlay banner menu menus reply consent".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Blocks that are parts of a text, never its container.
 PARTS = frozenset("p pre h1 h2 h3 h4 h5 h6 hr li dt dd tr td th tbody thead tfoot ul ol dl caption option figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: For a start tag: open elements that it ends, up to the elements that stop the search.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
-SCOPE = frozenset("html body table td th article section div blockquote ul ol li button".split())
+
+#: Marks of a node: whether one of these elements is open at it, counted from the nearest element that hides those outside.
+OPEN_P, OPEN_LI, OPEN_DT, OPEN_TR, OPEN_TD, OPEN_OPTION, IN_ARTICLE, IN_MAIN, IN_CODE, IN_LINK, IN_QUOTE = (1 << i for i in range(11))
+SETS = {"p": OPEN_P, "li": OPEN_LI, "dt": OPEN_DT, "dd": OPEN_DT, "tr": OPEN_TR, "td": OPEN_TD, "th": OPEN_TD, "option": OPEN_OPTION, "article": IN_ARTICLE, "main": IN_MAIN, "pre": IN_CODE, "code": IN_CODE, "a": IN_LINK, "blockquote": IN_QUOTE}
+HIDES: Counter = Counter()
+for _tags, _mark in (("html body table td th article section div blockquote ul ol li button", OPEN_P), ("ul ol menu", OPEN_LI), ("dl", OPEN_DT), ("table", OPEN_TR), ("tr table", OPEN_TD), ("select", OPEN_OPTION)):
+    for _t in _tags.split():
+        HIDES[_t] |= _mark
+#: For a start tag: the open elements that it ends.
+ENDS = {"li": OPEN_LI, "dt": OPEN_DT, "dd": OPEN_DT, "tr": OPEN_TR, "td": OPEN_TD, "th": OPEN_TD, "option": OPEN_OPTION} | dict.fromkeys(ENDS_P, OPEN_P)
+KEEP, SOFT, COMMENT, HARD = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "junk", "parent", "children", "score", "length", "linked")
+    __slots__ = ("tag", "junk", "parent", "children", "marks", "score", "length", "linked", "links", "prose", "plain")
 
-    def __init__(self, tag: str, parent: Node | None, junk: int = 0):
-        self.tag, self.parent, self.junk = tag, parent, junk
+    def __init__(self, tag: str, parent: Node | None, junk: int = KEEP, marks: int = 0):
+        self.tag, self.parent, self.junk, self.marks = tag, parent, junk, marks
         self.children: list[Node | str] = []
-        self.score, self.length, self.linked = 0.0, 0, 0
+        self.score, self.length, self.linked, self.links, self.prose, self.plain = 0.0, 0, 0, 0, False, 0
+
+
+def _words(name: str) -> set[str]:
+    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
 
 
-def _names(value: str) -> set[str]:
-    return set(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("-", " ").replace("_", " ").split())
+def _name_junk(name: str, subject: bool = False) -> int:
+    """What a class name or an id marks; ``subject``: it may be the subject of a part of an article."""
+    words = _words(name)
+    found = words & JUNK_NAMES
+    other = {w for w in words - found if len(w) > 1}
+    if not found or other & SPEAKS_OF or not other <= BESIDE or subject and found <= SUBJECTS:
+        return KEEP
+    if found <= HEADS and words & OF_ARTICLE:
+        return KEEP
+    return COMMENT if found & COMMENT_NAMES else SOFT
 
 
-def _junk(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """2: cut off whatever it holds; 1: cut off unless it holds the article, or is the head of one; 0: keep."""
-    if tag in JUNK_TAGS and tag != "header":
-        return 2
-    if not attrs or tag in KEEP_TAGS:
-        return int(tag == "header")
+def _junk(tag: str, attrs: list[tuple[str, str | None]], marks: int) -> int:
+    if tag in HARD_TAGS:
+        return HARD
+    found = KEEP
+    if tag in SOFT_TAGS and not (tag == "header" and marks & (IN_ARTICLE | IN_MAIN) or tag == "footer" and marks & IN_QUOTE):
+        found = SOFT
+    if not attrs or tag in ("html", "body"):
+        return found
     a = dict(attrs)
     if "hidden" in a or (a.get("aria-hidden") or "") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or ""):
-        return 2
-    if tag == "header" or (a.get("role") or "").lower() in JUNK_ROLES:
-        return 1
-    names = _names(f"{a.get('class') or ''} {a.get('id') or ''}")
-    return int(bool(names & JUNK_NAMES) and not names & HOLDS or bool(names & {"comment", "comments", "cookie", "cookies", "sidebar"} and not names & {"has", "with", "no", "without"}))
+        return HARD
+    if (a.get("role") or "").lower() in JUNK_ROLES:
+        found = SOFT
+    if not marks & IN_CODE:  # there, classes are those of syntax highlighters
+        names = [_name_junk(x) for x in (a.get("class") or "").split()]
+        if a.get("id") and tag not in HEADINGS:
+            names.append(_name_junk(a["id"], bool(marks & (IN_ARTICLE | IN_MAIN))))
+        found = max(found, *names, KEEP)
+    return found
 
 
 class Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("root", None)
+        self.open: Counter = Counter()
 
-    def _up_to(self, wanted: frozenset | set, stop: frozenset | set) -> None:
-        """Close the nearest open element of ``wanted``, unless one of ``stop`` is nearer."""
-        n = self.at
-        while n.parent is not None and n.tag not in wanted:
-            if n.tag in stop:
-                return
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+    def _close(self, n: Node) -> None:
+        """Close the open elements up to this one."""
+        while self.at is not n:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[n.tag] -= 1
+        self.at = n.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ENDS_P:
-            self._up_to({"p"}, SCOPE)
-        elif tag in IMPLIED:
-            self._up_to(*IMPLIED[tag])
-        node = Node(tag, self.at, _junk(tag, attrs))
+        ended = ENDS.get(tag, 0)
+        if self.at.marks & ended:
+            n = self.at
+            while not SETS.get(n.tag, 0) & ended:
+                n = n.parent
+            self._close(n)
+        outer = self.at.marks
+        node = Node(tag, self.at, _junk(tag, attrs, outer), outer & ~HIDES[tag] | SETS.get(tag, 0) if tag in HIDES else outer | SETS.get(tag, 0))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as in a browser, the slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        if self.open[tag] > 0:
+            n = self.at
+            while n.tag != tag:
+                n = n.parent
+            self._close(n)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -134,24 +179,44 @@ def _order(root: Node) -> list[Node]:
     while stack:
         n = stack.pop()
         nodes.append(n)
-        stack.extend(c for c in n.children if isinstance(c, Node))
+        stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
     return nodes
 
 
+def _around(n: Node | None) -> set[int]:
+    found = set()
+    while n is not None:
+        found.add(id(n))
+        n = n.parent
+    return found
+
+
 def prune(root: Node) -> None:
-    """Cut off junk, but never the elements around an article or a main part by name alone, nor the heads of articles."""
-    holds = set()
+    """Cut off junk, but not what wraps the article."""
     for n in _order(root):
-        if n.tag in ("article", "main"):
-            while n is not None and id(n) not in holds:
-                holds.add(id(n))
-                n = n.parent
-    stack = [(root, False)]
+        n.children = [c for c in n.children if isinstance(c, str) or c.junk != HARD]
+    nodes = _order(root)
+    for n in reversed(nodes):
+        own = 0 if n.marks & IN_LINK else sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        n.plain = own + sum(c.plain for c in n.children if isinstance(c, Node))
+    anchor = next((max(found, key=lambda n: n.plain) for tag in ("main", "article") if (found := [n for n in nodes if n.tag == tag and n.junk == KEEP])), None) or next((n for n in nodes if n.tag == "h1"), None)
+    around = _around(anchor)
+    total, stack = root.plain, [root]
     while stack:
-        n, inside = stack.pop()
-        inside = inside or n.tag in ("article", "main")
-        n.children = [c for c in n.children if isinstance(c, str) or inside and c.tag == "header" and c.junk < 2 or not (c.junk == 2 or c.junk == 1 and id(c) not in holds)]
-        stack.extend((c, inside) for c in n.children if isinstance(c, Node))
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                if c.junk == COMMENT and id(c) not in around:
+                    total -= c.plain
+                else:
+                    stack.append(c)
+
+    def wraps(n: Node) -> bool:
+        if anchor is None or n.tag == "form":
+            return n.plain > (0.5 if n.tag == "form" else 0.8) * total
+        return id(n) in around and n.plain > 0.5 * total
+
+    for n in nodes:
+        n.children = [c for c in n.children if isinstance(c, str) or c.junk == KEEP or wraps(c)]
 
 
 def measure(root: Node) -> list[Node]:
@@ -159,9 +224,11 @@ def measure(root: Node) -> list[Node]:
     nodes = _order(root)[::-1]
     for n in nodes:
         own = " ".join("".join(c if isinstance(c, str) else " " for c in n.children).split())
-        inline = [c for c in n.children if isinstance(c, Node)]
-        n.length = len(own) + sum(c.length for c in inline)
-        n.linked = n.length if n.tag == "a" else sum(c.linked for c in inline)
+        inner = [c for c in n.children if isinstance(c, Node)]
+        n.length = len(own) + sum(c.length for c in inner)
+        n.linked = n.length if n.tag == "a" else sum(c.linked for c in inner)
+        n.links = (n.tag == "a") + sum(c.links for c in inner)
+        n.prose = n.tag in ("p", "blockquote", "pre", "figure") and n.length > 0 or any(c.prose for c in inner)
     for n in nodes:
         if n.tag in INLINE:
             continue
@@ -191,7 +258,7 @@ def measure(root: Node) -> list[Node]:
 
 
 def _menu(n: Node) -> bool:
-    return n.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and n.length > 0 and n.linked > 0.6 * n.length and sum(isinstance(c, Node) for c in n.children) >= 3
+    return n.tag in ("ul", "ol", "dl", "table", "div", "section") and n.links >= 3 and n.linked >= 0.8 * n.length and not n.prose and not n.marks & IN_ARTICLE
 
 
 def blocks(root: Node, without: frozenset[int] = frozenset()) -> list[str]:
@@ -225,7 +292,7 @@ def blocks(root: Node, without: frozenset[int] = frozenset()) -> list[str]:
 
 
 def _linked(n: Node) -> bool:
-    return n.length > 0 and n.linked > 0.5 * n.length and n.tag not in HEADINGS
+    return n.length > 0 and n.linked > 0.5 * n.length and n.tag not in HEADINGS and n.tag != "p"
 
 
 def _whole(best: Node) -> tuple[Node, frozenset[int]]:
@@ -236,7 +303,9 @@ def _whole(best: Node) -> tuple[Node, frozenset[int]]:
             top = n
         n = n.parent
     if top is not None:
-        if top.tag == "main" or not any(c is not top and isinstance(c, Node) and c.tag == "article" for c in top.parent.children):
+        if top.tag == "main":
+            return top, frozenset(id(c) for c in top.children if isinstance(c, Node) and c.tag not in INLINE and _linked(c) and not c.marks & IN_ARTICLE)
+        if not any(c is not top and isinstance(c, Node) and c.tag == "article" for c in top.parent.children):
             return top, frozenset()
         return top.parent, frozenset(id(c) for c in top.parent.children if isinstance(c, Node) and (c.tag not in ("article", "main", *HEADINGS) or _linked(c)) and c is not top)
     at, out = best, frozenset()
