@@ -8,14 +8,17 @@ then visits the rings whose bound reaches the floor, and stops there; no skipped
 result is exact.
 
 Pivots are fitted on a bounded sample (``SAMPLE`` vectors with the smallest hash of the id); every vector is indexed.
-Rings are packed into blocks of at most ``BLOCK_ROWS`` rows, hot rings are split over several blocks, and queries meet
-a block in chunks of at most about ``QUERY_ROWS``: all groups are bounded. What the driver holds and broadcasts is one
-row per block.
+A pivot has at most ``MOST_RINGS`` rings; the last one holds all vectors beyond. Rings are packed into blocks of at most
+``BLOCK_ROWS`` rows, and hot rings are split over several blocks. Queries are put into chunks of about ``QUERY_ROWS`` that
+lie in neighbouring rings. A block is sent to the chunks that have a query which visits it, and to no other, so all
+groups are bounded and pruned blocks are not copied. What the driver holds and broadcasts is one row per ring, at most
+``N_PIVOTS`` * ``MOST_RINGS``. visited_share() tells how much of a full scan the bounds leave.
 
 Defined results: vectors that are NULL, empty, or hold NULL, NaN or infinite components take no part; shorter vectors
 count as padded with zeros; ties go to the smaller id, and equal (id, vector) rows are candidates of their own; a row
 is no candidate of its own query, nor is any row of the same id; NULL ids take no part; a query with fewer than k
-candidates gets all of them; an empty table gives no rows.
+candidates gets all of them; equal query rows are one query, and query rows of one id with different vectors are one
+query each, told apart by ``variant`` (from 0, in the order of the vectors); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from .common import cut
 
 N_PIVOTS = 48
 SAMPLE = 4096
-RINGS = 16
+RINGS = 16  # within the reach of the sample
+MOST_RINGS = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
 SEEDS = 4  # an exact floor needs k candidates; the first rings are visited until they hold so many times k
@@ -70,7 +74,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def index(vectors: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
-    """(id, vec, pivot, ring, dist, norm) of every vector."""
+    """(id, vec, is_query, pivot, ring, dist, norm) of every vector."""
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,15 +85,33 @@ def index(vectors: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
                 d = _distances(x, p)
                 at = d.argmin(axis=1)
                 dist = d[np.arange(len(x)), at]
-                yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "pivot": at, "ring": np.minimum(dist // width, 1 << 20), "dist": dist, "norm": np.sqrt((x**2).sum(axis=1))})
+                yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "is_query": batch["is_query"], "pivot": at, "ring": np.minimum(dist // width, MOST_RINGS - 1), "dist": dist, "norm": np.sqrt((x**2).sum(axis=1))})
 
-    return vectors.mapInPandas(keyed, "id long, vec array<double>, pivot int, ring int, dist double, norm double")
+    return vectors.mapInPandas(keyed, "id long, vec array<double>, is_query boolean, pivot int, ring int, dist double, norm double")
+
+
+def pack(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Groups in order put into blocks of at most ``most`` rows: (first block, number of blocks) of each, and all blocks.
+
+    A larger group gets blocks of its own, over which its rows are spread.
+    """
+    first, parts = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64)
+    block, filled = -1, most
+    for i, n in enumerate(counts):
+        if filled + n > most:
+            block, filled = block + 1, 0
+        first[i] = block
+        if n > most:
+            parts[i] = -(-int(n) // most)
+            block, filled = block + int(parts[i]) - 1, most
+        filled += n
+    return first, parts, block + 1
 
 
 class Rings:
-    """What the driver knows of the rings: their pivots, distances, largest norms and blocks."""
+    """What the driver knows of the rings: their pivots, distances, largest norms, blocks, and chunks of queries."""
 
-    def __init__(self, rows: list, pivots: np.ndarray, block_rows: int = BLOCK_ROWS):
+    def __init__(self, rows: list, pivots: np.ndarray, block_rows: int | None = None):
         rows = sorted(rows, key=lambda r: (r["pivot"], r["ring"]))
         self.pivots = pivots
         self.pivot = np.array([r["pivot"] for r in rows], dtype=np.int64)
@@ -97,17 +119,10 @@ class Rings:
         self.n = np.array([r["n"] for r in rows], dtype=np.int64)
         self.low, self.high = (np.array([r[k] for r in rows], dtype=float) for k in ("low", "high"))
         self.norm = np.array([r["norm"] for r in rows], dtype=float)
-        self.first, self.parts = np.zeros(len(rows), dtype=np.int64), np.ones(len(rows), dtype=np.int64)
-        block, filled = -1, block_rows
-        for i, n in enumerate(self.n):
-            if filled + n > block_rows:
-                block, filled = block + 1, 0
-            self.first[i] = block
-            if n > block_rows:
-                self.parts[i] = -(-int(n) // block_rows)
-                block, filled = block + int(self.parts[i]) - 1, block_rows
-            filled += n
-        self.blocks = block + 1
+        self.first, self.parts, self.blocks = pack(self.n, block_rows or BLOCK_ROWS)
+        self.first_chunk, self.chunk_parts, self.chunks = pack(np.array([r["queries"] for r in rows], dtype=np.int64), QUERY_ROWS)
+        self.cell = np.full((len(pivots), MOST_RINGS), -1, dtype=np.int64)
+        self.cell[self.pivot, self.ring] = np.arange(len(rows))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds of the inner products, query by ring. Rounding is allowed for; scores are whole numbers."""
@@ -119,45 +134,62 @@ class Rings:
         return np.minimum(by_distance, by_pivot) + 1e-3
 
 
-def top_k(table: DataFrame, vec: Column, is_query: Column, vec_id: str, k: int = 20, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """(query_id, rank, id, score): for each query row the k rows of other ids with the largest inner products."""
-    spark = table.sparkSession
-    vectors = table.select(F.col(vec_id).cast("long").alias("id"), vec.alias("vec"), is_query.alias("is_query")).where("id is not null and vec is not null")
-    dim = vectors.agg(F.max(F.size("vec"))).first()[0] or 1
-    sample = _matrix(vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"], dim)
-    pivots = choose_pivots(sample, n_pivots)
-    reach = _distances(sample, pivots).min(axis=1) if len(sample) else np.zeros(1)
-    indexed = cut(index(vectors.select("id", "vec"), pivots, max(1.0, float(reach.max()) / RINGS)))
-    rings = Rings(indexed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm").alias("norm")).collect(), pivots)
-    held = spark.sparkContext.broadcast(rings)
-    queries = vectors.where("is_query").select("id", "vec")
-    n_queries = queries.count()
-    chunks = max(1, -(-n_queries // QUERY_ROWS))
-
-    def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = held.value
-        lookup = {(int(p), int(g)): i for i, (p, g) in enumerate(zip(r.pivot, r.ring))}
-        for batch in batches:
-            cell = np.array([lookup[c] for c in zip(batch["pivot"], batch["ring"])], dtype=np.int64)
-            salt = (batch["id"].to_numpy() * 2654435761 >> 7) % r.parts[cell] if len(cell) else cell
-            yield pd.DataFrame({"block": r.first[cell] + salt, "cell": cell, "id": batch["id"], "vec": batch["vec"]})
-
-    blocked = indexed.select("id", "vec", "pivot", "ring").mapInPandas(to_blocks, "block long, cell long, id long, vec array<double>")
-    if chunks > 1:
-        blocked = blocked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    else:
-        blocked = blocked.withColumn("chunk", F.lit(0))
-    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-
-    def visits(first: bool):
+SCORES = "query_id long, variant int, id long, score long"
+
+
+class Search:
+    """An index of the rows of a table, and the queries among them."""
+
+    def __init__(self, table: DataFrame, vec: Column, is_query: Column, vec_id: str, k: int = 20, n_pivots: int = N_PIVOTS):
+        self.k = k
+        vectors = table.select(F.col(vec_id).cast("long").alias("id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null and vec is not null")
+        dim = vectors.agg(F.max(F.size("vec"))).first()[0] or 1
+        sample = _matrix(vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"], dim)
+        pivots = choose_pivots(sample, n_pivots)
+        reach = _distances(sample, pivots).min(axis=1) if len(sample) else np.zeros(1)
+        self.indexed = cut(index(vectors, pivots, max(1.0, float(reach.max()) / RINGS)))
+        rows = self.indexed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("queries"), F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm").alias("norm")).collect()
+        self.rings = Rings(rows, pivots)
+        self.held = table.sparkSession.sparkContext.broadcast(self.rings)
+        each = self.indexed.where("is_query").select("id", "vec", "pivot", "ring").dropDuplicates(["id", "vec"])
+        numbered = each.withColumn("variant", F.row_number().over(Window.partitionBy("id").orderBy("vec")) - 1)
+        self.queries = numbered.mapInPandas(self._to_chunks(), "chunk long, id long, variant int, vec array<double>")
+        self.blocked = cut(self.indexed.select("id", "vec", "pivot", "ring").mapInPandas(self._to_blocks(), "block long, cell long, id long, vec array<double>"))
+
+    def _to_blocks(self):
+        held = self.held
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            r = held.value
+            for batch in batches:
+                cell = r.cell[batch["pivot"].to_numpy(), batch["ring"].to_numpy()]
+                salt = (batch["id"].to_numpy() * 2654435761 + np.arange(len(batch)) >> 7) % r.parts[cell] if len(cell) else cell
+                yield pd.DataFrame({"block": r.first[cell] + salt, "cell": cell, "id": batch["id"], "vec": batch["vec"]})
+
+        return run
+
+    def _to_chunks(self):
+        held = self.held
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            r = held.value
+            for batch in batches:
+                cell = r.cell[batch["pivot"].to_numpy(), batch["ring"].to_numpy()]
+                salt = (batch["id"].to_numpy() * 2654435761 >> 7) % r.chunk_parts[cell] if len(cell) else cell
+                yield pd.DataFrame({"chunk": r.first_chunk[cell] + salt, "id": batch["id"], "variant": batch["variant"], "vec": batch["vec"]})
+
+        return run
+
+    def visits(self, rows: DataFrame, first: bool) -> DataFrame:
         """Query rows by the blocks they visit: the best rings that hold enough vectors, or all that reach the floor."""
+        held, k = self.held, self.k
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             r = held.value
             for batch in batches:
-                at, to = [], []
                 for i in range(0, len(batch), 512):
                     part = batch.iloc[i : i + 512]
+                    at, to = [], []
                     bound = r.bounds(_matrix(part["vec"], r.pivots.shape[1]))
                     for j in range(len(part)):
                         if first:
@@ -168,54 +200,81 @@ def top_k(table: DataFrame, vec: Column, is_query: Column, vec_id: str, k: int =
                             floor = part["floor"].iloc[j]
                             cells = np.flatnonzero(bound[j] >= (-np.inf if np.isnan(floor) else floor))
                             seen = {int(b) for c in cells for b in range(r.first[c], r.first[c] + r.parts[c])}
-                        at.extend([i + j] * len(seen))
+                        at.extend([j] * len(seen))
                         to.extend(sorted(seen))
-                out = batch.iloc[at]
-                yield pd.DataFrame({"block": np.array(to, dtype=np.int64), "chunk": out["chunk"].to_numpy(), "query_id": out["id"].to_numpy(), "floor": out["floor"].to_numpy(), "vec": out["vec"].to_numpy()})
+                    out = part.iloc[at]
+                    yield pd.DataFrame({"block": np.array(to, dtype=np.int64), "chunk": out["chunk"].to_numpy(), "query_id": out["id"].to_numpy(), "variant": out["variant"].to_numpy(), "floor": out["floor"].to_numpy(), "vec": out["vec"].to_numpy()})
+
+        return rows.mapInPandas(run, "block long, chunk long, query_id long, variant int, floor double, vec array<double>")
+
+    def sent(self, at: DataFrame) -> DataFrame:
+        """The vectors of each block, once for each chunk of queries that visits it."""
+        pairs = at.select(F.col("block").alias("to_block"), F.col("chunk").alias("to_chunk")).distinct()
+        met = self.blocked.join(pairs, F.col("block") == F.col("to_block"))
+        return met.select("block", F.col("to_chunk").alias("chunk"), "cell", "id", "vec")
+
+    def _scorer(self):
+        held, k = self.held, self.k
+
+        def scores(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """The k best of one block for each query, ring by ring, without rings and rows below its floor."""
+            r = held.value
+            found = []
+            if len(left) and len(right):
+                q = _matrix(left["vec"], r.pivots.shape[1])
+                floor = left["floor"].fillna(-np.inf).to_numpy()
+                cell, ids = right["cell"].to_numpy(), right["id"].to_numpy()
+                x = _matrix(right["vec"], r.pivots.shape[1])
+                bound = r.bounds(q)
+                order = np.argsort(ids, kind="stable")
+                cell, ids, x = cell[order], ids[order], x[order]
+                own, variant = left["query_id"].to_numpy(), left["variant"].to_numpy()
+                cells = np.unique(cell)
+                for i in range(0, len(q), 256):
+                    rows = slice(i, i + 256)
+                    near = bound[rows][:, cells] >= floor[rows, None]
+                    take = np.isin(cell, cells[near.any(axis=0)])
+                    if not take.any():
+                        continue
+                    s = q[rows] @ x[take].T
+                    s[own[rows, None] == ids[take][None]] = -np.inf
+                    for j in range(len(s)):
+                        # ids are in order, so a stable sort leaves ties to the smaller one
+                        good = np.flatnonzero((s[j] >= floor[i + j]) & (s[j] > -np.inf))
+                        if len(good) > 4 * k:
+                            kth = np.partition(s[j][good], len(good) - k)[len(good) - k]
+                            good = good[s[j][good] >= kth]
+                        best = good[np.argsort(-s[j][good], kind="stable")][:k]
+                        found.append((np.full(len(best), own[i + j]), np.full(len(best), variant[i + j]), ids[take][best], s[j][best]))
+            names = ("query_id", "variant", "id", "score")
+            if not found:
+                return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+            return pd.DataFrame({n: np.concatenate([f[i] for f in found]).astype(np.int64) for i, n in enumerate(names)})
+
+        return scores
+
+    def visit(self, rows: DataFrame, first: bool) -> DataFrame:
+        at = self.visits(rows, first)
+        met = at.groupBy("block", "chunk").cogroup(self.sent(at).groupBy("block", "chunk")).applyInPandas(self._scorer(), SCORES)
+        best = Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "id")
+        return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= self.k)
+
+    def with_floors(self) -> DataFrame:
+        """Queries with the k-th score of their first visit; NULL where it holds fewer candidates."""
+        seeds = self.visit(self.queries.withColumn("floor", F.lit(None).cast("double")), True)
+        floors = seeds.where(F.col("rank") == self.k).select(F.col("query_id").alias("id"), "variant", F.col("score").cast("double").alias("floor"))
+        return cut(self.queries.join(floors, ["id", "variant"], "left"))
+
+
+def top_k(table: DataFrame, vec: Column, is_query: Column, vec_id: str, k: int = 20, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """(query_id, variant, rank, id, score): for each query row the k rows of other ids with the largest inner products."""
+    search = Search(table, vec, is_query, vec_id, k, n_pivots)
+    return search.visit(search.with_floors(), False).select("query_id", "variant", "rank", "id", "score")
 
-        return run
 
-    def scores(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The k best of one block for each query, ring by ring, without rings and rows below its floor."""
-        r = held.value
-        found = []
-        if len(left) and len(right):
-            q = _matrix(left["vec"], r.pivots.shape[1])
-            floor = left["floor"].fillna(-np.inf).to_numpy()
-            cell, ids = right["cell"].to_numpy(), right["id"].to_numpy()
-            x = _matrix(right["vec"], r.pivots.shape[1])
-            bound = r.bounds(q)
-            order = np.argsort(ids, kind="stable")
-            cell, ids, x = cell[order], ids[order], x[order]
-            own = left["query_id"].to_numpy()
-            cells = np.unique(cell)
-            for i in range(0, len(q), 256):
-                rows = slice(i, i + 256)
-                near = bound[rows][:, cells] >= floor[rows, None]
-                take = np.isin(cell, cells[near.any(axis=0)])
-                if not take.any():
-                    continue
-                s = q[rows] @ x[take].T
-                s[own[rows, None] == ids[take][None]] = -np.inf
-                for j in range(len(s)):
-                    # ids are in order, so a stable sort leaves ties to the smaller one
-                    good = np.flatnonzero((s[j] >= floor[i + j]) & (s[j] > -np.inf))
-                    if len(good) > 4 * k:
-                        kth = np.partition(s[j][good], len(good) - k)[len(good) - k]
-                        good = good[s[j][good] >= kth]
-                    best = good[np.argsort(-s[j][good], kind="stable")][:k]
-                    found.append((np.full(len(best), own[i + j]), ids[take][best], s[j][best]))
-        if not found:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        return pd.DataFrame({n: np.concatenate([f[i] for f in found]).astype(np.int64) for i, n in enumerate(("query_id", "id", "score"))})
-
-    def visit(rows: DataFrame, first: bool) -> DataFrame:
-        at = rows.mapInPandas(visits(first), "block long, chunk int, query_id long, floor double, vec array<double>")
-        met = at.groupBy("block", "chunk").cogroup(blocked.groupBy("block", "chunk")).applyInPandas(scores, "query_id long, id long, score long")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    seeds = visit(chunked.withColumn("floor", F.lit(None).cast("double")), True)
-    floors = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    ready = cut(chunked.join(floors, "id", "left"))
-    return visit(ready, False).select("query_id", "rank", "id", "score")
+def visited_share(table: DataFrame, vec: Column, is_query: Column, vec_id: str, k: int = 20, n_pivots: int = N_PIVOTS) -> tuple[float, float]:
+    """Of all pairs of a block and a query, and of a block and a chunk, the shares that the last visit has."""
+    search = Search(table, vec, is_query, vec_id, k, n_pivots)
+    at = search.visits(search.with_floors(), False).select("block", "chunk")
+    pairs, sent = at.count(), at.distinct().count()
+    return pairs / max(1, search.queries.count() * search.rings.blocks), sent / max(1, search.rings.chunks * search.rings.blocks)
