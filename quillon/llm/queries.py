@@ -40,15 +40,14 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-def shard_keys() -> list:
-    return [F.col("doc_id"), sharding.text_crc(F.col("text"))]
-
-
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sized = docs.select("doc_id", "text", sharding.record_bytes(F.col("text")).alias("size"), sharding.text_crc(F.col("text")).alias("text_crc32"))
-    slot_map = sharding.build_map(sized, shard_keys(), F.col("size"), 24)
-    numbered = sharding.number(sized.select("doc_id", "size", "text_crc32"), [F.col("doc_id"), F.col("text_crc32")], slot_map, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    told_apart = sharding.with_copy(sized.drop("text"), order)
+    keys = [F.col("doc_id"), F.col("text_crc32"), F.col("copy")]
+    slot_map = sharding.build_map(told_apart, keys, F.col("size"), 24)
+    numbered = sharding.number(told_apart, keys, slot_map, order)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

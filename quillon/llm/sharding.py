@@ -3,10 +3,15 @@
 Every record hashes into one of ``n_slots`` virtual slots. Bytes and rows are aggregated per slot, and a versioned
 slot-to-shard map says where each slot lives: version 0 deals the slots out in turn, every later version is an edit of
 the one before that moves slots away from full shards. Only the map (``n_slots`` rows, whatever the corpus) is ever
-gathered or broadcast; the records are numbered slot by slot, so no task holds a shard.
+gathered or broadcast; the records are numbered slot by slot, so no task holds a shard. Versions are stored in the shared
+folder and read back from there (stored_map()).
+
+Rows with equal keys would make their slot hot. with_copy() numbers such rows by their place in the input; with that
+number among the keys they spread over all slots. As they are equal, it doesn't matter which of them goes where. Numbers
+are shared by few to many rows, so that there are small slots, with which rebalancing levels the last differences.
 
 Defined results: a NULL text has no bytes and checksum 0; an empty one likewise, apart from the fixed overhead both
-pay; a NULL doc_id hashes like any other value; equal rows share a slot but get numbers of their own; an empty table
+pay; a NULL doc_id hashes like any other value; equal rows get numbers of their own, and slots of their own after with_copy(); an empty table
 gives no rows; columns of the caller are kept unless an output has their name, and the working columns avoid their names.
 """
 
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import temp_name
+from .common import cut, fresh_path, temp_name
 
 N_SLOTS = 4096
 ROW_OVERHEAD = 8
@@ -75,15 +80,31 @@ def save_map(slot_map: DataFrame, path: str) -> None:
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
     """A stored version of the map, the latest one by default."""
-    stored = spark.read.parquet(path)
-    wanted = F.lit(version) if version is not None else stored.agg(F.max("version")).first()[0]
+    stored = spark.read.schema("slot int, shard int, bytes long, rows long, version int").parquet(path)  # no table, no files
+    wanted = version if version is not None else stored.agg(F.max("version")).first()[0] or 0
     return stored.where(F.col("version") == wanted).select("version", "slot", "shard", "bytes", "rows")
 
 
-def build_map(df: DataFrame, keys: list[Column], size: Column, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+def stored_map(stats: DataFrame, n_shards: int, path: str | None = None) -> DataFrame:
+    """The latest version of the map after a rebalancing edit, read from where its versions are stored.
+
+    Without stored versions at ``path``, or without a path, version 0 is stored first.
+    """
+    spark = stats.sparkSession
+    if path is None:
+        path = fresh_path(spark, "slot-map")
+        save_map(first_map(stats, n_shards), path)
+    last = load_map(spark, path)
+    now = last.select("version", "slot", "shard").join(stats, "slot", "outer")
+    version = F.coalesce("version", F.max("version").over(Window.partitionBy(F.lit(0))), F.lit(0))  # at most n_slots rows
+    held = now.select(version.alias("version"), "slot", F.coalesce("shard", F.pmod("slot", F.lit(n_shards)).cast("int")).alias("shard"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    save_map(rebalance(held, n_shards), path)
+    return load_map(spark, path)
+
+
+def build_map(df: DataFrame, keys: list[Column], size: Column, n_shards: int, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
     (slot,) = temp_name(df, "slot")
-    stats = slot_stats(df.withColumn(slot, slot_of(keys, n_slots)), slot, size)
-    return rebalance(first_map(stats, n_shards), n_shards)
+    return stored_map(slot_stats(df.withColumn(slot, slot_of(keys, n_slots)), slot, size), n_shards, path)
 
 
 def place(df: DataFrame, keys: list[Column], slot_map: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -93,6 +114,19 @@ def place(df: DataFrame, keys: list[Column], slot_map: DataFrame, n_slots: int =
     return df.drop("shard", "virtual_slot").withColumn(slot, slot_of(keys, n_slots)).join(F.broadcast(small), slot).withColumnRenamed(slot, "virtual_slot")
 
 
+def with_copy(df: DataFrame, keys: list[Column], out: str = "copy", n_slots: int = N_SLOTS) -> DataFrame:
+    """The caller's rows with ``out``: 0, or for rows whose keys are repeated a number from 1 to ``n_slots``.
+
+    The numbers are fixed by a checkpoint, so give it the columns that are needed and no texts.
+    """
+    key, turn, copies = temp_name(df, "key", "turn", "copies")
+    rows = cut(df.withColumns({key: F.xxhash64(*keys), turn: F.monotonically_increasing_id()}))
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias(copies)).where(F.col(copies) > 1)
+    # the rows of a hot key need not meet, so adaptive execution may split them
+    dealt = F.sqrt(F.pmod(F.xxhash64(turn), F.lit(1 << 24)) / (1 << 24)) * n_slots  # so a number's share of the rows is in proportion to it
+    return rows.join(repeated, key, "left").withColumn(out, F.when(F.col(copies).isNull(), F.lit(0)).otherwise(F.floor(dealt) + 1).cast("long")).drop(key, turn, copies)
+
+
 def number(df: DataFrame, keys: list[Column], slot_map: DataFrame, order: list[Column], n_slots: int = N_SLOTS) -> DataFrame:
     """As place(), with ``slot``: the record's number in its shard, from 0 without gaps.
 
