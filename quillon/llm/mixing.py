@@ -4,7 +4,8 @@ A source's documents are laid out in one fixed order; each is expected ``target
 expectations are prefix-summed, one offset per source is added, and a document is emitted once for every integer
 boundary its interval crosses. The order goes from small to large texts (in half octaves of the word count), so the words
 taken stay close to the target. The prefix sum is distributed: counts of (source, size class, salt) cells are summed
-first, and rows are only numbered inside a cell, so a hot source is spread over hundreds of cells.
+first, and rows are only numbered inside a cell. The number of salts grows with the rows (``CELL_ROWS`` of them for each
+salt beyond the first ``N_SALTS``), so a hot source is spread over as many cells as it needs.
 
 Defined results: a NULL text has size 0 and takes no words; a NULL source is a source of its own and comes last; equal
 rows are drawn as rows of their own; sources whose texts are all empty keep each document once; an empty table gives no
@@ -21,6 +22,7 @@ from .common import cut, temp_name, word_count
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 N_SALTS = 16
+CELL_ROWS = 1 << 18
 SEED = 17
 
 
@@ -49,13 +51,17 @@ def size_class(size: Column) -> Column:
     return (bits * 2 + F.when(size >= 2, F.substring(F.bin(size), 2, 1).cast("int")).otherwise(0)).cast("int")
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, n_salts: int = N_SALTS, seed: int = SEED) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, n_salts: int | None = None, seed: int = SEED) -> DataFrame:
     """The caller's rows with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix emits the row)."""
     no_src, src, cls, salt, size, tie, base, part, shift, whole, goal, rank = temp_name(df, "no_src", "src", "cls", "salt", "size", "tie", "base", "share", "shift", "whole", "goal", "rank")
-    salted = F.coalesce(F.conv(F.substring(F.md5(F.col(doc_id).cast("string")), 1, 4), 16, 10).cast("int") % n_salts, F.lit(0))
+    times = max(1, -(-df.count() // (N_SALTS * CELL_ROWS))) if n_salts is None else 1  # a count reads no column
+    first = n_salts or N_SALTS
+    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("?"), F.xxhash64(text).cast("string"))))
+    digits = lambda a, n: F.conv(F.substring(key, a, n), 16, 10).cast("long")
+    salted = (digits(1, 4) % first) * times + digits(5, 12) % times
     rows = df.withColumns({no_src: F.col(source).isNull(), src: F.coalesce(F.col(source), F.lit("")), size: word_count(F.col(text))}).withColumns({cls: size_class(F.col(size)), salt: salted, tie: F.xxhash64(text)})
     cells = rows.groupBy(F.col(no_src).alias("no_src"), F.col(src).alias("src"), F.col(cls).alias("cls"), F.col(salt).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words"))
-    cells = cut(cells)  # a few hundred rows a source, read four times below
+    cells = cut(cells)  # some hundred rows a source and a row for each CELL_ROWS, read four times below
     classes = cells.groupBy("no_src", "src", "cls").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     targets = source_targets(classes.groupBy("no_src", "src").agg(F.sum("words").alias("source_size")), weights, max_epochs, seed)
     before = (Window.unboundedPreceding, -1)
