@@ -1,21 +1,24 @@
 """Toxicity by weak supervision.
 
 1. Voters. On a bounded sample of labelled training rows, words and word beginnings are counted in toxic and clean texts
-   (in Spark); those that nearly always stand in toxic texts, more often than chance lets any
-   of them, become voters: exact words are lexicon voters, beginnings (that occur,
-   are frequent, or are frequent and repeated) are pattern voters. A voter says "toxic" where it occurs and abstains elsewhere; one more voter says "clean" where none occurs.
-2. Label model. Over the sample's votes, a generative model with the true label hidden estimates by EM how often each
-   voter speaks in toxic and in clean texts. Voters that speak together more than the label explains are correlated; their
-   evidence is discounted by the correlations, so that a word and its beginnings count about once.
-3. Classifier. A logistic regression over a wider set of words and beginnings is trained on the posterior labels. It
+   (in Spark). Those that stand in toxic texts more often than chance lets any of them become voters: exact words are
+   lexicon voters, beginnings (that occur, are frequent, or are frequent and repeated) are pattern voters. A voter speaks
+   for toxic where it occurs; that it is silent speaks for clean as far as its rates tell.
+2. Label model. A generative model of the votes with the true label hidden. Voters that speak together more than the
+   label explains are correlated (a word and its beginnings): given the label, each voter depends on the one voter that
+   tells most about it, so that the votes form trees; those of largest conditional mutual information are taken. EM
+   estimates how often each voter speaks in toxic and in clean texts, where the voter it depends on speaks and where it
+   doesn't: accuracies and correlations are parameters of one likelihood.
+3. Classifier. A logistic regression over the same words and beginnings is trained on the posterior labels. It
    scores every text, whole; a score needs nothing but the text.
 
-``MAX_TRAIN`` bounds the labelled rows that are used (those with the smallest hash of the id), ``MAX_VOTERS`` and
-``MAX_FEATURES`` what is kept of their words: the driver and the broadcast model stay small at any input size.
+``MAX_TRAIN`` bounds the labelled rows that are used (those with the smallest hash of the id), and so all that the driver
+and the broadcast model hold. No voter or feature that passes the test is left out.
 
 Defined results: a NULL or empty text gets the score of a text without any known word; equal texts get equal scores;
-labelled ids without a document, NULL labels and NULL ids are not used; without any usable label every score is 0; an
-empty table gives no rows; columns of the caller are kept.
+labelled ids without a document, NULL labels and NULL ids are not used; without labels of both kinds every score is 0, and
+without a telling word it is the sample's share of toxic rows; an empty table gives no rows; columns of the caller are
+kept, but one with the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -35,10 +38,7 @@ from pyspark.sql import types as T
 from .common import cut, temp_name
 
 MAX_TRAIN = 30_000
-MAX_VOTERS = 256
-MAX_FEATURES = 1024
 THRESHOLD = 0.7
-MIN_PRECISION = 0.9  # of the sampled texts with a feature, the share that is toxic
 PREFIXES = (3, 4, 5, 6, 7)
 RATE = 0.01  # of the words of a text: a beginning is frequent from here
 FLUSH = 300_000
@@ -137,43 +137,91 @@ def _hits(names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [sorted(index[f] for f in text_features(t) if f in index) for t in batch["text"]]
-            yield pd.DataFrame({"hits": found})
+            yield pd.DataFrame({"hits": found, "toxic": batch["toxic"] > 0})
 
     return run
 
 
-def label_model(votes: np.ndarray, said: np.ndarray, n_rows: int, a0: np.ndarray, b0: np.ndarray, prior: float, rounds: int = 12, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, and per voter how often it speaks in toxic and in clean texts.
+def dependencies(votes: np.ndarray, said: np.ndarray, n_rows: int, k: int, q: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The voter that each voter depends on, or -1: a forest of largest conditional mutual information given the label.
 
-    ``votes``/``said``: row and voter of each vote. a0, b0: the rates that EM starts from, worth ``strength`` rows.
+    ``votes``/``said``: row and voter of each vote; q: how sure it is that a row is toxic. Dependencies that chance would
+    bring about for one of all pairs are left out.
     """
-    k = len(a0)
-    a, b, share = a0.copy(), b0.copy(), np.ones(k)
-    silent = np.bincount(votes, minlength=n_rows) == 0
-    none_a, none_b = 0.05, 0.95
-    q = np.full(n_rows, prior)
+    both = np.zeros((2, k, k), dtype=np.float32)
+    order = np.argsort(votes, kind="stable")
+    rows, cols = votes[order], said[order]
+    for i in range(0, n_rows, block):
+        a, b = np.searchsorted(rows, (i, i + block))
+        if a < b:
+            dense = np.zeros((min(block, n_rows - i), k), dtype=np.float32)
+            dense[rows[a:b] - i, cols[a:b]] = 1
+            weight = q[i : i + block, None].astype(np.float32)
+            both[1] += (dense * weight).T @ dense
+            both[0] += (dense * (1 - weight)).T @ dense
+    gain = np.zeros((k, k))
+    for c, n in ((0, n_rows - q.sum()), (1, q.sum())):
+        on = np.diag(both[c]).astype(float)
+        cells = ((both[c], on[:, None], on[None]), (on[:, None] - both[c], on[:, None], n - on[None]), (on[None] - both[c], n - on[:, None], on[None]), (n - on[:, None] - on[None] + both[c], n - on[:, None], n - on[None]))
+        for seen, i, j in cells:
+            gain += np.where(seen > 1e-3, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(i * j, 1e-9)), 0)
+    np.fill_diagonal(gain, -np.inf)
+    parent, near, best, todo = np.full(k, -1), np.full(k, -1), np.full(k, -np.inf), np.ones(k, dtype=bool)
+    bar = math.log(max(2, k * (k - 1) / 2)) + 1
+    for _ in range(k):  # Prim's algorithm; a voter without a dependency above the bar begins a tree
+        i = int(np.where(todo, best, -np.inf).argmax()) if np.where(todo, best, -np.inf).max() > bar else int(todo.argmax())
+        parent[i] = near[i] if best[i] > bar else -1
+        todo[i] = False
+        closer = todo & (gain[i] > best)
+        best[closer], near[closer] = gain[i][closer], i
+    return parent
+
+
+@dataclass
+class Rates:
+    """How often voters speak: by label (0 clean, 1 toxic), and whether the voter they depend on is silent or speaks."""
+
+    parent: np.ndarray
+    free: np.ndarray  # label, voter
+    tied: np.ndarray
+    prior: float
+
+    def log_odds(self, votes: np.ndarray, said: np.ndarray, with_parent: np.ndarray, n_rows: int) -> np.ndarray:
+        """Of toxic against clean, for each row; rows and voters of the votes, and whether the voter depended on speaks too."""
+        on = [np.log(x[1] / x[0]) for x in (self.free, self.tied)]
+        off = [np.log((1 - x[1]) / (1 - x[0])) for x in (self.free, self.tied)]
+        has = self.parent >= 0
+        # a row without votes, then what each vote changes: at the voter, and at those that depend on it and are silent
+        below = np.bincount(self.parent[has], weights=(off[1] - off[0])[has], minlength=len(has))
+        # a voter that speaks with its parent was counted among the silent ones below the parent
+        change = np.where(with_parent, (on[1] - off[1])[said], (on[0] - off[0])[said])
+        return math.log(self.prior / (1 - self.prior)) + off[0].sum() + np.bincount(votes, weights=change + below[said], minlength=n_rows)
+
+
+def estimate(votes: np.ndarray, said: np.ndarray, with_parent: np.ndarray, parent: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> Rates:
+    """The rates of largest likelihood if rows are toxic and clean with these weights, a little smoothed."""
+    k, made = len(parent), []
+    for weight in (clean, toxic):
+        on = np.bincount(said, weights=weight[votes], minlength=k)
+        both = np.bincount(said, weights=weight[votes] * with_parent, minlength=k)
+        above = np.where(parent >= 0, on[parent], 0.0)
+        made.append(((on - both + 0.02) / (weight.sum() - above + 2), (both + 0.5) / (above + 1)))
+    free, tied = (np.clip(np.array(x), 1e-5, 1 - 1e-3) for x in zip(*made))
+    return Rates(parent, free, tied, float(np.clip(toxic.sum() / max(1e-9, (toxic + clean).sum()), 1e-3, 0.5)))
+
+
+def label_model(votes: np.ndarray, said: np.ndarray, n_rows: int, k: int, gold: np.ndarray, rounds: int = 12, trust: float = 1.0) -> tuple[np.ndarray, Rates]:
+    """Posterior labels and rates. EM starts from the sample's labels, which stay one more observer, worth ``trust`` posteriors."""
+    parent = dependencies(votes, said, n_rows, k, gold)
+    keys = np.sort(votes * k + said)
+    above = votes * k + parent[said]
+    at = np.minimum(np.searchsorted(keys, above), max(0, len(keys) - 1))
+    with_parent = (parent[said] >= 0) & (keys[at] == above) if len(keys) else np.zeros(0, dtype=bool)
+    q = gold
     for _ in range(rounds):
-        z = np.bincount(votes, weights=(share * np.log(a / b))[said], minlength=n_rows)
-        z += math.log(prior / (1 - prior)) + silent * math.log(none_a / none_b)
-        q = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        t, c = q.sum(), n_rows - q.sum()
-        on = np.bincount(said, weights=q[votes], minlength=k)
-        off = np.bincount(said, minlength=k) - on
-        a, b = (on + strength * a0) / (t + strength), (off + strength * b0) / (c + strength)
-        a, b = np.clip(a, 1e-6, 1 - 1e-6), np.clip(b, 1e-6, 1 - 1e-6)
-        none_a, none_b = (q[silent].sum() + 1) / (t + 20), ((1 - q[silent]).sum() + 19) / (c + 20)
-        prior = float(np.clip(t / n_rows, 1e-3, 0.5))
-        # correlations of what the label leaves unexplained, in toxic texts
-        rows = np.unique(votes)
-        at = np.searchsorted(rows, votes)
-        dense = np.zeros((len(rows), k), dtype=np.float32)
-        dense[at, said] = 1
-        left = dense - (q[rows, None] * a + (1 - q[rows, None]) * b).astype(np.float32)
-        cov = left.T @ left
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-        share = 1 / np.maximum(1, (corr**2).sum(axis=1))
-    return q, a, b
+        rates = estimate(votes, said, with_parent, parent, q + trust * gold, 1 - q + trust * (1 - gold))
+        q = 1 / (1 + np.exp(-np.clip(rates.log_odds(votes, said, with_parent, n_rows), -60, 60)))
+    return q, rates
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, rounds: int = 800, l2: float = 1e-6) -> tuple[np.ndarray, float]:
@@ -195,31 +243,23 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model | N
     pos, neg = sizes.get(True, 0), sizes.get(False, 0)
     if not pos or not neg:
         return None
-    counts = cut(sample.mapInPandas(_count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("q")).where("p > 0"))
+    counts = cut(sample.mapInPandas(_count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("q")))
     prior = pos / (pos + neg)
     p, q = F.col("p"), F.col("q")
-    surprise = p * F.log(p / (p + q) / prior) + F.when(q > 0, q * F.log(q / (p + q) / (1 - prior))).otherwise(0.0)
-    odds = F.log((p + 0.5) / (pos + 1)) - F.log((q + 0.5) / (neg + 1))
-    telling = counts.where(p >= MIN_PRECISION * (p + q)).withColumns({"surprise": surprise, "odds": odds})
+    surprise = F.when(p > 0, p * F.log(p / (p + q) / prior)).otherwise(0.0) + F.when(q > 0, q * F.log(q / (p + q) / (1 - prior))).otherwise(0.0)
     # a bar that chance would let about one of all counted features pass
     bar = math.log(max(2, counts.count()))
-    best = telling.where(F.col("surprise") >= bar).orderBy(F.desc("surprise"), "feature").limit(MAX_FEATURES).collect()
-    if not best:
-        return None
-    names = [r["feature"] for r in best]
-    got = sample.mapInPandas(_hits(names), "hits array<int>").toPandas()["hits"]
-    n = len(got)
-    rows = np.repeat(np.arange(n), [len(h) for h in got])
-    cols = np.concatenate([np.asarray(h, dtype=np.int64) for h in got]) if len(rows) else np.zeros(0, dtype=np.int64)
-    voters = np.arange(min(len(best), MAX_VOTERS))
-    place = np.full(len(names), -1)
-    place[voters] = np.arange(len(voters))
-    vote = place[cols] >= 0
-    a0 = np.array([(best[i]["p"] + 0.5) / (pos + 1) for i in voters])
-    b0 = np.array([(best[i]["q"] + 0.5) / (neg + 1) for i in voters])
-    q, a, b = label_model(rows[vote], place[cols[vote]], n, a0, b0, pos / (pos + neg))
-    w, intercept = logistic(rows, cols, n, len(names), q)
-    return Model({f: float(x) for f, x in zip(names, w)}, intercept, [names[i] for i in voters], {names[i]: float(x / (x + y)) for i, x, y in zip(voters, a, b)})
+    names = [r["feature"] for r in counts.where((surprise >= bar) & (p > prior * (p + q))).select("feature").orderBy("feature").collect()]
+    if not names:
+        return Model({}, math.log(prior / (1 - prior)), [], {})
+    got = sample.select("text", "toxic").mapInPandas(_hits(names), "hits array<int>, toxic boolean").toPandas()
+    n, k = len(got), len(names)
+    votes = np.repeat(np.arange(n), [len(h) for h in got["hits"]])
+    said = np.concatenate([np.asarray(h, dtype=np.int64) for h in got["hits"]])
+    posterior, rates = label_model(votes, said, n, k, got["toxic"].to_numpy().astype(float))
+    w, intercept = logistic(votes, said, n, k, posterior)
+    a, b = (np.bincount(said, weights=x[votes], minlength=k) / max(1e-9, x.sum()) for x in (posterior, 1 - posterior))
+    return Model({f: float(x) for f, x in zip(names, w)}, intercept, names, {f: float(max(x, y) / max(1e-9, x + y)) for f, x, y in zip(names, a, b)})
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
