@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
     """(node, root) of every node of the links (u, v); the root is the smallest node of the component.
 
-    Each step is checkpointed in the shared folder. When nothing changes any more, every node points at its root.
+    Each step is written to the shared folder, and the one before it is removed. When nothing changes any more, every node
+    points at its root.
     """
-    edges = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = links.sparkSession
+    edges, path = stored(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     last = None
     for _ in range(max_steps):
         seen = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if seen == last or not seen[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        last = seen
-        edges = cut(_small_star(_large_star(edges)))
+        last, before = seen, path
+        edges, path = stored(_small_star(_large_star(edges)), "links")
+        remove(spark, before)
     raise RuntimeError(f"components did not settle in {max_steps} steps")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, temp_name
+from .common import fresh_path, remove, temp_name
 
 WINDOW = 13
 COVERAGE = 20  # contaminated from one hit word in so many
@@ -218,8 +218,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             done.write.parquet(path := fresh_path(spark, "hits"))
             held.unpersist()
             if last:
-                where = spark._jvm.org.apache.hadoop.fs.Path(last)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                remove(spark, last)
             done, last = spark.read.parquet(path), path
         held = spark.sparkContext.broadcast(automaton or Automaton([], window))
         done = done.withColumn(out, _scanner(held, kind)(F.col(text).cast("binary"), F.col(f"{out}.items"), F.col(f"{out}.spans")))

@@ -13,7 +13,8 @@ bit or none, so fingerprints are linked to the smallest of those that share a va
 
 Defined results: a NULL or empty text, or one of white space, has fingerprint zero and is linked like any other; a text
 of fewer words than a shingle is one shingle; equal rows share a group; a NULL doc_id never becomes the group's id unless
-all ids are NULL; an empty table gives no rows; columns of the caller are kept by keep_one().
+all ids are NULL; ids may be numbers or strings; an empty table gives no rows; columns of the caller are kept by
+keep_one(), which keeps one of equal rows.
 """
 
 from __future__ import annotations
@@ -150,11 +151,13 @@ def component_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The caller's rows without near-duplicates: the smallest id of each group stays."""
+    """The caller's rows without near-duplicates: the smallest id of each group stays. Ids may have any type with an order."""
     i, none, tie, row = temp_name(docs, "id", "none", "tie", "row")
-    least = group_minimum(fingerprints(docs, text, doc_id), F.struct(F.col("id").isNull().alias("none"), "id", "tie"))
-    first = least.select("root", "least").distinct().select(F.coalesce("least.id", F.lit(0)).alias(i), F.col("least.none").alias(none), F.col("least.tie").alias(tie))
-    tagged = docs.withColumns({i: F.coalesce(F.col(doc_id), F.lit(0)), none: F.col(doc_id).isNull(), tie: F.xxhash64(text)})
-    kept = tagged.join(first, [i, none, tie], "left_semi")
-    once = F.row_number().over(Window.partitionBy(i, none, tie).orderBy(F.lit(0)))
+    prints = fingerprints(docs, text, doc_id)
+    least = group_minimum(prints, F.struct(F.col("id").isNull().alias("none"), "id", "tie"))
+    first = least.select("root", "least").distinct().select(F.col("least.id").alias(i), F.col("least.none").alias(none), F.col("least.tie").alias(tie))
+    tagged = docs.withColumns({none: F.col(doc_id).isNull(), tie: F.xxhash64(text)})
+    same = (tagged[none] == first[none]) & (tagged[tie] == first[tie]) & tagged[doc_id].eqNullSafe(first[i])
+    kept = tagged.join(first, same, "left_semi")
+    once = F.row_number().over(Window.partitionBy(doc_id, none, tie).orderBy(F.lit(0)))
     return kept.withColumn(row, once).where(F.col(row) == 1).select(*docs.columns)
