@@ -19,7 +19,8 @@ joined with the declared ones, and the deepest wins; rows are then joined by dir
 Defined results: a NULL or empty text has no license and score 0; ties between licenses go to the smaller name, between
 blocks to the earlier one; if files of one directory declare different licenses, the higher score wins, then the smaller
 name; a NULL path has no directory and inherits nothing; equal rows are scanned as rows of their own; an empty table gives
-no rows; columns of the caller but the text are kept, and the working columns avoid their names.
+no rows; columns of the caller are kept but the text and those that have the name of an output, and the working columns
+avoid their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ count, tail): the characters up to its first synchronising point, the tokens fro
 characters after that. These maps compose associatively, so they are folded pairwise, like a prefix scan.
 
 Defined results: a NULL or empty text has no bytes and no tokens; equal rows are counted one by one; an empty table gives
-no rows; columns of the caller are kept, and the working columns avoid their names.
+no rows; columns of the caller are kept but one with the name of the count, and the working columns avoid their names.
 """
 
 from __future__ import annotations
@@ -179,11 +179,14 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
     short = docs.where(body.isNull() | (F.length(body) <= chunk)).withColumn(out, whole(body))
     long = docs.where(F.length(body) > chunk)
     h, size, no, part, maps = temp_name(docs, "h", "size", "no", "part", "maps")
-    keyed = long.select(F.xxhash64(body).alias(h), F.length(body).alias(size), body.alias(text)).dropDuplicates([h, size])
+    # equal long texts are counted once, told apart by SHA-256
+    key = F.sha2(body, 256)
+    keyed = long.select(key.alias(h), F.length(body).alias(size), body.alias(text)).dropDuplicates([h, size])
     cuts = keyed.select(h, size, text, F.explode(F.sequence(F.lit(0), ((F.col(size) - 1) / chunk).cast("int"))).alias(no))
     parts = cuts.select(h, size, no, F.substring(F.col(text), F.col(no) * chunk + 1, F.lit(chunk)).alias(part)).repartition(h, size, no)
     done = parts.select(h, size, no, chunk_maps(F.col(no), F.col(part)).alias("m"))
     ordered = done.groupBy(h, size).agg(F.sort_array(F.collect_list(F.struct(no, "m.head", "m.count", "m.tail"))).alias(maps))
     totals = ordered.select(h, size, fold(F.col(maps)).alias(out))
-    counted = long.withColumns({h: F.xxhash64(body), size: F.length(body)}).join(totals, [h, size]).select(*docs.columns, out)
-    return short.unionByName(counted)
+    keep = [c for c in docs.columns if c.lower() != out.lower()]
+    counted = long.drop(out).withColumns({h: key, size: F.length(body)}).join(totals, [h, size]).select(*keep, out)
+    return short.select(*keep, out).unionByName(counted)
