@@ -51,8 +51,8 @@ def size_class(size: Column) -> Column:
     return (bits * 2 + F.when(size >= 2, F.substring(F.bin(size), 2, 1).cast("int")).otherwise(0)).cast("int")
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, n_salts: int | None = None, seed: int = SEED) -> DataFrame:
-    """The caller's rows with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix emits the row)."""
+def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, n_salts: int | None = None, seed: int = SEED, prefix: str = "") -> DataFrame:
+    """The caller's rows with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix emits the row), after a prefix."""
     no_src, src, cls, salt, size, tie, base, part, shift, whole, goal, rank = temp_name(df, "no_src", "src", "cls", "salt", "size", "tie", "base", "share", "shift", "whole", "goal", "rank")
     times = max(1, -(-df.count() // (N_SALTS * CELL_ROWS))) if n_salts is None else 1  # a count reads no column
     first = n_salts or N_SALTS
@@ -74,11 +74,12 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     place = F.row_number().over(Window.partitionBy(no_src, src, cls, salt).orderBy(F.col(doc_id).asc_nulls_last(), tie))
     drawn = rows.withColumn(rank, place).join(plan, [no_src, src, cls, salt])
     upto = lambda k: F.floor((F.col(base) + F.col(rank) - k) * F.col(part) + F.col(shift))
-    keep = [F.col(c) for c in df.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    return drawn.select(*keep, F.col(size).alias("size"), F.col(whole).alias("source_size"), F.col(goal).alias("target"), (upto(0) - upto(1)).cast("long").alias("copies"))
+    made = {"size": F.col(size), "source_size": F.col(whole), "target": F.col(goal), "copies": (upto(0) - upto(1)).cast("long")}
+    keep = [F.col(c) for c in df.columns if c.lower() not in {f"{prefix}{n}".lower() for n in made}]
+    return drawn.select(*keep, *[value.alias(f"{prefix}{n}") for n, value in made.items()])
 
 
-def emit(mixed: DataFrame) -> DataFrame:
+def emit(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     """The mix itself: each row as often as it was drawn."""
     (copy,) = temp_name(mixed, "copy")
-    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(copy)
+    return mixed.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(copy)
