@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, mixing, sharding, simhash, toxicity
-from quillon.llm.common import fresh_path, table
+from quillon.llm.common import fresh_path, table, temp_name
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    (mark,) = temp_name(docs, "mix_copies")
+    return mixing.emit(mixing.mix(docs, prefix=mark.removesuffix("copies")), mark).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Trained models and fingerprints of XXH64 are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: Trained models and fingerprints of XXH64 are beyond SQL; tests/llm hold every stage against a version by hand.
 ORACLE_SQL = None
 
 
