@@ -109,18 +109,38 @@ def skew(c: Column | str, n: int, least: int | None = None) -> Column:
 def avg_rank(c: Column | str, keys: tuple[str, ...]) -> Column:
     """Rank from 1 among present values, ties sharing their mean rank.
 
-    NULLs come first and are taken off again, so that the windows for rank and ties need the same sort.
+    NULLs come first and are taken off again. Rank, ties and counts are frames of one ordered window, so they share its
+    sort and one pass.
     """
     c = as_col(c)
-    w = Window.partitionBy(*keys)
-    ties = F.count(c).over(Window.partitionBy(*keys, c))
-    return F.when(c.isNotNull(), F.rank().over(w.orderBy(c)) - (F.count(F.lit(1)).over(w) - F.count(c).over(w)) + (ties - 1) / 2)
+    w = Window.partitionBy(*keys).orderBy(c)
+    ties = F.count(c).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(c.isNotNull(), F.rank().over(w) - (F.count(F.lit(1)).over(_whole(w)) - F.count(c).over(_whole(w))) + (ties - 1) / 2)
+
+
+def _whole(w: Window) -> Window:
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def pct_rank(c: Column | str, keys: tuple[str, ...] = CROSS) -> Column:
     """Mean rank over the count of present values."""
     c = as_col(c)
-    return avg_rank(c, keys) / F.count(c).over(Window.partitionBy(*keys))
+    return avg_rank(c, keys) / F.count(c).over(_whole(Window.partitionBy(*keys).orderBy(c)))
+
+
+def upper_half(values: dict[str, Column], keys: tuple[str, ...] = CROSS) -> list[dict[str, Column]]:
+    """Stages for steps() that make a flag for each value: whether its pct_rank is above a half.
+
+    That takes the median and, for values equal to it, how many are below it and how many equal it: two passes over the
+    cross-section for all flags together, without a sort. Columns beside the flags begin with an underscore.
+    """
+    w = Window.partitionBy(*keys)
+    at = lambda n: F.col(f"_m_{n}")
+    counts = {}
+    for n in values:
+        counts |= {f"_b_{n}": F.count_if(F.col(f"_v_{n}") < at(n)).over(w), f"_e_{n}": F.count_if(F.col(f"_v_{n}") == at(n)).over(w), f"_n_{n}": F.count(F.col(f"_v_{n}")).over(w)}
+    flags = {n: (F.col(f"_v_{n}") > at(n)) | (F.col(f"_v_{n}") == at(n)) & (2 * F.col(f"_b_{n}") + F.col(f"_e_{n}") + 1 > F.col(f"_n_{n}")) for n in values}
+    return [{f"_v_{n}": v for n, v in values.items()}, {f"_m_{n}": F.median(F.col(f"_v_{n}")).over(w) for n in values}, counts, flags]
 
 
 def zscore(c: Column | str, keys: tuple[str, ...] = CROSS, sample: bool = False) -> Column:

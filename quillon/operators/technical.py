@@ -83,12 +83,15 @@ def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None) ->
         {"market_relative_strength": F.col("momentum") - F.col("market_momentum")},
         {"momentum_dispersion_breakout": div("market_relative_strength", "momentum_sd")},
     )
-    gates = {}
+    halves, gates = {}, {}
     for g in GATED:
-        need = [g, "average_amount", "liquidity_resilience"]
-        gates[f"liquid_{g}"] = F.when((w.pct_rank(_among(need, F.col("average_amount"))) > 0.5) & (w.pct_rank(_among(need, F.col("liquidity_resilience"))) > 0.5), F.col(g))
+        for c in ("average_amount", "liquidity_resilience"):
+            halves[f"{g}_{c}"] = _among([g, "average_amount", "liquidity_resilience"], F.col(c))
+        gates[f"liquid_{g}"] = F.when(F.col(f"{g}_average_amount") & F.col(f"{g}_liquidity_resilience"), F.col(g))
     parts = ["momentum", "market_relative_strength", "drawdown_resilience", "low_downside_volatility", "liquidity_resilience", "crash_recovery", "recovery_quality"]
-    df = w.steps(df, gates, {f"r_{c}": w.pct_rank(_among(parts, F.col(c))) for c in parts} | {"m_momentum": F.median(_among(parts, F.col("momentum"))).over(w.cross()), "m_drawdown": F.median(_among(parts, F.col("drawdown_resilience"))).over(w.cross())})
+    medians = {"m_momentum": F.median(_among(parts, F.col("momentum"))).over(w.cross()), "m_drawdown": F.median(_among(parts, F.col("drawdown_resilience"))).over(w.cross())}
+    values, middle, counts, flags = w.upper_half(halves)
+    df = w.steps(df, values, middle | medians, counts, flags, gates, {f"r_{c}": w.pct_rank(_among(parts, F.col(c))) for c in parts})
     stress = (F.col("m_momentum") < 0) | (F.col("m_drawdown") < -0.05)
     df = w.steps(
         df,
