@@ -36,18 +36,21 @@ def asof_global(left: DataFrame, states: DataFrame, left_on: str, state_on: str,
     return left.join(picked, left[left_on] == picked["__day"], "left").drop("__day")
 
 
-def session_after(events: DataFrame, bars: DataFrame, event_on: str, extra: int = 0, strict: bool = True) -> DataFrame:
-    """The first market session after each event (or from it on), ``extra`` sessions later: ``signal_date``.
+def session_after(events: DataFrame, bars: DataFrame, event_on: str, extra: int = 0, strict: bool = True, key: str = "market") -> DataFrame:
+    """The first session after each event (or from it on), ``extra`` sessions later: ``signal_date``.
 
-    Events without such a session are left out.
+    Sessions are those of the market, or with key="asset_id" the asset's own bars. Only the distinct event dates of a key
+    go through the as-of window, which the calendar bounds; events are joined by date. Events without such a session are
+    left out.
     """
-    days = sessions(bars)
-    # number of sessions up to the event, found by an as-of join per market
-    at = asof_by_key(events, days.withColumnRenamed("date", "__session_date"), ["market"], event_on, "__session_date", ["session"])
-    same = (F.col("as_of") == F.col(event_on)) if not strict else F.lit(False)
+    days = sessions(bars, key)
+    dates = events.select(key, F.col(event_on).alias("__event")).distinct()
+    # number of sessions up to the event
+    at = asof_by_key(dates, days.withColumnRenamed("date", "__session_date"), [key], "__event", "__session_date", ["session"])
+    same = (F.col("as_of") == F.col("__event")) if not strict else F.lit(False)
     first = F.coalesce("session", F.lit(0)) + F.when(same, 0).otherwise(1) + extra
-    numbered = at.withColumn("__target", first).drop("session", "as_of")
-    return numbered.join(days.select("market", F.col("date").alias("signal_date"), F.col("session").alias("__target")), ["market", "__target"]).drop("__target")
+    found = at.select(key, "__event", first.alias("__target")).join(days.select(key, F.col("date").alias("signal_date"), F.col("session").alias("__target")), [key, "__target"]).drop("__target")
+    return events.withColumn("__event", F.col(event_on)).join(found, [key, "__event"]).select(*events.columns, "signal_date")
 
 
 def interval_join(facts: DataFrame, spans: DataFrame, keys: list[str], on: str, start: str, end: str) -> DataFrame:

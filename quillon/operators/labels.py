@@ -21,10 +21,10 @@ def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), lag
     return rows.where("forward_return is not null and entry_date is not null and exit_date is not null").select(*LABEL_COLUMNS)
 
 
-def sessions(bars: DataFrame) -> DataFrame:
-    """(market, date, session): the market's dates, numbered from 1."""
-    days = bars.select("market", "date").distinct()
-    return days.withColumn("session", F.row_number().over(Window.partitionBy("market").orderBy("date")))
+def sessions(bars: DataFrame, key: str = "market") -> DataFrame:
+    """(market, date, session): the market's dates, numbered from 1; or those of another key."""
+    days = bars.select(key, "date").distinct()
+    return days.withColumn("session", F.row_number().over(Window.partitionBy(key).orderBy("date")))
 
 
 def aligned_labels(labels: DataFrame, bars: DataFrame) -> DataFrame:

@@ -26,25 +26,28 @@ def market_state_cap(curve: DataFrame, benchmark: DataFrame, lookback: int, weak
 
 
 def rolling_folds(dates: DataFrame, train: int, test: int, keys: list[str]) -> DataFrame:
-    """(fold, train_start, train_end, test_start, test_end) by position of the date within the key."""
-    n = dates.select(*keys, "date").distinct().withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    size = n.groupBy(*keys).agg(F.max("i").alias("n"))
-    folds = size.where(F.col("n") >= train + test).select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - train - test) / test).cast("int"))).alias("fold"))
-    at = lambda name, pos: n.select(*keys, F.col("i").alias(f"{name}_i"), F.col("date").alias(name))
-    marks = {"train_start": F.col("fold") * test + 1, "train_end": F.col("fold") * test + train, "test_start": F.col("fold") * test + train + 1, "test_end": F.col("fold") * test + train + test}
-    out = folds.withColumns({f"{k}_i": v for k, v in marks.items()})
-    for k in marks:
-        out = out.join(at(k, None), [*keys, f"{k}_i"])
-    return out.select(*keys, "fold", *marks)
+    """(fold, train_start, train_end, test_start, test_end) by position of the date within the key.
+
+    A key's distinct dates are one array, as long as the calendar.
+    """
+    days = dates.groupBy(*keys).agg(F.sort_array(F.collect_set("date")).alias("days")).where(F.size("days") >= train + test)
+    folds = days.select(*keys, "days", F.explode(F.sequence(F.lit(0), F.floor((F.size("days") - train - test) / test).cast("int"))).alias("fold"))
+    first = F.col("fold") * test
+    at = {"train_start": first + 1, "train_end": first + train, "test_start": first + train + 1, "test_end": first + train + test}
+    return folds.select(*keys, "fold", *[F.element_at("days", v.cast("int")).alias(k) for k, v in at.items()])
 
 
 def walk_forward_choice(curves: DataFrame, folds: DataFrame, keys: list[str], case: str) -> DataFrame:
-    """For every fold the case with the best train score (mean over deviation), and what it earned in the test."""
-    train = curves.join(folds, keys).where(F.col("date").between(F.col("train_start"), F.col("train_end")))
-    score = train.groupBy(*keys, "fold", case).agg(F.round(div(F.avg("period_return"), F.stddev_pop("period_return")), 10).alias("score"))
-    best = score.where("score is not null").groupBy(*keys, "fold").agg(F.max(F.struct("score", (-F.col(case)).alias("neg"))).alias("b")).select(*keys, "fold", F.col("b.score").alias("train_score"), (-F.col("b.neg")).alias(case))
-    test = curves.join(folds, keys).where(F.col("date").between(F.col("test_start"), F.col("test_end"))).groupBy(*keys, "fold", case).agg((F.product(1 + F.col("period_return")) - 1).alias("test_return"), F.count(F.lit(1)).alias("test_periods"))
-    return best.join(test, [*keys, "fold", case], "left")
+    """For every fold the case with the best train score (mean over deviation), and what it earned in the test.
+
+    One join of curves and folds gives both parts, by aggregates over the dates of each.
+    """
+    met = curves.join(folds, keys).where(F.col("date").between(F.col("train_start"), F.col("test_end")))
+    r = F.col("period_return")
+    train, test = (F.when(F.col("date").between(F.col(f"{x}_start"), F.col(f"{x}_end")), r) for x in ("train", "test"))
+    each = met.groupBy(*keys, "fold", case).agg(F.round(div(F.avg(train), F.stddev_pop(train)), 10).alias("train_score"), (F.product(1 + test) - 1).alias("test_return"), F.nullif(F.count(test), F.lit(0)).alias("test_periods"))
+    best = Window.partitionBy(*keys, "fold").orderBy(F.desc("train_score"), case)
+    return each.where("train_score is not null").withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 
 def block_bootstrap(paired: DataFrame, keys: list[str], a: str, b: str, block: int, draws: int, seed: int) -> DataFrame:

@@ -179,10 +179,9 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = panel.bars(spark, sf_dir)
     wide = technical.technical(bars, 5, ("momentum", "reversal"))
     f = technical.long_form(wide, ["momentum", "reversal"], 5, "_5").where("factor_value is not null")
-    cases = spark.createDataFrame([(i, n, c, k) for i, (n, c, k) in enumerate(GRID)], "case_no int, top_n int, cost double, every int")
+    cases = [{"case_no": i, "top_n": n, "cost": c, "every": k} for i, (n, c, k) in enumerate(GRID)]
     keys = ["market", "factor_name", "case_no"]
-    grid = portfolio.every_kth_date(f.crossJoin(F.broadcast(cases)), F.col("every"), keys=tuple(keys))
-    t = portfolio.build_trades(portfolio.select_top(grid, F.col("top_n"), ("date", *keys)), bars, lag=1, hold=1, cost_bps=F.col("cost"))
+    t = portfolio.build_trades(portfolio.select_grid(f, cases), bars, lag=1, hold=1, cost_bps=F.col("cost"))
     m = portfolio.return_metrics(portfolio.equity(t, keys), keys, 52.0)
     board = m.withColumn("place", F.row_number().over(Window.partitionBy("market").orderBy(F.round("sharpe", 8).desc(), "factor_name", "case_no")))
     return board.select(*keys, "periods", (F.round("sharpe", 5) + F.lit(0.0)).alias("sharpe"), (F.round("max_drawdown", 6) + F.lit(0.0)).alias("max_drawdown"), "place")
