@@ -59,7 +59,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("?"), F.xxhash64(text).cast("string"))))
     digits = lambda a, n: F.conv(F.substring(key, a, n), 16, 10).cast("long")
     salted = (digits(1, 4) % first) * times + digits(5, 12) % times
-    rows = df.withColumns({no_src: F.col(source).isNull(), src: F.coalesce(F.col(source), F.lit("")), size: word_count(F.col(text))}).withColumns({cls: size_class(F.col(size)), salt: salted, tie: F.xxhash64(text)})
+    rows = df.withColumns({no_src: F.col(source).isNull(), src: F.coalesce(F.col(source), F.lit("")), size: word_count(F.col(text))}).withColumns({cls: F.coalesce(size_class(F.col(size)), F.lit(0)), salt: F.coalesce(salted, F.lit(0)), tie: F.xxhash64(text)})  # never NULL, or joins would test that by counting the words again
     cells = rows.groupBy(F.col(no_src).alias("no_src"), F.col(src).alias("src"), F.col(cls).alias("cls"), F.col(salt).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words"))
     cells = cut(cells)  # some hundred rows a source and a row for each CELL_ROWS, read four times below
     classes = cells.groupBy("no_src", "src", "cls").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
