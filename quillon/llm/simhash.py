@@ -153,11 +153,10 @@ def component_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The caller's rows without near-duplicates: the smallest id of each group stays. Ids may have any type with an order."""
     i, none, tie, row = temp_name(docs, "id", "none", "tie", "row")
-    prints = fingerprints(docs, text, doc_id)
-    least = group_minimum(prints, F.struct(F.col("id").isNull().alias("none"), "id", "tie"))
-    first = least.select("root", "least").distinct().select(F.col("least.id").alias(i), F.col("least.none").alias(none), F.col("least.tie").alias(tie))
-    tagged = docs.withColumns({none: F.col(doc_id).isNull(), tie: F.xxhash64(text)})
-    same = (tagged[none] == first[none]) & (tagged[tie] == first[tie]) & tagged[doc_id].eqNullSafe(first[i])
-    kept = tagged.join(first, same, "left_semi")
-    once = F.row_number().over(Window.partitionBy(doc_id, none, tie).orderBy(F.lit(0)))
+    least = group_minimum(fingerprints(docs, text, doc_id), F.struct(F.col("id").isNull().alias("none"), "id", "tie"))
+    as_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    first = least.select("root", "least").distinct().select(as_text(F.col("least.id")).alias(i), F.col("least.none").alias(none), F.col("least.tie").alias(tie))
+    tagged = docs.withColumns({i: as_text(F.col(doc_id)), none: F.col(doc_id).isNull(), tie: F.xxhash64(text)})
+    kept = tagged.join(first, [i, none, tie], "left_semi")  # on the window's keys, so texts are shuffled once
+    once = F.row_number().over(Window.partitionBy(i, none, tie).orderBy(F.lit(0)))
     return kept.withColumn(row, once).where(F.col(row) == 1).select(*docs.columns)
