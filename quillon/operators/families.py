@@ -25,7 +25,7 @@ class Family:
     """features: adds columns to the bars. gate: the SQL condition of a score. scores: name -> {feature: weight}.
 
     ``fill``: whether a missing z-score counts as 0, for all features or for some. ``bucket_size``: scores become fractional
-    ranks within (at most five) buckets of that column. ``extra``: further conditions of single scores.
+    ranks within at most ``buckets`` buckets of that column. ``extra``: further conditions of single scores.
     ``carry``: features to give out as well. ``averages``: names that are the mean of the present ones among others.
     """
 
@@ -34,6 +34,7 @@ class Family:
     scores: dict[str, dict[str, float]]
     fill: bool | frozenset[str] = False
     bucket_size: str | None = None
+    buckets: int = 5
     extra: dict[str, str] | None = None
     averages: dict[str, tuple[str, ...]] | None = None
     cross: tuple[str, ...] = w.CROSS
@@ -62,7 +63,7 @@ class Family:
         df = df.withColumns(score)
         if self.bucket_size:
             whole = {n: F.col(n).isNotNull() & F.col(self.bucket_size).isNotNull() for n in base}
-            df = df.withColumns({f"b_{n}": w.edge_bucket(F.when(whole[n], F.col(self.bucket_size)), 5, self.cross, at_most=True) for n in base})
+            df = df.withColumns({f"b_{n}": w.edge_bucket(F.when(whole[n], F.col(self.bucket_size)), self.buckets, self.cross, at_most=True) for n in base})
             df = df.withColumns({n: w.pct_rank(F.when(F.col(f"b_{n}").isNotNull(), F.col(n)), (*self.cross, f"b_{n}")) for n in base})
         means = {a: w.row_mean_present(*parts) for a, parts in (self.averages or {}).items() if a in wanted}
         return (df.withColumns(means) if means else df).select(*KEYS, *self.carry, *wanted)

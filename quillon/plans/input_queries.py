@@ -58,14 +58,18 @@ _MFE = {"net_mf_amount_ratio": " + ".join(x for x in inputs.FLOWS if x.startswit
 
 @register("factors_moneyflow", f"{_MF} SELECT asset_id, market, date, {', '.join(f'round(({e}) / nullif(total, 0), 6) + 0.0 AS {n}, round(-({e}) / nullif(total, 0), 6) + 0.0 AS {n}_low' for n, e in _MFE.items())} FROM t")
 def factors_moneyflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(flows(spark, sf_dir), KEYS, [*inputs.MONEYFLOW, *[f"{n}_low" for n in inputs.MONEYFLOW]])
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money-flow factors of the order lines: returned lines sell, others buy; the quantity is the size of an order."""
     q, buy = F.col("l_quantity"), F.col("l_returnflag") != "R"
     sizes = {"sm": q <= 10, "md": (q > 10) & (q <= 25), "lg": (q > 25) & (q <= 40), "elg": q > 40}
     flow = lambda side, size: F.coalesce(F.sum(F.when(side & size, F.col("l_extendedprice").cast("decimal(18,2)"))), F.lit(0)).cast("double")
     lines = panel.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
     table = lines.agg(*[flow(side, cond).alias(f"{name}_{n}_amount") for name, side in (("buy", buy), ("sell", ~buy)) for n, cond in sizes.items()]).join(panel.assets(spark, sf_dir), "asset_id")
     net = sum((F.col(x) if x.startswith("buy") else -F.col(x) for x in inputs.FLOWS), F.lit(0.0))
-    names = [*inputs.MONEYFLOW, *[f"{n}_low" for n in inputs.MONEYFLOW]]
-    return rounded(inputs.moneyflow(table.withColumn("net_mf_amount", net)), KEYS, names)
+    return inputs.moneyflow(table.withColumn("net_mf_amount", net))
 
 
 @register("factors_share_size", s.final([{"total_share": f"sum(volume) OVER ({s.ASSET} ROWS UNBOUNDED PRECEDING)"}, {"total_size": f"total_share * {P}"}, {"share_change_1d": C("total_share"), "size_change_1d": C("total_size"), "nav_premium_discount": f"{P} / open - 1", "total_share_log": "ln(total_share)", "total_size_log": "ln(total_size)"}, {"share_change_1d_low": "-share_change_1d", "size_change_1d_low": "-size_change_1d", "nav_premium_discount_low": "-nav_premium_discount"}], list(inputs.SHARE_SIZE)))
@@ -121,19 +125,19 @@ _VF = [
 ]
 
 
-def _bucket(e: str, size: str, keys: str) -> str:
+def _bucket(e: str, size: str, keys: str, q: int = 5) -> str:
     """Bucket of size among rows that have e: interpolated edges, no more buckets than values."""
     x = f"(CASE WHEN {e} IS NOT NULL THEN {size} END)"
     n, r = f"count({x}) OVER (PARTITION BY {keys})", f"row_number() OVER (PARTITION BY {keys} ORDER BY {x} NULLS LAST, asset_id)"
-    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {n} = 1 THEN 0 ELSE greatest(0, CAST(ceil(({r} - 1) * least(5, {n}) / CAST({n} - 1 AS DOUBLE)) AS INTEGER) - 1) END"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {n} = 1 THEN 0 ELSE greatest(0, CAST(ceil(({r} - 1) * least({q}, {n}) / CAST({n} - 1 AS DOUBLE)) AS INTEGER) - 1) END"
 
 
-def _valued_family(name: str, family: f.Family, gate: str) -> None:
+def _valued_family(name: str, family: f.Family, gate: str, stages: list[dict[str, str]] = _VF) -> None:
     filled = lambda k: k in family.fill if isinstance(family.fill, frozenset) else family.fill
     used = sorted({k for t in family.scores.values() for k in t})
     text = lambda n: "CASE WHEN " + gate + " THEN " + " + ".join(f"({v!r}) * " + (f"coalesce(z_{k}, 0)" if filled(k) else f"z_{k}") for k, v in family.scores[n].items()) + " END"
     at = {n: f"f{i}" for i, n in enumerate(family.scores)}
-    parts = [*_VF, {f"z_{k}": s.z(k) for k in used}, {at[n]: text(n) for n in at}, {f"b{x}": _bucket(x, "log_size", "date, market") for x in at.values()}, {n: s.rank(f"(CASE WHEN b{x} IS NOT NULL THEN {x} END)", f"date, market, b{x}") for n, x in at.items()}]
+    parts = [*stages, {f"z_{k}": s.z(k) for k in used}, {at[n]: text(n) for n in at}, {f"b{x}": _bucket(x, "log_size", "date, market", family.buckets) for x in at.values()}, {n: s.rank(f"(CASE WHEN b{x} IS NOT NULL THEN {x} END)", f"date, market, b{x}") for n, x in at.items()}]
     sql = s.chain(parts, start="valued", head=_VALUED) + f"\nSELECT asset_id, market, date, {', '.join(f'round({n}, 6) AS {n}' for n in family.names)} FROM last"
 
     @register(name, sql)
