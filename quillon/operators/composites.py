@@ -74,6 +74,48 @@ def risk_filter_bridge(anti: DataFrame, smart: DataFrame, anti_name: str = "anti
     return df.select(*KEYS, *[F.when(both, v).alias(n) for n, v in zip(BRIDGE, values)])
 
 
+ENSEMBLE = ("public_anomaly_residual_equal_weight_20", "public_anomaly_residual_agreement_20", "public_anomaly_residual_disagreement_risk_20", "public_anomaly_residual_regime_conditioned_20")
+
+
+def anomaly_ensemble(bars: DataFrame) -> DataFrame:
+    """Ranks of five components (value, stability, reversal, low volatility, capacity), blended where four are present.
+
+    Components are rounded to nine digits first, so that equal ones tie whatever the order of their sums.
+
+    The market's momentum is a sum over its own dates: returns are averaged per market and date, summed over twenty
+    dates, and joined back, one row per market and date.
+    """
+    p = F.col("adj_close")
+    log = lambda c: F.log(F.when(F.col(c) > 0, F.col(c)))
+    df = w.steps(
+        bars,
+        {"ret": w.change(p), "ret_20": w.change(p, 20), "amount_20": w.mean("amount", 20)},
+        {"down": F.when(F.col("ret").isNotNull(), F.least("ret", F.lit(0.0))), "abs_ret_20": F.abs("ret_20"), "vol_20": w.std("ret", 20), "cheap_pe": -log("pe_ttm"), "cheap_pb": -log("pb"), "log_amount": log("amount_20")},
+        {"down_20": w.std("down", 20)},
+    )
+    markets = df.groupBy("market", "date").agg(F.avg("ret").alias("market_ret"))
+    markets = markets.select("market", "date", w.total("market_ret", 20, keys=("market",)).alias("market_momentum"))
+    df = df.join(markets, ["market", "date"], "left")
+    z = w.zscore
+    parts = {
+        "value": (z("cheap_pe") + z("cheap_pb") + z("dv_ttm")) / 3,
+        "stable": -0.65 * z("down_20") - 0.35 * z("abs_ret_20"),
+        "reversal": -z("ret_20"),
+        "calm": -z("vol_20"),
+        "capacity": z("log_amount") - 0.25 * z("turnover_rate_f"),
+    }
+    rank = lambda c: F.when(F.count(c).over(w.cross()) > 1, w.pct_rank(c))
+    df = w.steps(df, {k: F.round(v, 9) for k, v in parts.items()}, {f"r_{k}": rank(k) for k in parts} | {"amount_rank": rank("amount_20")})
+    ranks = [F.col(f"r_{k}") for k in parts]
+    present = sum((r.isNotNull().cast("int") for r in ranks), F.lit(0))
+    agree = sum((F.coalesce((r > 0.60).cast("int"), F.lit(0)) for r in ranks), F.lit(0))
+    valid = (present >= 4) & (F.col("amount_rank") > 0.25) & (F.abs("ret") <= 0.50)
+    df = df.withColumns({"valid": valid, "present": present, "equal": w.row_mean_present(*ranks)})
+    spread = F.sqrt(sum((F.coalesce((r - F.col("equal")) ** 2, F.lit(0.0)) for r in ranks), F.lit(0.0)) / (F.col("present") - 1))
+    values = (F.col("equal"), agree / 5, 1 - spread + 0.05 * F.col("equal"), F.when(F.col("market_momentum") >= -0.02, F.col("equal")))
+    return df.select(*KEYS, *[F.when(F.col("valid"), v).alias(n) for n, v in zip(ENSEMBLE, values)])
+
+
 @dataclass(frozen=True)
 class Combo:
     """A flow's z-score: plus or minus an exposure's, its residual on exposures, or alone (``keep``).

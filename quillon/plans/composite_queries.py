@@ -52,6 +52,29 @@ def factors_risk_filter_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.risk_filter_bridge(anti, smart, _A, _B), KEYS, list(c.BRIDGE))
 
 
+_PARTS = ("value", "stable", "reversal", "calm", "capacity")
+_RANKED = lambda e: f"CASE WHEN count({e}) OVER ({s.CROSS}) > 1 THEN {s.rank(e)} END"
+_ENSEMBLE = [
+    {"ret": C(P), "ret_20": C(P, 20), "amount_20": R("avg", "amount", 20)},
+    {"down": "CASE WHEN ret IS NOT NULL THEN least(ret, 0) END", "abs_ret_20": "abs(ret_20)", "vol_20": R("stddev_pop", "ret", 20), "cheap_pe": "-CASE WHEN pe_ttm > 0 THEN ln(pe_ttm) END", "cheap_pb": "-CASE WHEN pb > 0 THEN ln(pb) END", "log_amount": "CASE WHEN amount_20 > 0 THEN ln(amount_20) END"},
+    {"down_20": R("stddev_pop", "down", 20)},
+    {f"z_{k}": s.z(k) for k in ("cheap_pe", "cheap_pb", "dv_ttm", "down_20", "abs_ret_20", "ret_20", "vol_20", "log_amount", "turnover_rate_f")},
+    {"value": "round((z_cheap_pe + z_cheap_pb + z_dv_ttm) / 3, 9)", "stable": "round(-0.65 * z_down_20 - 0.35 * z_abs_ret_20, 9)", "reversal": "round(-z_ret_20, 9)", "calm": "round(-z_vol_20, 9)", "capacity": "round(z_log_amount - 0.25 * z_turnover_rate_f, 9)"},
+    {f"r_{k}": _RANKED(k) for k in _PARTS} | {"amount_rank": _RANKED("amount_20")},
+    {"l": f"[{', '.join(f'r_{k}' for k in _PARTS)}]"},
+    {"present": "list_count(l)", "equal": "list_avg(l)", "spread": "list_stddev_samp(l)", "agree": "len(list_filter(l, lambda x: x > 0.6))"},
+    {"valid": "present >= 4 AND amount_rank > 0.25 AND abs(ret) <= 0.5"},
+]
+_ENSEMBLE_SQL = f"""{s.chain(_ENSEMBLE, start="valued", head=_VALUED)},
+mr AS (SELECT market, date, avg(ret) AS r FROM last GROUP BY ALL), mm AS (SELECT market, date, {R("sum", "r", 20, over="PARTITION BY market ORDER BY date")} AS momentum FROM mr)
+SELECT asset_id, market, date, round(CASE WHEN valid THEN equal END, 6) AS {c.ENSEMBLE[0]}, round(CASE WHEN valid THEN agree / 5.0 END, 6) AS {c.ENSEMBLE[1]}, round(CASE WHEN valid THEN 1 - spread + 0.05 * equal END, 6) AS {c.ENSEMBLE[2]}, round(CASE WHEN valid AND momentum >= -0.02 THEN equal END, 6) AS {c.ENSEMBLE[3]} FROM last LEFT JOIN mm USING (market, date)"""
+
+
+@register("factors_anomaly_ensemble", _ENSEMBLE_SQL)
+def factors_anomaly_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(c.anomaly_ensemble(valued(spark, sf_dir)), KEYS, list(c.ENSEMBLE))
+
+
 FLOOR = 60_000.0  # of the order lines; their amounts stay far below the default
 _X = f"OVER ({s.CROSS})"
 _FLOWED = sorted({x.flow for x in c.COMBOS.values()})
