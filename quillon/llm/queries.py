@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, html, licenses, mixing, sharding, simhash, tokens, topk, toxicity
+from . import chat, decontaminate, divergence, html, licenses, mixing, repair, sharding, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -92,6 +92,17 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    kind = F.crc32(key) % 20
+    changed = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    damaged = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), changed.alias("text"), (kind != 0).alias("present"), F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return repair.repair(damaged, present=F.col("present")).withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP8_SQL = rf"""
@@ -122,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokens": op9_tokens,
     "op10_licenses": op10_licenses,
     "op12_divergence": op12_divergence,
+    "op13_repair": op13_repair,
 }
 
 _OP5_SQL = """
@@ -179,7 +191,44 @@ o AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_
 SELECT * FROM o WHERE part = 'pair' OR rank <= 200
 """
 
+# The repair as a shortest path: layer by layer over the rows, up to two inserted rows before each, the least of each state.
+_OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(256) t(n))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+dealt AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1]))) % 20 AS kind FROM keyed, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM dealt),
+ids AS (SELECT row_number() OVER () AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS a
+             FROM damaged d JOIN ids ON d.conv_id IS NOT DISTINCT FROM ids.conv_id),
+told AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS seen,
+                regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, lag(a) OVER (PARTITION BY c ORDER BY i) || a NOT IN ('su', 'ua', 'au') AS odd FROM numbered),
+r AS (SELECT *, blank OR seen AS gone, CAST(NOT blank AND NOT seen AND cut AS BIGINT) AS late FROM told),
+ins(q, z, price, letters, said) AS (VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+      (3, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+op(q, z, price, letter, initial, role) AS (VALUES (0, 0, 3, 'D', NULL, NULL), (1, 1, 3, 'D', NULL, NULL), (2, 2, 3, 'D', NULL, NULL), (3, 3, 3, 'D', NULL, NULL),
+      (0, 2, 2, 'R', NULL, 'user'), (1, 2, 2, 'R', NULL, 'user'), (3, 2, 2, 'R', NULL, 'user'), (2, 3, 2, 'R', NULL, 'assistant'),
+      (0, 1, 0, 'K', 's', NULL), (0, 2, 0, 'K', 'u', NULL), (1, 2, 0, 'K', 'u', NULL), (3, 2, 0, 'K', 'u', NULL), (2, 3, 0, 'K', 'a', NULL)),
+s(c, i, q, best) AS (
+    SELECT c, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'said': CAST([] AS VARCHAR[])} FROM ids
+    UNION ALL
+    SELECT s.c, r.i, op.z, min({'cost': s.best.cost + ins.price + op.price + CASE WHEN op.letter = 'D' THEN 0 ELSE r.late END, 'audit': s.best.audit || ins.letters || op.letter,
+           'said': s.best.said || ins.said || CASE WHEN op.letter = 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(op.role, r.role) || ':' || r.text] END})
+    FROM s JOIN r ON r.c = s.c AND r.i = s.i + 1 JOIN ins ON ins.q = s.q JOIN op ON op.q = ins.z
+    WHERE op.letter = 'D' OR (NOT r.gone AND (op.letter = 'R' OR op.initial = r.a)) GROUP BY s.c, r.i, op.z),
+n AS (SELECT c, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, coalesce(count_if(blank), 0) AS blank, coalesce(count_if(seen AND NOT blank), 0) AS duplicate, coalesce(sum(late), 0) AS truncated, coalesce(count_if(odd), 0) AS illegal
+      FROM ids LEFT JOIN r USING (c) GROUP BY c),
+f AS (SELECT s.c, min({'cost': s.best.cost + ins.price, 'audit': s.best.audit || ins.letters, 'said': s.best.said || ins.said}) AS best
+      FROM s JOIN n ON n.c = s.c AND n.n = s.i JOIN ins ON ins.q = s.q AND ins.z IN (0, 3) GROUP BY s.c)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate, CAST(truncated AS BIGINT) AS truncated, CAST(illegal AS BIGINT) AS illegal,
+       CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM ids JOIN n USING (c) JOIN f USING (c)
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_repair": _OP13_SQL,
     "op12_divergence": _OP12_SQL,
     "op3_mixing": _OP3_SQL,
     "op7_chat": _OP7_SQL,
