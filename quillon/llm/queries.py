@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, html, licenses, mixing, repair, sharding, simhash, tokens, topk, toxicity
+from . import chat, decontaminate, divergence, html, licenses, mixing, neighbours, repair, sharding, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -88,6 +88,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files, "text", "path")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest(rows, neighbours.usable(F.col("embedding")), F.col("id") % 100 == 0, "vec_id", k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score", "variant")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
     "op10_licenses": op10_licenses,
+    "op11_neighbours": op11_neighbours,
     "op12_divergence": op12_divergence,
     "op13_repair": op13_repair,
 }
