@@ -17,7 +17,7 @@ texts count as documents without terms; a source without terms, and a language t
 ties of a rank go to the item first in UTF-8; an empty table gives no rows; other columns are not looked at. The rows
 must come from a table (or another source that numbers them alike when it is read again).
 
-A task holds at most ``HELD`` chunks and one batch of texts; the matrix of a block has one column per source of a language.
+A task holds about ``HELD`` chunk counts and one batch of texts; the matrix of a block has one column per source of a language.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +37,13 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE_STEPS, SCALE_STEP = 3, 1000  # 10^9, in steps that keep long division within 64 bits
 BLOCK_TERMS = 8192
-HELD = 300_000
+HELD = 1_500_000
+PART = 200_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-CHUNKS = "lang string, source string, chunk string, n long, docs long, first_doc long, last_doc long"
+DOCS = "n long, docs long, first_doc long, last_doc long"
+CHUNKS, TERMS = f"lang string, source string, chunk string, {DOCS}", f"lang string, source string, term string, {DOCS}"
 
 
 def terms(text: Column) -> Column:
@@ -48,69 +51,97 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
 
 
-class _Tally:
-    """Chunks of the documents of one (language, source)."""
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
-    def __init__(self) -> None:
-        self.n, self.docs, self.first, self.last = Counter(), Counter(), {}, {}
 
-    def add(self, words: list[bytes], doc: int) -> int:
-        """Count a document; the number of chunks that are new here."""
-        distinct = set(words)
-        new = distinct.difference(self.first)
-        self.n.update(words)
-        self.docs.update(distinct)
-        self.first.update(dict.fromkeys(new, doc))
-        self.last.update(dict.fromkeys(distinct, doc))
-        return len(new)
+def _summed(name: str, rows: pa.Table) -> pa.RecordBatch:
+    """Rows summed by (lang, source, name), with up to ``MIN_DOCS`` documents told apart.
 
-    def rows(self, lang: str, source: str) -> pd.DataFrame:
-        docs = np.fromiter(self.docs.values(), np.int64, len(self.docs))
-        first = pd.array(np.fromiter((self.first[c] for c in self.docs), np.int64, len(docs)), dtype="Int64")
-        last = pd.array(np.fromiter((self.last[c] for c in self.docs), np.int64, len(docs)), dtype="Int64")
-        first[docs >= MIN_DOCS] = pd.NA
-        last[(docs >= MIN_DOCS) | (docs == 1)] = pd.NA
-        return pd.DataFrame({"lang": lang, "source": source, "chunk": [c.decode() for c in self.docs], "n": [self.n[c] for c in self.docs], "docs": docs, "first_doc": first, "last_doc": last})
-
-
-def _count_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple[str, str], _Tally] = {}
-    size = 0
+    Documents are kept only where they are all: a first one, and a last one if it is another.
+    """
+    keys = [_codes(rows.column(c).combine_chunks()) for c in ("lang", "source", name)]
+    key = (keys[0][0] * len(keys[1][1]) + keys[1][0]) * len(keys[2][1]) + keys[2][0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    at = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
+    n, docs = (rows.column(c).to_numpy()[order] for c in ("n", "docs"))
+    first = rows.column("first_doc").fill_null(-1).to_numpy()[order]
+    last = np.maximum(first, rows.column("last_doc").fill_null(-1).to_numpy()[order])
+    least, most = np.minimum.reduceat(first, start), np.maximum.reduceat(last, start)
+    between = np.logical_or.reduceat(((first > least[at]) & (first < most[at])) | ((last > least[at]) & (last < most[at])), start)
+    known = np.maximum(np.maximum.reduceat(docs, start), np.where(between, MIN_DOCS, np.where(least < most, 2, 1)))
+    few = known < MIN_DOCS
+    names = [pa.DictionaryArray.from_arrays(pa.array(k[order][start]), values).cast(pa.string()) for k, values in keys]
+    return pa.RecordBatch.from_arrays([*names, pa.array(np.add.reduceat(n, start)), pa.array(known), pa.array(least, mask=~few), pa.array(most, mask=~few | (known == 1))], names=["lang", "source", name, "n", "docs", "first_doc", "last_doc"])
+
+
+def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for batch in batches:
-        for lang, source, text, doc in zip(batch["lang"], batch["source"], batch["text"], batch["doc"]):
-            words = text.encode().split()  # bytes split at ASCII white space
-            if words:
-                size += held.setdefault((lang, source), _Tally()).add(words, doc)
+        texts, ids = batch.column("text").cast(pa.binary()), batch.column("doc").to_numpy()
+        i = 0
+        while i < len(texts):
+            chunks, counts, sizes, begin = [], [], [], i
+            while i < len(texts) and len(chunks) < PART:
+                found = Counter(texts[i].as_py().split())  # bytes split at ASCII white space
+                chunks.extend(found)
+                counts.extend(found.values())
+                sizes.append(len(found))
+                i += 1
+            doc = pa.array(np.repeat(np.arange(begin, i), sizes))
+            own, row = batch.select(["lang", "source"]).take(doc), pa.array(np.repeat(ids[begin:i], sizes))
+            ones = pa.array(np.ones(len(chunks), np.int64))
+            held.append(pa.table({"lang": own.column("lang"), "source": own.column("source"), "chunk": pa.array(chunks, pa.binary()).cast(pa.string()), "n": pa.array(counts, pa.int64()), "docs": ones, "first_doc": row, "last_doc": row}))
+            size += len(chunks)
             if size >= HELD:
-                yield from (t.rows(*k) for k, t in held.items())
-                held, size = {}, 0
-    yield from (t.rows(*k) for k, t in held.items())
+                yield _summed("chunk", pa.concat_tables(held))
+                held, size = [], 0
+    if size:
+        yield _summed("chunk", pa.concat_tables(held))
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, chunk, n, docs, first_doc, last_doc) of every distinct chunk of a source, partitioned by chunk.
 
-    The two documents are NULL from ``MIN_DOCS`` documents on; with one document the last is NULL.
+    The two documents are NULL from ``MIN_DOCS`` documents on; with one document the last is NULL. Texts are dealt out by
+    ranges of (language, source, document): large sources fall into several ranges, and the documents of a source share
+    many chunks, so that what is counted together is smaller than the texts.
     """
     numbered = docs.select("lang", "source", "text", F.monotonically_increasing_id().alias("doc"))
-    parts = numbered.mapInPandas(_count_chunks, CHUNKS).repartition("chunk")
+    parts = numbered.repartitionByRange("lang", "source", "doc").mapInArrow(_count_chunks, CHUNKS).repartition("chunk")
     seen = parts.groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first_doc").alias("a"), F.max(F.coalesce("last_doc", "first_doc")).alias("b"))
     few = F.col("docs") < MIN_DOCS
     return seen.select("lang", "source", "chunk", "n", "docs", F.when(few, F.col("a")).alias("first_doc"), F.when(few & (F.col("docs") > 1), F.col("b")).alias("last_doc"))
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size >= HELD:
+            yield _summed("term", pa.concat_tables(held))
+            held, size = [], 0
+    if size:
+        yield _summed("term", pa.concat_tables(held))
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) from the chunks; docs is exact below ``MIN_DOCS`` and not below it otherwise."""
+    """(lang, source, term, n, docs) from the chunks, partitioned by (lang, term); docs is exact below ``MIN_DOCS`` and not below it otherwise."""
     same = Window.partitionBy("chunk").orderBy("lang", "source")
     numbered = chunks.withColumn("at", F.row_number().over(same))
     once = numbered.withColumn("terms", F.first(F.when(F.col("at") == 1, terms(F.col("chunk")))).over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    # a term twice in a chunk is two rows; its documents are the same ones
+    spread = once.select("lang", "source", F.explode("terms").alias("term"), "n", "docs", "first_doc", "last_doc")
+    parts = spread.mapInArrow(_count_terms, TERMS).repartition("lang", "term")
+    # one row for each document that is told apart; the first has the occurrences
     doc = F.explode(F.when(F.col("last_doc").isNull(), F.array("first_doc")).otherwise(F.array("first_doc", "last_doc")))
-    spread = once.select("lang", "source", "n", "docs", "first_doc", "last_doc", F.explode("terms").alias("term"))
-    rows = spread.select("lang", "source", "term", "n", "docs", "first_doc", doc.alias("doc"))
+    rows = parts.select("lang", "source", "term", "n", "docs", "first_doc", doc.alias("doc"))
     own = rows.withColumn("n", F.when(F.col("doc").eqNullSafe(F.col("first_doc")), F.col("n")).otherwise(0))
-    by_doc = own.groupBy("lang", "source", "term", "doc").agg(F.sum("n").alias("n"), F.max("docs").alias("docs"))
-    return by_doc.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.greatest(F.count("doc"), F.max("docs")).alias("docs"))
+    by_doc = own.groupBy("lang", "term", "source", "doc").agg(F.sum("n").alias("n"), F.max("docs").alias("docs"))
+    return by_doc.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.greatest(F.count("doc"), F.max("docs")).alias("docs"))
 
 
 def kept_terms(counted: DataFrame) -> DataFrame:
