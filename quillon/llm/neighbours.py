@@ -7,7 +7,7 @@
 * A query finds centroids in a graph that tasks hold in memory: each centroid is tied to near ones in different
   directions, and the search expands the nearest unexpanded node until all nodes within the ratio are expanded.
 * Distance-ratio pruning: the lists visited are those whose centroid is at most ``ratio`` times as far as the nearest one.
-  The ratio is calibrated: ``PROBES`` sample rows search the whole table by brute force (one pass, merged by groups), and
+  The ratio is calibrated: ``PROBES`` different sample rows search the whole table by brute force (one pass, merged by groups), and
   the ratio is the least that finds ``RECALL`` of their neighbours. So clustered tables visit few lists, and tables
   without clusters as many as they need.
 * Lists are packed into blocks of at most ``BLOCK_ROWS`` rows (long lists are split), queries into chunks near each other;
@@ -212,7 +212,8 @@ class Index:
         distinct = np.unique(sample, axis=0) if len(sample) else np.zeros((1, self.dim))
         lists = Lists(balanced_centroids(distinct, max(1, min(total // LIST_ROWS, MAX_LISTS, len(distinct) // FIT_ROWS))))
         if len(sample):
-            lists.ratio = self._calibrated(lists, sample[:PROBES], held.column("id").to_numpy()[:PROBES])
+            probes = np.sort(np.unique(sample, axis=0, return_index=True)[1])[:PROBES]  # copies are one probe
+            lists.ratio = self._calibrated(lists, sample[probes], held.column("id").to_numpy()[probes])
         self.lists = lists
         self.held = table.sparkSession.sparkContext.broadcast(lists)
         self.posted = cut(self.rows.mapInArrow(self._post(), "list int, id long, row long, vec array<double>"))
