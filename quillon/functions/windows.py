@@ -76,6 +76,42 @@ def middle(c, n, least=None, **k) -> Column:
     return roll(lambda x: F.percentile(x, 0.5), c, n, least, **k)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def array_median(values: Column) -> Column:
+    """Median of an array without NULLs; NULL of an empty one."""
+    at = lambda s: (F.element_at(s, ((F.size(s) + 1) / 2).cast("int")) + F.element_at(s, (F.size(s) / 2).cast("int") + 1)) / 2
+    return F.when(F.size(values) > 0, _with(F.sort_array(values), at))
+
+
+def mad(c: Column | str, n: int, least: int | None = None, keys: tuple[str, ...] = ASSET, order: str = "date", shift: int = 0) -> Column:
+    """Rolling median absolute deviation from the window's own median. The frame is an array of n values at most."""
+    off = lambda x: _with(array_median(x), lambda m: array_median(F.transform(x, lambda v: F.abs(v - m))))
+    return _with(roll(F.collect_list, c, n, least, keys, order, shift), off)
+
+
+def exponential(values: Column, span: int, least: int) -> Column:
+    """Recursive exponential means along an array: 2 / (span + 1) of the new value, the rest of the mean before.
+
+    The first present value starts it; over missing values the old mean loses weight; NULL until ``least`` values are there
+    and at the start. A fold on the JVM: its state is the mean, its weight and the count.
+    """
+    a = 2.0 / (span + 1)
+    zero = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(1.0).alias("weight"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        kept = s["weight"] * (1 - a)
+        mean = F.when(x.isNull(), s["mean"]).when(s["mean"].isNull(), x).otherwise((kept * s["mean"] + a * x) / (kept + a))
+        n = s["n"] + F.when(x.isNotNull(), 1).otherwise(0)
+        weight = F.when(x.isNull() & s["mean"].isNotNull(), kept).otherwise(1.0)
+        return F.struct(mean.alias("mean"), weight.alias("weight"), n.alias("n"), F.concat(s["out"], F.array(F.when(n >= least, mean))).alias("out"))
+
+    return F.aggregate(values, zero, step, lambda s: s["out"])
+
+
 def pair_roll(agg: Callable[[Column, Column], Column], a: Column | str, b: Column | str, n: int, least: int | None = None, shift: int = 0) -> Column:
     """A statistic of pairs; a pair counts where both values are present."""
     a, b = as_col(a), as_col(b)

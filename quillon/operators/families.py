@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,17 +90,12 @@ def oscillators(bars: DataFrame) -> DataFrame:
 
 
 def macd_histogram(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Keys and macd_histogram_12_26_9. Exponential means are recursive, so each asset's own history is one group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        ema = lambda s, n: s.ewm(span=n, adjust=False, min_periods=n).mean()
-        line = ema(pdf["adj_close"], fast) - ema(pdf["adj_close"], slow)
-        return pdf[KEYS].assign(macd_histogram_12_26_9=line - ema(line, signal))
-
-    rows = bars.select(*KEYS, "adj_close")
-    types = dict(rows.dtypes)
-    return rows.groupBy("asset_id", "market").applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in KEYS) + ", macd_histogram_12_26_9 double")
+    """Keys and macd_histogram_12_26_9. Exponential means are recursive: an asset's history is one array, folded in order."""
+    past = bars.groupBy("asset_id", "market").agg(F.sort_array(F.collect_list(F.struct("date", "adj_close"))).alias("rows"))
+    line = past.withColumn("line", F.zip_with(w.exponential(F.col("rows.adj_close"), fast, fast), w.exponential(F.col("rows.adj_close"), slow, slow), lambda a, b: a - b))
+    late = line.withColumn("histogram", F.zip_with("line", w.exponential(F.col("line"), signal, signal), lambda a, b: a - b))
+    each = late.select("asset_id", "market", F.inline(F.arrays_zip(F.col("rows.date").alias("date"), F.col("histogram").alias("macd_histogram_12_26_9"))))
+    return each.select(*KEYS, "macd_histogram_12_26_9")
 
 
 def public_technical(bars: DataFrame) -> DataFrame:

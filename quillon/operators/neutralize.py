@@ -50,6 +50,37 @@ def ols_residual(df: DataFrame, y: str, xs: list[str], keys: tuple[str, ...] = w
     return fitted.withColumn(out, F.when(F.col("n_rows") >= least, value)).drop("beta", "n_rows", *[f"c_{c}" for c in cols])
 
 
+def industry_style_residual(df: DataFrame, y: str, styles: list[str], keys: tuple[str, ...] = w.CROSS, industry: str = "industry", least: int = 30, least_industries: int = 3, out: str = "residual") -> DataFrame:
+    """What industry dummies and styles together leave of a factor's cross-section, NULL where it cannot be fitted.
+
+    Factor and styles are z-scores over the rows that have all of them and an industry (0 where nothing varies). Industries
+    may be many: taking the industry's mean off both sides leaves the same residual as a dummy each (partialling out), so
+    only the styles are solved for. Windows by industry lie within those by cross-section, so the rows are shuffled once;
+    the sums of products are aggregated map-side, as in ols_residual(). Collinear styles take the smallest solution.
+    """
+    cols = [y, *styles]
+    whole = F.col(industry).isNotNull()
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    over, inner = w.cross(keys), w.cross((*keys, industry))
+    v, z, d = (lambda c, p=p: f"{p}_{c}" for p in "vzd")
+    scaled = w.steps(
+        df,
+        {v(c): F.when(whole, F.col(c)) for c in cols},
+        {"n_rows": F.count(v(y)).over(over), "n_inner": F.count(v(y)).over(inner)} | {z(c): F.when(whole, F.coalesce(w.zscore(v(c), keys), F.lit(0.0))) for c in cols},
+        {d(c): F.col(z(c)) - F.avg(z(c)).over(inner) for c in cols} | {"n_industries": F.round(F.sum(F.when(whole, 1 / F.col("n_inner"))).over(over))},
+    )
+    dot = lambda a, b: F.sum(F.col(d(a)) * F.col(d(b)))
+    sums = scaled.groupBy(*keys).agg(F.array(*[dot(a, b) for a in styles for b in styles]).alias("xx"), F.array(*[dot(a, y) for a in styles]).alias("xy"))
+    beta = sums.select(*keys, _solver(len(styles), "min_norm")("xx", "xy").alias("beta"))
+    fitted = scaled.join(beta, list(keys), "left")
+    value = F.col(d(y)) - sum(F.col("beta")[i] * F.col(d(x)) for i, x in enumerate(styles))
+    enough = (F.col("n_rows") >= least) & (F.col("n_industries") >= least_industries)
+    left = fitted.withColumn(out, F.when(enough, value))
+    varies = F.stddev_pop(out).over(over) > 1e-12
+    return left.withColumn(out, F.when(varies, F.col(out))).drop("beta", "n_rows", "n_inner", "n_industries", *[n(c) for n in (v, z, d) for c in cols])
+
+
 def rank_residual(df: DataFrame, y: str, x: str, keys: tuple[str, ...] = w.CROSS) -> Column:
     """Residual of y on one exposure over the cross-section, as a column."""
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
