@@ -37,7 +37,7 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE_STEPS, SCALE_STEP = 3, 1000  # 10^9, in steps that keep long division within 64 bits
 BLOCK_TERMS = 8192
-HELD = 1_500_000
+HELD = 1_000_000
 PART = 200_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
