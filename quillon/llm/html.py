@@ -10,12 +10,19 @@ Names are read class by class: a class speaks of boilerplate if it has a word fo
 words only say where or in what ("container", "post"); "social-sciences" or "has-sidebar" do not. What is cut off by a
 soft tag (form, nav, aside, ...), a role or a name stays if it wraps the page's article: if it holds its largest main
 part, else its largest article, else its first h1, and half of the unlinked text outside comments with it (without any
-of these, four fifths of the text; a form half of it). Paragraphs and headings are never menus, nor is anything in an
-article.
+of these, four fifths of the text; a form half of it). Headings are never menus. In an article only a list of links under a
+heading that announces other pages ("Related", "Read next") goes, with the heading.
+
+Without an article or main part, the blocks beside the best container and beside what wraps it are kept if they are not
+links, nor a short line of the page's foot (rights, terms, privacy), nor a scrap: text without a paragraph, heading or
+sentence. Runs of three or more links between blocks are menus, in cells too, and so are paragraphs of short links before
+the first or after the last prose of their container. An article beside the best one goes if its heading is a link and it
+is short, or if its name says teaser.
 
 Defined results: NULL, empty or text-free HTML gives an empty text; plain text without tags is its own article; unclosed
-and stray tags follow the usual implied ends; character references are decoded, broken ones stay as they are; declarations
-(<!...>, <![...>) end at the next ">"; equal pages give equal texts; an empty table gives no rows; columns of the caller
+and stray tags follow the usual implied ends; character references are decoded, broken ones stay as they are; a comment
+without an end goes with all after it, a tag without one goes alone (after ``REPAIRS`` of these the rest is text);
+declarations (<!...>, <![...>) end at the next ">"; equal pages give equal texts; an empty table gives no rows; columns of the caller
 are kept. The work is linear in the page, whatever its tags.
 """
 
@@ -43,7 +50,7 @@ COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies r
 JUNK_NAMES = COMMENT_NAMES | frozenset("""nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adv advert adverts
     advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promoted banner cookie cookies consent gdpr notice notices
     alert alerts popup popover modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending
-    search pagination pager toolbar skip hidden copyright legal disclaimer outbrain taboola""".split())
+    search pagination pager toolbar skip hidden copyright legal disclaimer outbrain taboola foot rail rails teaser teasers topbar subnav sitenav footnav sitemap""".split())
 #: Words beside them that only say where, in what or how.
 BESIDE = frozenset("""article articles post posts entry entries story stories page pages site main content contents body text container wrapper wrap inner outer box
     block section area region zone slot unit module component panel bar strip row col column columns grid list lists item items link links group holder frame card
@@ -63,6 +70,12 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 PARTS = frozenset("p pre h1 h2 h3 h4 h5 h6 hr li dt dd tr td th tbody thead tfoot ul ol dl caption option figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
+#: What heads of link lists say that lead to other pages, and what lines at the foot of a page say.
+ELSEWHERE = re.compile(r"(related|recommended|popular|trending|latest|sponsored|share|follow us|most (read|popular|viewed)|more (from|on|in|about|stories|news|articles|posts)|read (more|next|also)|you (may|might)( also)? like|(up|what'?s) next)\b", re.I)
+FOOT = re.compile(r"all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookie policy|©|\(c\) ?\d{4}|powered by", re.I)
+FOOT_CHARS = 300
+SENTENCE = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
+
 #: Marks of a node: whether one of these elements is open at it, counted from the nearest element that hides those outside.
 OPEN_P, OPEN_LI, OPEN_DT, OPEN_TR, OPEN_TD, OPEN_OPTION, IN_ARTICLE, IN_MAIN, IN_CODE, IN_LINK, IN_QUOTE = (1 << i for i in range(11))
 SETS = {"p": OPEN_P, "li": OPEN_LI, "dt": OPEN_DT, "dd": OPEN_DT, "tr": OPEN_TR, "td": OPEN_TD, "th": OPEN_TD, "option": OPEN_OPTION, "article": IN_ARTICLE, "main": IN_MAIN, "pre": IN_CODE, "code": IN_CODE, "a": IN_LINK, "blockquote": IN_QUOTE}
@@ -73,15 +86,18 @@ for _tags, _mark in (("html body table td th article section div blockquote ul o
 #: For a start tag: the open elements that it ends.
 ENDS = {"li": OPEN_LI, "dt": OPEN_DT, "dd": OPEN_DT, "tr": OPEN_TR, "td": OPEN_TD, "th": OPEN_TD, "option": OPEN_OPTION} | dict.fromkeys(ENDS_P, OPEN_P)
 KEEP, SOFT, COMMENT, HARD = range(4)
+#: A comment or tag that the page ends in goes; after so many tags without an end the rest is left to the parser.
+UNFINISHED = re.compile(r"<!--|<\?|</?[a-zA-Z]")
+REPAIRS = 50
 
 
 class Node:
-    __slots__ = ("tag", "junk", "parent", "children", "marks", "score", "length", "linked", "links", "prose", "plain")
+    __slots__ = ("tag", "junk", "parent", "children", "marks", "score", "length", "linked", "links", "prose", "heads", "plain")
 
     def __init__(self, tag: str, parent: Node | None, junk: int = KEEP, marks: int = 0):
         self.tag, self.parent, self.junk, self.marks = tag, parent, junk, marks
         self.children: list[Node | str] = []
-        self.score, self.length, self.linked, self.links, self.prose, self.plain = 0.0, 0, 0, 0, False, 0
+        self.score, self.length, self.linked, self.links, self.prose, self.heads, self.plain = 0.0, 0, 0, 0, False, False, 0
 
 
 def _words(name: str) -> set[str]:
@@ -169,6 +185,15 @@ class Builder(HTMLParser):
 def parse(html: str) -> Node:
     builder = Builder()
     builder.feed(html)
+    for _ in range(REPAIRS):  # what the parser still holds has no end
+        held = builder.rawdata
+        if builder.cdata_elem or not UNFINISHED.match(held):
+            break
+        builder.rawdata = ""
+        more = -1 if held.startswith(("<!--", "<?")) else held.find("<", 1)
+        if more < 0:
+            break
+        builder.feed(held[more:])
     builder.close()
     return builder.root
 
@@ -229,6 +254,7 @@ def measure(root: Node) -> list[Node]:
         n.linked = n.length if n.tag == "a" else sum(c.linked for c in inner)
         n.links = (n.tag == "a") + sum(c.links for c in inner)
         n.prose = n.tag in ("p", "blockquote", "pre", "figure") and n.length > 0 or any(c.prose for c in inner)
+        n.heads = n.tag in HEADINGS and n.length > 0 or any(c.heads for c in inner)
     for n in nodes:
         if n.tag in INLINE:
             continue
@@ -257,37 +283,84 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _links_only(n: Node, least: int = 3) -> bool:
+    return n.links >= least and n.linked >= 0.8 * n.length
+
+
 def _menu(n: Node) -> bool:
-    return n.tag in ("ul", "ol", "dl", "table", "div", "section") and n.links >= 3 and n.linked >= 0.8 * n.length and not n.prose and not n.marks & IN_ARTICLE
+    return n.tag in ("ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "div", "section", "center") and _links_only(n) and not n.prose and not n.marks & IN_ARTICLE
+
+
+def text_of(n: Node, most: int) -> str:
+    """The text below a node, up to about so many characters."""
+    pieces: list[str] = []
+    stack: list = [n]
+    size = 0
+    while stack and size < most:
+        c = stack.pop()
+        if isinstance(c, str):
+            pieces.append(c)
+            size += len(c)
+        else:
+            pieces.append("" if c.tag in INLINE and c.tag != "br" else " ")
+            stack.extend(reversed(c.children))
+    return " ".join("".join(pieces).split())
+
+
+def elsewhere(nodes: list[Node]) -> set[int]:
+    """Ids of headings that announce other pages, with the link lists after them, and of paragraphs of links at an edge of the text."""
+    out = set()
+    for n in nodes:
+        last, prose, menus = None, [], []
+        for i, c in enumerate(n.children):
+            if isinstance(c, str):
+                continue
+            if last is not None and c.tag in ("ul", "ol", "div", "section") and _links_only(c, 2) and ELSEWHERE.match(text_of(last, 80)):
+                out |= {id(last), id(c)}
+            last = c if c.tag in HEADINGS else last if c.tag in INLINE else None
+            if c.tag == "p" and not c.marks & IN_ARTICLE and _links_only(c) and c.linked <= 25 * c.links:
+                menus.append((i, c))
+            elif c.length > c.linked * 2 and (c.prose or c.tag in HEADINGS):
+                prose.append(i)
+        out |= {id(c) for i, c in menus if not prose or i < prose[0] or i > prose[-1]}
+    return out
 
 
 def blocks(root: Node, without: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of the blocks below a node, in page order, but for the nodes of these ids."""
+    """The texts of the blocks below a node, in page order, but for the nodes of these ids, menus, and runs of links beside blocks."""
     found: list[str] = []
     piece: list[str] = []
+    links: list[int] = []  # lengths of the links of the run
 
-    def end() -> None:
+    def end(owner: Node) -> None:
         if text := " ".join("".join(piece).split()):
-            found.append(text)
+            run = len(links) >= 3 and sum(links) >= 0.8 * len(text) and owner.tag not in PARTS and not owner.marks & IN_ARTICLE
+            if not run:
+                found.append(text)
         piece.clear()
+        links.clear()
 
     stack: list[tuple[Node, Iterator]] = [(root, iter(root.children))]
+    owner = [root]
     while stack:
         n, rest = stack[-1]
         c = next(rest, None)
         if c is None:
             stack.pop()
             if n.tag not in INLINE:
-                end()
+                end(owner.pop() if len(owner) > 1 else root)
         elif isinstance(c, str):
             piece.append(c)
         elif c.tag == "br":
             piece.append(" ")
         elif id(c) not in without and not _menu(c):
             if c.tag not in INLINE:
-                end()
+                end(owner[-1])
+                owner.append(c)
+            elif c.tag == "a":
+                links.append(c.length)
             stack.append((c, iter(c.children)))
-    end()
+    end(root)
     return found
 
 
@@ -295,6 +368,24 @@ def _linked(n: Node) -> bool:
     return n.length > 0 and n.linked > 0.5 * n.length and n.tag not in HEADINGS and n.tag != "p"
 
 
+def _foreign(n: Node, near: bool) -> bool:
+    """Whether a block beside the text is no part of it: links, a line of the page's foot, or a scrap without a paragraph, heading or sentence."""
+    if _linked(n):
+        return True
+    if n.length == 0 or n.tag in HEADINGS:
+        return False
+    text = text_of(n, FOOT_CHARS + 1)
+    if len(text) <= FOOT_CHARS and FOOT.search(text):
+        return True
+    scrap = n.tag in ("div", "section", "center", "td", "address", "details") and not n.prose and not n.heads
+    return scrap and not SENTENCE.search(text) if near else scrap and n.length <= FOOT_CHARS
+
+
+def _teaser(n: Node, best: Node) -> bool:
+    """Whether an article beside the best one leads to another page: its heading is a link, and it is short."""
+    return n.tag == "article" and n.heads and n.linked > 0 and n.length < 0.3 * best.length and any(isinstance(c, Node) and c.tag in HEADINGS and c.length and c.linked >= 0.8 * c.length for c in _order(n))
+
+
 def _whole(best: Node) -> tuple[Node, frozenset[int]]:
     """The node that holds the whole text around the best one, and the ids of those of its children that don't belong to it."""
     top, n = None, best
@@ -304,15 +395,18 @@ def _whole(best: Node) -> tuple[Node, frozenset[int]]:
         n = n.parent
     if top is not None:
         if top.tag == "main":
-            return top, frozenset(id(c) for c in top.children if isinstance(c, Node) and c.tag not in INLINE and _linked(c) and not c.marks & IN_ARTICLE)
-        if not any(c is not top and isinstance(c, Node) and c.tag == "article" for c in top.parent.children):
+            return top, frozenset(id(c) for c in _order(top) if c is not top and (not c.parent.marks & IN_ARTICLE and _teaser(c, top) or c.parent is top and c.tag not in INLINE and c.tag != "article" and _foreign(c, True) and not c.marks & IN_ARTICLE))
+        beside = [c for c in top.parent.children if isinstance(c, Node) and c is not top]
+        if not any(c.tag == "article" for c in beside):
             return top, frozenset()
-        return top.parent, frozenset(id(c) for c in top.parent.children if isinstance(c, Node) and (c.tag not in ("article", "main", *HEADINGS) or _linked(c)) and c is not top)
-    at, out = best, frozenset()
-    while at.parent is not None and not out:
-        out = frozenset(id(c) for c in at.parent.children if isinstance(c, Node) and c is not at and c.tag not in INLINE and _linked(c))
+        return top.parent, frozenset(id(c) for c in beside if c.tag not in ("article", "main", *HEADINGS) or _linked(c) or _teaser(c, top))
+    at, out, near = best, set(), True
+    while at.parent is not None:
+        around = [c for c in at.parent.children if isinstance(c, Node) and c is not at and c.tag not in INLINE]
+        out |= {id(c) for c in around if _foreign(c, near)}
+        near = near and all(c.length == 0 for c in around)
         at = at.parent
-    return at, out
+    return at, frozenset(out)
 
 
 def main_text(html: str | None) -> str:
@@ -320,11 +414,13 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     prune(root)
+    nodes = measure(root)
     best = root
-    for n in measure(root)[::-1]:  # parents first: of equals, the outer one
+    for n in nodes[::-1]:  # parents first: of equals, the outer one
         if n.tag not in INLINE and n.tag not in PARTS and n.score > best.score:
             best = n
-    return " ".join(blocks(*_whole(best)))
+    whole, without = _whole(best)
+    return " ".join(blocks(whole, without | elsewhere(nodes)))
 
 
 @F.pandas_udf(T.StringType())
