@@ -6,14 +6,15 @@
    for toxic where it occurs; that it is silent speaks for clean as far as its rates tell.
 2. Label model. A generative model of the votes with the true label hidden. Voters that speak together more than the
    label explains are correlated (a word and its beginnings): given the label, each voter depends on the one voter that
-   tells most about it, so that the votes form trees; those of largest conditional mutual information are taken. EM
+   tells most about it and speaks with it, so that the votes form trees; those of largest conditional mutual information are taken. EM
    estimates how often each voter speaks in toxic and in clean texts, where the voter it depends on speaks and where it
    doesn't: accuracies and correlations are parameters of one likelihood.
 3. Classifier. A logistic regression over the same words and beginnings is trained on the posterior labels. It
    scores every text, whole; a score needs nothing but the text.
 
-``MAX_TRAIN`` bounds the labelled rows that are used (those with the smallest hash of the id), and so all that the driver
-and the broadcast model hold. No voter or feature that passes the test is left out.
+``MAX_TRAIN`` bounds the labelled rows that are used (those with the smallest hash of the id). The driver holds the votes of
+these rows and a few numbers per voter; pairs of voters are counted in tasks, and only pairs that speak together, so nothing
+is as large as the voters squared. No voter or feature that passes the test is left out.
 
 Defined results: a NULL or empty text gets the score of a text without any known word; equal texts get equal scores;
 labelled ids without a document, NULL labels and NULL ids are not used; without labels of both kinds every score is 0, and
@@ -142,39 +143,136 @@ def _hits(names: list[str]):
     return run
 
 
-def dependencies(votes: np.ndarray, said: np.ndarray, n_rows: int, k: int, q: np.ndarray, block: int = 2048) -> np.ndarray:
+def pair_counts(hits: Iterator[tuple[np.ndarray, float]], k: int, most: int = 4_000_000, slice_: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i * k + j, toxic, clean) of pairs i < j of voters that speak in one row, summed now and then; rows of (voters, how toxic)."""
+    codes, weights, size = [], [], 0
+
+    def summed():
+        every, at = np.unique(np.concatenate(codes), return_inverse=True)
+        weight = np.concatenate(weights)
+        toxic = np.bincount(at, weights=weight, minlength=len(every))
+        return every, toxic, np.bincount(at, minlength=len(every)) - toxic
+
+    for said, q in hits:
+        said = np.sort(np.asarray(said, dtype=np.int64))
+        for a in range(0, len(said) - 1, slice_):  # a very long text has many voters
+            first = said[a : a + slice_]
+            i, j = np.nonzero(np.arange(a, a + len(first))[:, None] < np.arange(len(said))[None])
+            codes.append(first[i] * k + said[j])
+            weights.append(np.full(len(i), q))
+            size += len(i)
+            if size >= most:
+                yield summed()
+                codes, weights, size = [], [], 0
+    if size:
+        yield summed()
+
+
+def gains(i: np.ndarray, j: np.ndarray, together: tuple[np.ndarray, np.ndarray], on: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Conditional mutual information of pairs given the label (times the rows); clean and toxic: pairs, votes of each voter, rows."""
+    gain = np.zeros(len(i))
+    for c in (0, 1):
+        both, a, b, rows = np.asarray(together[c], dtype=float), on[c][i], on[c][j], n[c]
+        for seen, x, y in ((both, a, b), (a - both, a, rows - b), (b - both, rows - a, b), (rows - a - b + both, rows - a, rows - b)):
+            gain += np.where(seen > 1e-3, seen * np.log(np.maximum(seen, 1e-9) * rows / np.maximum(x * y, 1e-9)), 0)
+    return gain
+
+
+def least_gain(k: int) -> float:
+    """Dependencies that chance would bring about for one of all pairs are left out."""
+    return math.log(max(2, k * (k - 1) / 2)) + 1
+
+
+def forest(i: np.ndarray, j: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The pairs of a spanning forest of largest gain, of equal ones the first. The forest of several forests' pairs is that of all."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for e in np.lexsort((j, i, -gain)):
+        a, b = find(int(i[e])), find(int(j[e]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(e)
+    return np.array(kept, dtype=np.int64)
+
+
+def rooted(i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+    """The voter that each voter depends on, or -1: trees hang from their first voter."""
+    near: dict[int, list[int]] = {}
+    for a, b in zip(i.tolist(), j.tolist()):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    parent, seen = np.full(k, -1), np.zeros(k, dtype=bool)
+    for first in range(k):
+        if not seen[first] and first in near:
+            seen[first], todo = True, [first]
+            while todo:
+                x = todo.pop()
+                for y in near[x]:
+                    if not seen[y]:
+                        seen[y], parent[y] = True, x
+                        todo.append(y)
+    return parent
+
+
+def dependencies(votes: np.ndarray, said: np.ndarray, n_rows: int, k: int, q: np.ndarray) -> np.ndarray:
     """The voter that each voter depends on, or -1: a forest of largest conditional mutual information given the label.
 
-    ``votes``/``said``: row and voter of each vote; q: how sure it is that a row is toxic. Dependencies that chance would
-    bring about for one of all pairs are left out.
+    ``votes``/``said``: row and voter of each vote; q: how sure it is that a row is toxic. Voters that never speak together
+    do not depend on each other. This is for votes in one place; tree_of() does the same in Spark.
     """
-    both = np.zeros((2, k, k), dtype=np.float32)
     order = np.argsort(votes, kind="stable")
-    rows, cols = votes[order], said[order]
-    for i in range(0, n_rows, block):
-        a, b = np.searchsorted(rows, (i, i + block))
-        if a < b:
-            dense = np.zeros((min(block, n_rows - i), k), dtype=np.float32)
-            dense[rows[a:b] - i, cols[a:b]] = 1
-            weight = q[i : i + block, None].astype(np.float32)
-            both[1] += (dense * weight).T @ dense
-            both[0] += (dense * (1 - weight)).T @ dense
-    gain = np.zeros((k, k))
-    for c, n in ((0, n_rows - q.sum()), (1, q.sum())):
-        on = np.diag(both[c]).astype(float)
-        cells = ((both[c], on[:, None], on[None]), (on[:, None] - both[c], on[:, None], n - on[None]), (on[None] - both[c], n - on[:, None], on[None]), (n - on[:, None] - on[None] + both[c], n - on[:, None], n - on[None]))
-        for seen, i, j in cells:
-            gain += np.where(seen > 1e-3, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(i * j, 1e-9)), 0)
-    np.fill_diagonal(gain, -np.inf)
-    parent, near, best, todo = np.full(k, -1), np.full(k, -1), np.full(k, -np.inf), np.ones(k, dtype=bool)
-    bar = math.log(max(2, k * (k - 1) / 2)) + 1
-    for _ in range(k):  # Prim's algorithm; a voter without a dependency above the bar begins a tree
-        i = int(np.where(todo, best, -np.inf).argmax()) if np.where(todo, best, -np.inf).max() > bar else int(todo.argmax())
-        parent[i] = near[i] if best[i] > bar else -1
-        todo[i] = False
-        closer = todo & (gain[i] > best)
-        best[closer], near[closer] = gain[i][closer], i
-    return parent
+    cut_at = np.searchsorted(votes[order], np.arange(n_rows + 1))
+    rows = ((said[order][a:b], float(x)) for a, b, x in zip(cut_at, cut_at[1:], q))
+    found = list(pair_counts(rows, k))
+    if not found:
+        return np.full(k, -1)
+    code, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    toxic, clean = (np.bincount(at, weights=np.concatenate([f[c] for f in found])) for c in (1, 2))
+    on = np.array([np.bincount(said, weights=w[votes], minlength=k) for w in (1 - q, q)])
+    i, j = code // k, code % k
+    gain = gains(i, j, (clean, toxic), on, np.array([n_rows - q.sum(), q.sum()]))
+    good = gain > least_gain(k)
+    i, j, gain = i[good], j[good], gain[good]
+    kept = forest(i, j, gain)
+    return rooted(i[kept], j[kept], k)
+
+
+def tree_of(hits: DataFrame, k: int, on: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """dependencies() of rows (hits, toxic), counted sparsely in Spark.
+
+    Pairs are summed in tasks, then by pair; each task passes on the forest of its pairs, fewer than k, and the driver takes
+    the forest of these. What it holds grows with the voters, not with their pairs. ``on``: votes of each voter in clean and
+    in toxic rows; ``n``: the rows.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((h, float(y)) for batch in batches for h, y in zip(batch["hits"], batch["toxic"]))
+        for code, toxic, clean in pair_counts(rows, k):
+            yield pd.DataFrame({"pair": code, "toxic": toxic, "clean": clean})
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"i": [], "j": [], "gain": []})
+        for batch in batches:
+            i, j = batch["pair"].to_numpy() // k, batch["pair"].to_numpy() % k
+            gain = gains(i, j, (batch["clean"].to_numpy(), batch["toxic"].to_numpy()), on, n)
+            good = gain > least_gain(k)
+            more = pd.DataFrame({"i": i[good], "j": j[good], "gain": gain[good]})
+            if len(more):
+                kept = pd.concat([kept, more], ignore_index=True) if len(kept) else more
+                kept = kept.iloc[forest(kept["i"].to_numpy(np.int64), kept["j"].to_numpy(np.int64), kept["gain"].to_numpy())].reset_index(drop=True)
+        yield kept
+
+    pairs = hits.mapInPandas(counted, "pair long, toxic double, clean double").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    edges = pairs.mapInPandas(weighed, "i long, j long, gain double").toPandas()
+    kept = forest(edges["i"].to_numpy(), edges["j"].to_numpy(), edges["gain"].to_numpy())
+    return rooted(edges["i"].to_numpy()[kept], edges["j"].to_numpy()[kept], k)
 
 
 @dataclass
@@ -210,9 +308,10 @@ def estimate(votes: np.ndarray, said: np.ndarray, with_parent: np.ndarray, paren
     return Rates(parent, free, tied, float(np.clip(toxic.sum() / max(1e-9, (toxic + clean).sum()), 1e-3, 0.5)))
 
 
-def label_model(votes: np.ndarray, said: np.ndarray, n_rows: int, k: int, gold: np.ndarray, rounds: int = 12, trust: float = 1.0) -> tuple[np.ndarray, Rates]:
+def label_model(votes: np.ndarray, said: np.ndarray, n_rows: int, k: int, gold: np.ndarray, rounds: int = 12, trust: float = 1.0, parent: np.ndarray | None = None) -> tuple[np.ndarray, Rates]:
     """Posterior labels and rates. EM starts from the sample's labels, which stay one more observer, worth ``trust`` posteriors."""
-    parent = dependencies(votes, said, n_rows, k, gold)
+    if parent is None:
+        parent = dependencies(votes, said, n_rows, k, gold)
     keys = np.sort(votes * k + said)
     above = votes * k + parent[said]
     at = np.minimum(np.searchsorted(keys, above), max(0, len(keys) - 1))
@@ -252,11 +351,15 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model | N
     names = [r["feature"] for r in counts.where((surprise >= bar) & (p > prior * (p + q))).select("feature").orderBy("feature").collect()]
     if not names:
         return Model({}, math.log(prior / (1 - prior)), [], {})
-    got = sample.select("text", "toxic").mapInPandas(_hits(names), "hits array<int>, toxic boolean").toPandas()
+    hits = cut(sample.select("text", "toxic").mapInPandas(_hits(names), "hits array<int>, toxic boolean"))
+    got = hits.toPandas()
     n, k = len(got), len(names)
     votes = np.repeat(np.arange(n), [len(h) for h in got["hits"]])
     said = np.concatenate([np.asarray(h, dtype=np.int64) for h in got["hits"]])
-    posterior, rates = label_model(votes, said, n, k, got["toxic"].to_numpy().astype(float))
+    gold = got["toxic"].to_numpy().astype(float)
+    on = np.array([np.bincount(said, weights=x[votes], minlength=k) for x in (1 - gold, gold)])
+    parent = tree_of(hits, k, on, np.array([n - gold.sum(), gold.sum()]))
+    posterior, rates = label_model(votes, said, n, k, gold, parent=parent)
     w, intercept = logistic(votes, said, n, k, posterior)
     a, b = (np.bincount(said, weights=x[votes], minlength=k) / max(1e-9, x.sum()) for x in (posterior, 1 - posterior))
     return Model({f: float(x) for f, x in zip(names, w)}, intercept, names, {f: float(max(x, y) / max(1e-9, x + y)) for f, x, y in zip(names, a, b)})
