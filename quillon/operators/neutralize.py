@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,3 +114,30 @@ def industry_fit(df: DataFrame, y: str, keys: tuple[str, ...] = w.CROSS, industr
     d = df.where(F.col(y).isNotNull()).withColumns({"m": F.avg(y).over(w.cross(keys)), "g": F.avg(y).over(w.cross((*keys, industry)))})
     sums = d.groupBy(*keys).agg(F.sum((F.col(y) - F.col("g")) ** 2).alias("sse"), F.sum((F.col(y) - F.col("m")) ** 2).alias("sst"), F.count(F.lit(1)).alias("n"))
     return sums.select(*keys, F.when(F.col("sst") > 1e-18, 1 - F.col("sse") / F.col("sst")).alias("industry_r2"), "n")
+
+
+def breadth_bridge(rows: DataFrame, keys: tuple[str, ...] = ("date", "market"), industry: str = "industry", least_assets: int = 3, least_industries: int = 3, top: float = 0.8, bottom: float = 0.2, picked: int = 1) -> DataFrame:
+    """From stocks to industries: whether industries whose stocks rank high (breadth) go on to earn more; one row per key.
+
+    Rows have factor_value and forward_return. An industry's breadth is the mean factor rank of its stocks, plus the share of
+    them in the top of the cross-section, less the share in the bottom. The best and worst ``picked`` industries (but one
+    fewer than there are) are compared with all. Ranks are taken once per cross-section; industries are sums of it.
+    """
+    whole = rows.where(f"factor_value is not null and forward_return is not null and {industry} is not null")
+    ranked = whole.withColumn("__rank", w.pct_rank("factor_value", keys))
+    share = lambda c: F.avg(c.cast("double"))
+    groups = ranked.groupBy(*keys, industry).agg(
+        F.count_distinct("asset_id").alias("__n"), F.count(F.lit(1)).alias("__rows"), (F.avg("__rank") + share(F.col("__rank") >= top) - share(F.col("__rank") <= bottom)).alias("breadth"), F.avg("forward_return").alias("__earned")
+    )
+    groups = groups.withColumn("__all", F.sum("__rows").over(w.cross(keys))).where(F.col("__n") >= least_assets).withColumn("breadth", F.round("breadth", 10))
+    order = Window.partitionBy(*keys).orderBy(F.desc("breadth"), industry)
+    placed = groups.withColumns({"__k": F.row_number().over(order), "__m": F.count(F.lit(1)).over(w.cross(keys)), "__br": w.avg_rank("breadth", keys), "__er": w.avg_rank("__earned", keys)})
+    n = F.least(F.lit(picked), F.greatest(F.lit(1), F.col("__m") - 1))
+    mean = lambda c: F.avg(F.when(c, F.col("__earned")))
+    out = placed.groupBy(*keys).agg(
+        F.max("__all").alias("stocks"), F.max("__m").cast("long").alias("industries"), w.corr(F.col("__br"), F.col("__er")).alias("industry_rank_ic"),
+        mean(F.col("__k") <= n).alias("top_return"), F.avg("__earned").alias("all_return"), mean(F.col("__k") > F.col("__m") - n).alias("bottom_return"),
+    )
+    enough = F.col("industries") >= least_industries
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("industry_rank_ic", "top_return", "all_return", "bottom_return")})
+    return out.withColumns({"eligible": enough, "excess_return": F.col("top_return") - F.col("all_return"), "spread_return": F.col("top_return") - F.col("bottom_return")})

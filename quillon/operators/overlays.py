@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import div
+from ..functions.windows import div, exact_quantiles
 from .asof import asof_by_key
 
 
@@ -137,3 +137,89 @@ def snapshot_changes(snapshots: DataFrame, least_change: float, keys: tuple[str,
     open_ = calendar.select("date").distinct().select(F.lit(0).alias("__all"), (-_day("date")).alias("__from"), F.col("date").alias("available_date"))
     found = asof_by_key(wanted, open_, ["__all"], "__wanted", "__from", ["available_date"])
     return out.join(found.select("event_date", "available_date"), "event_date", "left")
+
+
+def prior_state_risk(curve: DataFrame, keys: list[str], rules: list[tuple[str, float, float]], late: tuple[str, float, float] | None = None) -> DataFrame:
+    """Exposure by the state of the source series before each period: sums of its last 21 and 42 returns, and its drawdown.
+
+    ``rules`` has (state, threshold, exposure): prior_sum_21, prior_sum_42 or prior_drawdown below the threshold takes the
+    exposure; the first rule that holds counts. ``late`` is one more rule for periods that kept full exposure. States are
+    windows of the source returns, not of the exposed ones.
+    """
+    r = F.coalesce("period_return", F.lit(0.0))
+    order = Window.partitionBy(*keys).orderBy("date")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    state = curve.withColumn("source_return", r).drop("period_return")
+    sums = {f"prior_sum_{n}": F.coalesce(F.sum("source_return").over(order.rowsBetween(-n, -1)), F.lit(0.0)) for n in (21, 42)}
+    state = state.withColumns(sums | {"prior_equity": F.coalesce(F.product(1 + F.col("source_return")).over(before), F.lit(1.0))})
+    state = state.withColumn("prior_drawdown", F.coalesce(div("prior_equity", F.max("prior_equity").over(order.rowsBetween(Window.unboundedPreceding, 0))) - 1, F.lit(0.0)))
+    exposure = F.lit(None).cast("double")
+    for name, threshold, level in rules:
+        exposure = F.coalesce(exposure, F.when(F.col(name) < threshold, F.lit(float(level))))
+    if late:
+        exposure = F.when(exposure.isNull() | (exposure >= 0.999999), F.when(F.col(late[0]) < late[1], F.lit(float(late[2]))).otherwise(exposure)).otherwise(exposure)
+    out = state.withColumn("self_exposure", F.coalesce(exposure, F.lit(1.0))).withColumn("period_return", F.col("source_return") * F.col("self_exposure"))
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("equity", F.product(1 + F.col("period_return")).over(run))
+    return out.withColumn("drawdown", F.coalesce(div("equity", F.max("equity").over(run)) - 1, F.lit(0.0)))
+
+
+def market_state_caps(benchmark: DataFrame, keys: list[str], lookbacks: list[int], thresholds: list[float], drawdown: float, caps: list[float], lag: int = 1) -> DataFrame:
+    """(keys, date, lookback, threshold, cap_exposure, cap) of a grid of policies over a benchmark's returns.
+
+    A date is under stress if its momentum over the look-back is at most the threshold, or its distance from the highest
+    equity of a full look-back at most ``drawdown``; the cap counts ``lag`` periods later. The states of a look-back are
+    computed once; policies are rows made of them.
+    """
+    order = Window.partitionBy(*keys).orderBy("date")
+    curve = benchmark.select(*keys, "date", F.product(1 + F.coalesce("period_return", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__equity"))
+    states = {}
+    for n in lookbacks:
+        last = order.rowsBetween(-(n - 1), 0)
+        peak = F.when(F.count("__equity").over(last) >= n, F.max("__equity").over(last))
+        states |= {f"__m{n}": div("__equity", F.lag("__equity", n).over(order)) - 1, f"__d{n}": div("__equity", peak) - 1}
+    known = curve.withColumns(states)
+    grid = []
+    for n in lookbacks:
+        for t in thresholds:
+            stress = F.coalesce(F.col(f"__m{n}") <= t, F.lit(False)) | F.coalesce(F.col(f"__d{n}") <= drawdown, F.lit(False))
+            grid.append((n, t, f"__s{len(grid)}", stress))
+    late = known.withColumns({name: F.coalesce(F.lag(stress.cast("boolean"), lag).over(order), F.lit(False)) for _, _, name, stress in grid})
+    rows = [F.struct(F.lit(n).alias("lookback"), F.lit(float(t)).alias("threshold"), F.lit(float(c)).alias("cap_exposure"), F.when(F.col(name), F.lit(float(c))).otherwise(1.0).alias("cap")) for n, t, name, _ in grid for c in caps]
+    return late.select(*keys, "date", F.inline(F.array(*rows)))
+
+
+def align_caps(events: DataFrame, caps: DataFrame, keys: list[str], policy: list[str], decision: str = "decision_date") -> DataFrame:
+    """Events once per policy with the cap known on their decision date (1 before the first), as of it and not on it alone."""
+    policies = caps.select(*policy).distinct().collect()  # the grid, a handful of rows
+    if not policies:
+        raise ValueError("no policies to align")
+    every = F.array(*[F.struct(*[F.lit(p[c]).alias(c) for c in policy]) for p in policies])
+    each = events.select(*events.columns, F.inline(every))
+    met = asof_by_key(each, caps.select(*keys, *policy, F.col("date").alias("__day"), "cap"), [*keys, *policy], decision, "__day", ["cap"]).drop("as_of")
+    return met.withColumn("cap", F.coalesce("cap", F.lit(1.0))).withColumn("capped_return", F.coalesce("period_return", F.lit(0.0)) * F.col("cap"))
+
+
+def hedged_spread(selected: DataFrame, benchmark: DataFrame, keys: list[str], ratio: float) -> DataFrame:
+    """Returns of a selection less ``ratio`` times the benchmark's gross returns and their cost, on the dates of either.
+
+    The benchmark has period_return and gross_return; a date that one side lacks counts 0 there.
+    """
+    b = benchmark.select(*keys, "date", F.coalesce("period_return", F.lit(0.0)).alias("__net"), F.coalesce("gross_return", "period_return", F.lit(0.0)).alias("__gross"))
+    both = selected.select(*keys, "date", F.coalesce("period_return", F.lit(0.0)).alias("__own")).join(b, [*keys, "date"], "full").na.fill(0.0, ["__own", "__net", "__gross"])
+    short = -F.col("__gross") - (F.col("__gross") - F.col("__net"))
+    out = both.select(*keys, "date", (F.col("__own") + ratio * short).alias("period_return"))
+    run = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("equity", F.product(1 + F.col("period_return")).over(run))
+
+
+def extreme_trades(trades: DataFrame, keys: list[str], threshold: float, top: int, value: str = "gross_return", tie: str = "asset_id") -> tuple[DataFrame, DataFrame]:
+    """A summary per key, and its ``top`` trades beyond the threshold (by size, ties by asset and signal date)."""
+    size = F.abs(F.col(value))
+    summary = trades.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("trades"), F.count_if(size > threshold).alias("extreme_trades"), F.max(size).alias("max_size"), F.max(F.datediff("exit_date", "entry_date")).alias("max_days"),
+        div(F.max(F.abs("weighted_return")), F.sum(F.abs("weighted_return"))).alias("top_weighted_share"),
+    )
+    summary = summary.join(exact_quantiles(trades, keys, {"p99_size": (size, 0.99), "p99_participation": (F.col("participation_rate"), 0.99)}), keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(size.desc(), tie, "signal_date"))
+    return summary, trades.where(size > threshold).withColumn("place", place).where(F.col("place") <= top)

@@ -23,7 +23,9 @@ def contributions(trades: DataFrame, keys: list[str], by: list[str]) -> DataFram
 
 def trade_quantiles(trades: DataFrame, keys: list[str], column: str, at: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:
     """Exact interpolated quantiles and extremes of traded rows."""
-    return trades.where("reject is null").groupBy(*keys).agg(F.min(column).alias("lowest"), *[F.percentile(column, q).alias(f"q{round(q * 100):02d}") for q in at], F.max(column).alias("highest"), F.count(F.lit(1)).alias("trades"))
+    done = trades.where("reject is null")
+    out = done.groupBy(*keys).agg(F.min(column).alias("lowest"), F.max(column).alias("highest"), F.count(F.lit(1)).alias("trades"))
+    return out.join(w.exact_quantiles(done, keys, {f"q{round(q * 100):02d}": (F.col(column), q) for q in at}), keys)
 
 
 def capacity_stress(trades: DataFrame, keys: list[str], multipliers: tuple[float, ...], limit: float) -> DataFrame:

@@ -207,3 +207,60 @@ def overlap_pairs(selections: DataFrame, keys: list[str], case: str, items: list
     o = s.select(*keys, *items, F.col(case).alias("other"), F.col("__size").alias("__other"))
     both = s.join(o, [*keys, *items]).where(F.col(case) < F.col("other")).groupBy(*keys, case, "other").agg(F.count(F.lit(1)).alias("n"), F.first("__size").alias("a"), F.first("__other").alias("b"))
     return both.select(*keys, case, "other", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("similarity"))
+
+
+def fold_metrics(curves: DataFrame, folds: DataFrame, keys: list[str], case: str, per_year: float) -> DataFrame:
+    """(keys, fold, case) with train and test Sharpe ratios, total returns and periods; one join for both parts.
+
+    Degradation is what the Sharpe ratio loses from train to test (0 if it gains), stability the test's less that.
+    """
+    met = curves.join(folds, keys).where(F.col("date").between(F.col("train_start"), F.col("test_end")))
+    r = F.col("period_return")
+    parts = {}
+    for part in ("train", "test"):
+        x = F.when(F.col("date").between(F.col(f"{part}_start"), F.col(f"{part}_end")), r)
+        sharpe = F.coalesce(div(F.avg(x), F.when(F.stddev_pop(x) > 1e-12, F.stddev_pop(x))) * math.sqrt(per_year), F.lit(0.0))
+        parts |= {f"{part}_sharpe": sharpe, f"{part}_return": F.coalesce(F.product(1 + x) - 1, F.lit(0.0)), f"{part}_periods": F.count(x)}
+    each = met.groupBy(*keys, "fold", case).agg(*[c.alias(n) for n, c in parts.items()])
+    each = each.withColumn("degradation", F.greatest(F.col("train_sharpe") - F.col("test_sharpe"), F.lit(0.0)))
+    return each.withColumn("stability", F.col("test_sharpe") - F.col("degradation"))
+
+
+def fold_decisions(metrics: DataFrame, least_sharpe: float, least_return: float, most_degradation: float) -> DataFrame:
+    """Folds with the reasons that speak against a case, and whether it is accepted there."""
+    why = {
+        "train_missing": F.col("train_periods") == 0,
+        "test_missing": F.col("test_periods") == 0,
+        "test_sharpe_low": F.col("test_sharpe") < least_sharpe,
+        "test_return_low": F.col("test_return") < least_return,
+        "degradation_high": F.col("degradation") > most_degradation,
+    }
+    reasons = F.concat_ws(";", *[F.when(c, n) for n, c in why.items()])
+    return metrics.withColumn("reasons", reasons).withColumn("accepted", F.col("reasons") == "")
+
+
+def case_stability(decided: DataFrame, keys: list[str], case: str) -> DataFrame:
+    """One row per case over its folds: how many accept it, mean test Sharpe ratio, worst test return, mean degradation and stability."""
+    return decided.groupBy(*keys, case).agg(
+        F.count(F.lit(1)).alias("folds"), F.count_if("accepted").alias("accepted_folds"), F.avg("test_sharpe").alias("mean_test_sharpe"),
+        F.min("test_return").alias("worst_test_return"), F.avg("degradation").alias("mean_degradation"), F.avg("stability").alias("mean_stability"),
+    )
+
+
+def incremental_metrics(base: DataFrame, candidate: DataFrame, keys: list[str], by: list[str], per_year: float) -> DataFrame:
+    """What a candidate series adds to a base on the dates that both have: returns, Sharpe ratios, drawdowns and their differences.
+
+    ``by`` are columns of ``candidate`` (such as its name); the year is added as one more row kind: `all` or the year.
+    """
+    pair = base.select(*keys, "date", F.col("period_return").alias("__b")).join(candidate.select(*keys, *by, "date", F.col("period_return").alias("__c")), [*keys, "date"]).where("__b is not null and __c is not null")
+    spans = pair.withColumn("span", F.explode(F.array(F.lit("all"), F.year("date").cast("string"))))
+    of = [*keys, *by, "span"]
+    run = Window.partitionBy(*of).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumns({f"__e{x}": F.product(1 + F.col(f"__{x}")).over(run) for x in "bc"})
+    spans = spans.withColumns({f"__d{x}": div(f"__e{x}", F.greatest(F.max(f"__e{x}").over(run), F.lit(1.0))) - 1 for x in "bc"})
+    made = []
+    for x, name in (("b", "base"), ("c", "candidate")):
+        sd = F.stddev_pop(f"__{x}")
+        made += [(F.product(1 + F.col(f"__{x}")) - 1).alias(f"{name}_return"), F.coalesce(div(F.avg(f"__{x}"), F.when(sd > 1e-12, sd)) * math.sqrt(per_year), F.lit(0.0)).alias(f"{name}_sharpe"), F.min(f"__d{x}").alias(f"{name}_drawdown")]
+    out = spans.groupBy(*of).agg(F.count(F.lit(1)).alias("periods"), *made)
+    return out.withColumns({f"{m}_delta": F.col(f"candidate_{m}") - F.col(f"base_{m}") for m in ("return", "sharpe", "drawdown")})

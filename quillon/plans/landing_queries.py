@@ -37,10 +37,11 @@ def adjusted_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.attach_adjusted(b, f, ["asset_id", "date"]).select(*KEYS, F.round("adj_close", 6).alias("adj_close"), "adjusted")
 
 
-@register("calendar_differences", f"WITH {s.BARS}, a AS (SELECT DISTINCT date FROM bars WHERE market = 'ASIA'), b AS (SELECT DISTINCT date FROM bars WHERE asset_id % 50 = 1) SELECT date, 'first' AS only_in FROM a WHERE date NOT IN (SELECT date FROM b) UNION ALL SELECT date, 'second' FROM b WHERE date NOT IN (SELECT date FROM a)")
+@register("calendar_differences", f"WITH {s.BARS}, a AS (SELECT DISTINCT date FROM bars), b AS (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS date FROM orders) SELECT date, 'first' AS only_in FROM a WHERE date NOT IN (SELECT date FROM b) UNION ALL SELECT date, 'second' FROM b WHERE date NOT IN (SELECT date FROM a)")
 def calendar_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = panel.bars(spark, sf_dir)
-    return store.calendar_differences(b.where("market = 'ASIA'"), b.where("asset_id % 50 = 1"))
+    """Sessions of the bars against the weeks in which anything was ordered."""
+    weeks = panel.read(spark, sf_dir, "orders").select(F.date_trunc("week", "o_orderdate").cast("date").alias("date"))
+    return store.calendar_differences(panel.bars(spark, sf_dir), weeks)
 
 
 @register("missing_sessions", f"WITH {s.BARS}, h AS (SELECT DISTINCT market, date FROM bars) SELECT market, date FROM (SELECT DISTINCT market FROM h) CROSS JOIN (SELECT DISTINCT date FROM h) EXCEPT SELECT market, date FROM h")
@@ -78,3 +79,11 @@ def false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.exp(-F.abs(F.round("rank_ic", 9)) * F.sqrt("count"))
     out = evaluate.benjamini_hochberg(ic.withColumn("p", p), "p", ["market", "factor_name", "horizon"], ["date"])
     return out.select("market", "factor_name", "horizon", "date", F.round("bh_p_value", 6).alias("bh_p_value"), F.round("bonferroni_p_value", 6).alias("bonferroni_p_value"))
+
+
+@register("false_discovery_ic")
+def false_discovery_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step-up adjustment of the p-values of each date's rank correlation; the normal distribution is beyond SQL."""
+    ic = evaluate.information_coefficient(*core_queries.study(spark, sf_dir)).where("rank_ic_p_value is not null")
+    out = evaluate.benjamini_hochberg(ic, "rank_ic_p_value", ["market", "factor_name", "horizon"], ["date"])
+    return out.select("market", "factor_name", "horizon", "date", "rank_ic_p_value", "bh_p_value", "bonferroni_p_value")

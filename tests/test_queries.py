@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.plans import composite_queries, core_queries, factor_queries, input_queries, landing_queries, peer_queries, portfolio_queries, repair_queries, report_queries, research_queries, residual_queries, robustness_queries, signal_queries  # noqa: F401
+from quillon.plans import composite_queries, core_queries, factor_queries, input_queries, landing_queries, peer_queries, portfolio_queries, repair_queries, report_queries, research_queries, residual_queries, robustness_queries, signal_queries, universe_queries  # noqa: F401
 from quillon.plans import registry
 
 from .compare import connect, spark_rows, sql_rows
