@@ -59,6 +59,19 @@ def interval_join(facts: DataFrame, spans: DataFrame, keys: list[str], on: str,
     return facts.join(spans, keys).where(inside)
 
 
+def interval_join_by_month(facts: DataFrame, spans: DataFrame, keys: list[str], on: str, start: str, end: str) -> DataFrame:
+    """As interval_join(), for keys with many spans: spans are cut into months and meet the facts of the month alone.
+
+    Open ends, and ends beyond the facts, are cut at the facts' last date.
+    """
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    last = facts.agg(F.max(on)).first()[0]  # one date
+    cut = spans.withColumn("__end", F.least(F.coalesce(end, F.lit(last)), F.lit(last))).where(F.col(start) <= F.col("__end"))
+    cut = cut.withColumn("__month", F.explode(F.sequence(month(start), month("__end"))))
+    met = facts.withColumn("__month", month(on)).join(cut, [*keys, "__month"])
+    return met.where(F.col(on).between(F.col(start), F.col("__end"))).drop("__month", "__end")
+
+
 def covered(facts: DataFrame, spans: DataFrame, keys: list[str], on: str, start: str, end: str, out: str = "covered") -> DataFrame:
     """Whether any span of the key covers the date. Spans are merged per key first, so rows are not multiplied."""
     order = Window.partitionBy(*keys).orderBy(start, end)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as w
 from ..functions.windows import div
+from .asof import interval_join_by_month
 from .families import KEYS, Family, _plus
 
 
@@ -47,6 +48,25 @@ def moneyflow(inputs: DataFrame) -> DataFrame:
     return df.withColumns({f"{n}_low": -c(n) for n in MONEYFLOW}).select(*KEYS, *MONEYFLOW, *[f"{n}_low" for n in MONEYFLOW])
 
 
+#: Fixed names of the basket factors; each has a negative (``_low``).
+BASKET_FLOW = ("etf_net_mf_amount_ratio", "etf_large_order_net_amount_ratio", "etf_extra_large_order_net_amount_ratio", "etf_small_order_sell_pressure", "etf_net_mf_positive_weight")
+
+
+def basket_flow(ratios: DataFrame, baskets: DataFrame) -> DataFrame:
+    """Money flow of a fund's stocks, weighted by the basket known on the date; one row per fund and date.
+
+    ``ratios`` is what moneyflow() gives; ``baskets`` has fund_symbol, asset_id (of the stock), known_date, end_date and
+    weight. Sums are over the weights of the stocks that have flows that day; a missing ratio adds nothing but its weight.
+    """
+    held = interval_join_by_month(ratios.select("asset_id", "date", *MONEYFLOW), baskets.select("fund_symbol", "asset_id", "known_date", "end_date", "weight"), ["asset_id"], "date", "known_date", "end_date")
+    weighted = {n: F.coalesce(F.sum(F.col("weight") * F.col(r)), F.lit(0.0)) for n, r in zip(BASKET_FLOW, MONEYFLOW)}
+    positive = F.sum(F.when(F.col("net_mf_amount_ratio") > 0, F.col("weight")).otherwise(0.0))
+    sums = held.groupBy("date", "fund_symbol").agg(F.sum("weight").alias("basket_weight_sum"), F.count_distinct("asset_id").alias("constituent_count"), *[c.alias(n) for n, c in weighted.items()], positive.alias(BASKET_FLOW[-1]))
+    whole = F.when(F.col("basket_weight_sum") > 0, F.col("basket_weight_sum"))
+    out = sums.withColumns({n: div(n, whole) for n in BASKET_FLOW})
+    return out.withColumns({f"{n}_low": -F.col(n) for n in BASKET_FLOW})
+
+
 SHARE_SIZE = ("share_change_1d", "share_change_1d_low", "size_change_1d", "size_change_1d_low", "nav_premium_discount", "nav_premium_discount_low", "total_share_log", "total_size_log")
 
 

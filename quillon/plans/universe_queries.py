@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import panel
 from ..functions import windows as w
-from ..operators import neutralize, overlays, portfolio, robustness, universe, validate
-from . import core_queries, portfolio_queries, repair_queries, research_queries, signal_queries
+from ..operators import inputs, neutralize, overlays, portfolio, robustness, universe, validate
+from . import core_queries, input_queries, portfolio_queries, repair_queries, research_queries, signal_queries
 from . import sqltext as s
 from .registry import register, rounded
 
@@ -72,12 +72,15 @@ _HELD = """hd AS (SELECT 'f' || (o_custkey % 12) AS fund, 's' || l_suppkey AS st
 nx AS (SELECT *, lead(known_date) OVER (PARTITION BY fund_symbol ORDER BY known_date) AS nxt FROM (SELECT DISTINCT fund_symbol, known_date FROM ok))
 SELECT fund_symbol, stock_symbol, known_date, coalesce(CAST(CAST(nxt - 1 AS DATE) AS VARCHAR), '') AS end_date, {_R('basis / sum(basis) OVER (PARTITION BY fund_symbol, known_date)', 8)} AS weight FROM ok JOIN nx USING (fund_symbol, known_date)""")
 def basket_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = universe.basket_weights(_holdings(spark, sf_dir)).withColumn("end_date", F.coalesce(F.col("end_date").cast("string"), F.lit("")))
+    return rounded(out, ["fund_symbol", "stock_symbol", "known_date", "end_date"], ["weight"], 8)
+
+
+def _holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = panel.read(spark, sf_dir, "lineitem").join(panel.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     sign = F.when(F.col("l_linenumber") % 4 == 0, -1).otherwise(1)
     held = lines.groupBy(F.concat(F.lit("f"), (F.col("o_custkey") % 12).cast("string")).alias("fund_symbol"), "l_suppkey", F.date_trunc("month", "o_orderdate").cast("date").alias("known_date")).agg(F.sum(sign * F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("mkv"), F.max("l_discount").alias("top"))
-    held = held.withColumns({"stock_symbol": F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), "stk_mkv_ratio": F.when(F.col("l_suppkey") % 3 != 0, F.col("top"))})
-    out = universe.basket_weights(held).withColumn("end_date", F.coalesce(F.col("end_date").cast("string"), F.lit("")))
-    return rounded(out, ["fund_symbol", "stock_symbol", "known_date", "end_date"], ["weight"], 8)
+    return held.withColumns({"stock_symbol": F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), "stk_mkv_ratio": F.when(F.col("l_suppkey") % 3 != 0, F.col("top"))})
 
 
 _FILINGS = f"""{s.BARS}, fi AS (SELECT CAST(o_custkey % 100 + 1 AS BIGINT) AS asset_id, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS end0, CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) + CAST(o_orderkey % 60 - 2 AS INTEGER) AS DATE) AS ann0, o_orderkey FROM orders),
@@ -217,3 +220,19 @@ def incremental_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = research_queries.case_curves(spark, sf_dir)
     out = robustness.incremental_metrics(c.where("case_no = 0"), c.where("case_no != 0"), ["market"], ["case_no"], 52.0)
     return rounded(out, ["market", "case_no", "span", "periods"], ["base_return", "candidate_return", "return_delta", "sharpe_delta", "drawdown_delta"], 5)
+
+
+_BASKETS = f"""{_HELD}, bs AS (SELECT upper(fund) AS fund_symbol, CAST(substr(stock, 2) AS BIGINT) AS asset_id, known_date, CASE WHEN mkv > 0 THEN CAST(mkv AS DOUBLE) ELSE share END AS basis FROM hd), ok AS (SELECT * FROM bs WHERE basis > 0),
+nx AS (SELECT *, lead(known_date) OVER (PARTITION BY fund_symbol ORDER BY known_date) AS nxt FROM (SELECT DISTINCT fund_symbol, known_date FROM ok)),
+wt AS (SELECT fund_symbol, asset_id, known_date, nxt, basis / sum(basis) OVER (PARTITION BY fund_symbol, known_date) AS weight FROM ok JOIN nx USING (fund_symbol, known_date))"""
+_PARTS = dict(zip(inputs.BASKET_FLOW, input_queries._MFE.values()))
+
+
+@register("factors_basket_flow", f"""{input_queries._MF}, {_BASKETS}, rt AS (SELECT asset_id, date, {', '.join(f'({e}) / nullif(total, 0) AS {n}' for n, e in _PARTS.items())} FROM t),
+jn AS (SELECT rt.*, fund_symbol, weight FROM rt JOIN wt ON wt.asset_id = rt.asset_id AND rt.date >= known_date AND (nxt IS NULL OR rt.date < nxt)),
+sm AS (SELECT date, fund_symbol, sum(weight) AS w, count(DISTINCT asset_id) AS constituent_count, {', '.join(f'coalesce(sum(weight * {n}), 0) AS {n}' for n in _PARTS)}, sum(CASE WHEN etf_net_mf_amount_ratio > 0 THEN weight ELSE 0 END) AS {inputs.BASKET_FLOW[-1]} FROM jn GROUP BY ALL)
+SELECT date, fund_symbol, constituent_count, round(w, 6) AS basket_weight_sum, {', '.join(f'round({n} / w, 6) + 0.0 AS {n}, round(-{n} / w, 6) + 0.0 AS {n}_low' for n in inputs.BASKET_FLOW)} FROM sm""")
+def factors_basket_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    baskets = universe.basket_weights(_holdings(spark, sf_dir)).withColumn("asset_id", F.expr("cast(substr(stock_symbol, 2) as bigint)"))
+    out = inputs.basket_flow(input_queries.flows(spark, sf_dir), baskets)
+    return rounded(out, ["date", "fund_symbol", "constituent_count"], ["basket_weight_sum", *inputs.BASKET_FLOW, *[f"{n}_low" for n in inputs.BASKET_FLOW]])

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillon.functions import windows as w
-from quillon.operators import evaluate, neutralize, overlays, robustness, universe
+from quillon.operators import asof, evaluate, inputs, neutralize, overlays, robustness, universe
 from quillon.plans import landing_queries, registry  # noqa: F401
 
 from .test_operators import day
@@ -170,3 +170,19 @@ def test_false_discovery_of_real_p_values(spark, sf_dir):
         for k in range(m, 0, -1):
             low = min(low, rows[k - 1].rank_ic_p_value * m / k)
             assert rows[k - 1].bh_p_value == pytest.approx(low) and rows[k - 1].bonferroni_p_value == pytest.approx(min(1.0, rows[k - 1].rank_ic_p_value * m))
+
+
+def test_basket_flow_on_known_dates(spark):
+    names = inputs.MONEYFLOW
+    rows = [(a, day(d), 0.1 * a - 0.15, 0.1 * d, None, 0.5) for a in (1, 2) for d in (0, 40, 80)]
+    ratios = spark.createDataFrame(rows, "asset_id int, date date, " + ", ".join(f"{n} double" for n in names))
+    baskets = spark.createDataFrame([("F", 1, day(0), day(40), 0.25), ("F", 2, day(0), day(40), 0.75), ("F", 2, day(41), None, 1.0), ("G", 9, day(0), None, 1.0), ("H", 1, day(50), day(60), 1.0)], "fund_symbol string, asset_id int, known_date date, end_date date, weight double")
+    got = {(r.fund_symbol, r.date): r for r in inputs.basket_flow(ratios, baskets).collect()}
+    assert set(got) == {("F", day(0)), ("F", day(40)), ("F", day(80))}
+    r = got["F", day(40)]
+    assert r.constituent_count == 2 and r.etf_net_mf_amount_ratio == pytest.approx(0.25 * -0.05 + 0.75 * 0.05) and r.etf_net_mf_positive_weight == 0.75
+    assert r.etf_extra_large_order_net_amount_ratio == 0 and r.etf_small_order_sell_pressure_low == -0.5 and got["F", day(80)].constituent_count == 1
+    joined = asof.interval_join_by_month(ratios.select("asset_id", "date"), baskets, ["asset_id"], "date", "known_date", "end_date")
+    plain = asof.interval_join(ratios.select("asset_id", "date"), baskets, ["asset_id"], "date", "known_date", "end_date")
+    rows_of = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+    assert rows_of(joined) == rows_of(plain)
