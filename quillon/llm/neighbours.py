@@ -6,7 +6,8 @@
   ``CLOSE``), is replicated to up to ``REPLICAS`` lists, save those whose centroid lies nearer to one taken already.
 * A query finds centroids in a graph that tasks hold in memory: each centroid is tied to near ones in different
   directions, and the search expands the nearest unexpanded node until all nodes within the ratio are expanded.
-* Distance-ratio pruning: the lists visited are those whose centroid is at most ``ratio`` times as far as the nearest one.
+* Distance-ratio pruning: the lists visited are those whose centroid is at most ``ratio`` times as far as the nearest one,
+  and the nearest ones until they hold k other rows.
   The ratio is calibrated: ``PROBES`` different sample rows search the whole table by brute force (one pass, merged by groups), and
   the ratio is the least that finds ``RECALL`` of their neighbours. So clustered tables visit few lists, and tables
   without clusters as many as they need.
@@ -127,6 +128,8 @@ class Lists:
         self.entry = int(distances(centroids.mean(axis=0)[None], centroids)[0].argmin())
         self.between = distances(centroids, centroids) if len(centroids) > 1 else np.zeros((1, 1))
         self.ratio = 1.0
+        self.sizes = np.zeros(len(centroids), dtype=np.int64)  # rows of each list
+        self.least = 0  # a query visits the nearest lists until they hold so many rows, whatever the ratio
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The lists of each row, nearest first; -1 where it has fewer than ``REPLICAS``."""
@@ -172,10 +175,14 @@ class Lists:
         return known
 
     def visited(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, list) pairs within the ratio, and each query's nearest list."""
+        """(query, list) pairs within the ratio or needed for ``least`` rows, and each query's nearest list."""
         d = self.found(q, self.ratio)
-        rows, at = np.nonzero(d <= self.ratio * d.min(axis=1, keepdims=True))
-        return rows, at, d.argmin(axis=1)
+        near = np.argsort(d, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(d, near, axis=1)
+        held = self.sizes[near]
+        before = held.cumsum(axis=1) - held
+        rows, place = np.nonzero((sorted_ <= self.ratio * sorted_[:, :1]) | ((before < self.least) & np.isfinite(sorted_)))
+        return rows, near[rows, place], near[:, 0]
 
 
 def _nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -215,8 +222,11 @@ class Index:
             probes = np.sort(np.unique(sample, axis=0, return_index=True)[1])[:PROBES]  # copies are one probe
             lists.ratio = self._calibrated(lists, sample[probes], held.column("id").to_numpy()[probes])
         self.lists = lists
-        self.held = table.sparkSession.sparkContext.broadcast(lists)
+        spark = table.sparkSession
+        self.held = spark.sparkContext.broadcast(lists)
         self.posted = cut(self.rows.mapInArrow(self._post(), "list int, id long, row long, vec array<double>"))
+        lists.sizes, lists.least = self.counts(self.posted), REPLICAS * (k + 1)  # a row is in REPLICAS lists at most
+        self.held = spark.sparkContext.broadcast(lists)
 
     def _calibrated(self, lists: Lists, q: np.ndarray, ids: np.ndarray) -> float:
         """The least ratio that finds ``RECALL`` of the probes' true neighbours."""
@@ -279,7 +289,7 @@ class Index:
         each = self.rows.where(F.coalesce(is_query, F.lit(False))).select("id", "vec").dropDuplicates(["id", "vec"])
         numbered = each.withColumn("variant", F.row_number().over(Window.partitionBy("id").orderBy("vec")) - 1)
         queries = cut(self.visits(numbered))
-        first, parts, _ = pack(self.counts(self.posted), BLOCK_ROWS)
+        first, parts, _ = pack(self.lists.sizes, BLOCK_ROWS)
         first_chunk, chunk_parts, _ = pack(self.counts(queries), QUERY_ROWS)
         spark, k, dim = self.rows.sparkSession, self.k, self.dim
         places = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(zip(first, parts, first_chunk, chunk_parts))], "list int, first long, parts long, first_chunk long, chunk_parts long")

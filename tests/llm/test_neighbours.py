@@ -115,3 +115,15 @@ def test_split_lists_and_chunks(spark, monkeypatch):
     assert len(got) == 5 * len(want)
     share = sum((r["score"], r["id"]) in want[r["query_id"], tuple(dict(rows)[r["query_id"]])] for r in got) / len(got)
     assert share >= 0.95
+
+
+def test_small_lists_still_give_k(spark, monkeypatch):
+    """Tight clusters of four rows: the nearest list has too few, and the ratio is that of the probes' own neighbours."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 4)
+    monkeypatch.setattr(neighbours, "FIT_ROWS", 4)
+    monkeypatch.setattr(neighbours, "RECALL", 0.2)
+    rng = np.random.default_rng(2)
+    centers = 100 * rng.normal(size=(60, 5))
+    rows = [(i, [float(x) for x in centers[i % 60] + 0.01 * rng.normal(size=5)]) for i in range(240)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, step=20).collect()
+    assert {r["query_id"]: 0 for r in got}.keys() == {i for i in range(0, 240, 20)} and len(got) == 10 * 12
