@@ -223,3 +223,11 @@ def extreme_trades(trades: DataFrame, keys: list[str], threshold: float, top: in
     summary = summary.join(exact_quantiles(trades, keys, {"p99_size": (size, 0.99), "p99_participation": (F.col("participation_rate"), 0.99)}), keys)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(size.desc(), tie, "signal_date"))
     return summary, trades.where(size > threshold).withColumn("place", place).where(F.col("place") <= top)
+
+
+def reference_riskoff(curve: DataFrame, reference: DataFrame, keys: list[str], multiplier: float) -> DataFrame:
+    """Returns times ``multiplier`` on the dates that a reference table (keys, date, riskoff) marks; other dates stay whole."""
+    marked = reference.groupBy(*keys, "date").agg(F.max(F.coalesce("riskoff", F.lit(False))).alias("riskoff"))
+    out = curve.join(marked, [*keys, "date"], "left").withColumn("riskoff", F.coalesce("riskoff", F.lit(False)))
+    out = out.withColumn("guard_exposure", F.when(F.col("riskoff"), F.lit(multiplier)).otherwise(1.0))
+    return out.withColumn("guarded_return", F.coalesce("period_return", F.lit(0.0)) * F.col("guard_exposure"))

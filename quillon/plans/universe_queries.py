@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import panel
 from ..functions import windows as w
-from ..operators import inputs, neutralize, overlays, portfolio, robustness, universe, validate
+from ..operators import evaluate, inputs, neutralize, overlays, portfolio, robustness, states, universe, validate
 from . import core_queries, input_queries, portfolio_queries, repair_queries, research_queries, signal_queries
 from . import sqltext as s
 from .registry import register, rounded
@@ -236,3 +236,47 @@ def factors_basket_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     baskets = universe.basket_weights(_holdings(spark, sf_dir)).withColumn("asset_id", F.expr("cast(substr(stock_symbol, 2) as bigint)"))
     out = inputs.basket_flow(input_queries.flows(spark, sf_dir), baskets)
     return rounded(out, ["date", "fund_symbol", "constituent_count"], ["basket_weight_sum", *inputs.BASKET_FLOW, *[f"{n}_low" for n in inputs.BASKET_FLOW]])
+
+
+@register("reference_riskoff", f"""WITH {_CASES}, {_BENCHMARK}, rf AS (SELECT market, date, br < -0.05 AS riskoff FROM bq WHERE month(date) <> 3)
+SELECT ls.market, CAST(case_no AS INTEGER) AS case_no, ls.date, coalesce(riskoff, false) AS riskoff, {_R('r * CASE WHEN riskoff THEN 0.4 ELSE 1 END')} AS guarded_return FROM ls LEFT JOIN rf USING (market, date)""")
+def reference_riskoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = portfolio.benchmark_curve(panel.bars(spark, sf_dir)).where(F.month("date") != 3).select("market", "date", (F.col("period_return") < -0.05).alias("riskoff"))
+    out = overlays.reference_riskoff(research_queries.case_curves(spark, sf_dir), bench, ["market"], 0.4)
+    return rounded(out, ["market", "case_no", "date", "riskoff"], ["guarded_return"])
+
+
+# a rate released every month: the mean discount of the month's lines, missing now and then
+_RELEASED = """rl AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS release_date, CASE WHEN month(date_trunc('month', l_shipdate)) % 5 <> 3 THEN round(avg(l_discount), 6) END AS released FROM lineitem GROUP BY date_trunc('month', l_shipdate)),
+rf AS (SELECT *, last_value(released IGNORE NULLS) OVER (ORDER BY release_date ROWS UNBOUNDED PRECEDING) AS rate FROM rl), rc AS (SELECT *, round(rate - lag(rate) OVER (ORDER BY release_date), 9) AS change FROM rf WHERE rate IS NOT NULL),
+ms AS (SELECT release_date, rate, released IS NULL AS repaired, change, CASE WHEN change IS NULL THEN 'unknown' WHEN change > 0.0005 THEN 'tightening' WHEN change < -0.0005 THEN 'easing' ELSE 'flat' END AS state FROM rc)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.date_trunc("month", "l_shipdate").cast("date")
+    released = panel.read(spark, sf_dir, "lineitem").groupBy(month.alias("release_date")).agg(F.avg("l_discount").alias("mean"))
+    return states.macro_states(released.select("release_date", F.when(F.month("release_date") % 5 != 3, F.round("mean", 6)).alias("rate")), 0.0005)
+
+
+@register("macro_states", f"WITH {_RELEASED} SELECT release_date, repaired, state, {_R('rate')} AS rate, {_R('change')} AS change FROM ms")
+def macro_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_states(spark, sf_dir), ["release_date", "repaired", "state"], ["rate", "change"])
+
+
+@register("state_conditioned_ic", f"""WITH {core_queries._IC}, {_RELEASED}, kn AS (SELECT CAST(release_date + 1 AS DATE) AS known_from, state FROM ms),
+mt AS (SELECT i.market, i.factor_name, i.horizon, i.rank_ic, coalesce(k.state, 'unknown') AS state FROM (SELECT * FROM ic0 WHERE rank_ic IS NOT NULL) i ASOF LEFT JOIN kn k ON i.date >= k.known_from)
+SELECT market, factor_name, horizon, state, count(*) AS n, {_R('avg(rank_ic)')} AS mean_ic, {_R('CASE WHEN count(*) > 1 THEN avg(rank_ic) * sqrt(count(*)) / CASE WHEN stddev_samp(rank_ic) > 1e-12 THEN stddev_samp(rank_ic) END END', 5)} AS t_stat, {_R('avg(CAST(round(rank_ic, 9) > 0 AS DOUBLE))')} AS positive_rate FROM mt GROUP BY market, factor_name, horizon, state""")
+def state_conditioned_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ic = evaluate.information_coefficient(*core_queries.study(spark, sf_dir), p_values=False).withColumn("rank_ic", F.round("rank_ic", 12))
+    out = states.state_conditioned_ic(ic, _states(spark, sf_dir), ["market", "factor_name", "horizon"])
+    return out.select("market", "factor_name", "horizon", "state", "n", (F.round("mean_ic", 6) + F.lit(0.0)).alias("mean_ic"), (F.round("t_stat", 5) + F.lit(0.0)).alias("t_stat"), (F.round("positive_rate", 6) + F.lit(0.0)).alias("positive_rate"))
+
+
+@register("signal_snapshot", f"""WITH {core_queries._STUDY}, pa AS (SELECT * FROM factors WHERE date <= DATE '1997-05-15' AND factor_value IS NOT NULL), la AS (SELECT market, factor_name, max(date) AS date FROM pa GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY market, factor_name ORDER BY factor_value DESC, asset_id) AS k FROM pa JOIN la USING (market, factor_name, date)), pp AS (SELECT *, count(*) OVER (PARTITION BY market, factor_name) AS n FROM pk WHERE k <= 4),
+pr AS (SELECT asset_id, arg_max(adj_close, date) AS price, max(date) AS price_date FROM bars WHERE date <= DATE '1997-05-15' GROUP BY ALL)
+SELECT market, factor_name, date AS signal_date, asset_id, CAST(k AS INTEGER) AS rank, price_date, datediff('day', date, DATE '1997-05-15') > 5 AS stale, {_R('factor_value')} AS factor_value, {_R('least(1.0 / n, 0.2)')} AS weight, {_R('price')} AS price FROM pp LEFT JOIN pr USING (asset_id)""")
+def signal_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, _ = core_queries.study(spark, sf_dir)
+    out = states.signal_snapshot(f, panel.bars(spark, sf_dir), "1997-05-15", 4, 0.2, 5)
+    return rounded(out, ["market", "factor_name", "signal_date", "asset_id", "rank", "price_date", "stale"], ["factor_value", "weight", "price"])
