@@ -164,6 +164,36 @@ def pct_rank(c: Column | str, keys: tuple[str, ...] = CROSS) -> Column:
     return avg_rank(c, keys) / F.count(c).over(_whole(Window.partitionBy(*keys).orderBy(c)))
 
 
+def deal(df: DataFrame, parts: int | None = None, keys: tuple[str, ...] = CROSS) -> DataFrame:
+    """Rows by cross-section, for all windows that follow: in ``parts`` partitions, or as the session sets it.
+
+    The number has to grow with the table: with a fixed one, the rows that a task sorts grow with the table.
+    """
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
+def pct_ranks(df: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = CROSS, ids: tuple[str, ...] = ("asset_id",)) -> DataFrame:
+    """pct_rank of several values, added to df: one sort of narrow rows (value by value) for all of them.
+
+    A window per value would sort the whole rows once each. A row's own columns travel once, beside its values, and are put
+    together again by row; those outside keys and ids must be of fixed width. df is to be dealt by keys before, so that
+    this needs no exchange.
+    """
+    if not values:
+        return df
+    kept = [c for c in df.columns if c not in (*keys, *ids)]
+    whole = F.struct(*kept)
+    entry = lambda i, v, own: F.struct(F.lit(i).alias("__what"), v.cast("double").alias("__value"), own.alias("__own"))
+    entries = [entry(0, F.lit(None), whole), *[entry(i, v, F.when(F.lit(False), whole)) for i, v in enumerate(values.values(), 1)]]
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).select(*keys, *ids, "__row", F.inline(F.array(*entries)))
+    by = Window.partitionBy(*keys, "__what").orderBy("__value")
+    ties = F.count(F.lit(1)).over(by.rangeBetween(Window.currentRow, Window.currentRow))
+    rank = (F.rank().over(by) + (ties - 1) / 2) / F.count(F.lit(1)).over(_whole(by))
+    ranked = rows.where("__what = 0 or __value is not null").withColumn("__rank", rank)
+    own = [F.max(F.col("__own")[c]).alias(c) for c in kept]
+    return ranked.groupBy(*keys, *ids, "__row").agg(*own, *[F.max(F.when(F.col("__what") == i, F.col("__rank"))).alias(n) for i, n in enumerate(values, 1)]).drop("__row")
+
+
 def upper_half(values: dict[str, Column], keys: tuple[str, ...] = CROSS) -> list[dict[str, Column]]:
     """Stages for steps() that make a flag for each value: whether its pct_rank is above a half.
 

@@ -39,8 +39,11 @@ def _among(columns: list[str], out: Column) -> Column:
     return F.when(whole, out)
 
 
-def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None) -> DataFrame:
-    """Keys and one column per factor, without the window length in its name."""
+def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None, parts: int | None = None) -> DataFrame:
+    """Keys and one column per factor, without the window length in its name.
+
+    parts: partitions of the cross-sections (see windows.deal).
+    """
     unknown = sorted(set(names or ()) - set(NAMES))
     if unknown:
         raise ValueError(f"unknown technical factors: {', '.join(unknown)}")
@@ -79,6 +82,12 @@ def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None) ->
             "quiet_accumulation": F.col("acceleration") - F.col("volatility"),
         },
         {"crash_recovery": F.when(F.col("drawdown_resilience").isNotNull(), F.col("crash_recovery"))},
+    )
+    wanted = names or NAMES
+    if set(wanted) <= set(DIRECT):
+        return df.select(*KEYS, *wanted)
+    df = w.steps(
+        w.deal(df.select(*KEYS, *DIRECT), parts),
         {"market_momentum": F.median("momentum").over(w.cross()), "momentum_sd": F.stddev_pop("momentum").over(w.cross())},
         {"market_relative_strength": F.col("momentum") - F.col("market_momentum")},
         {"momentum_dispersion_breakout": div("market_relative_strength", "momentum_sd")},
@@ -88,18 +97,26 @@ def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None) ->
         for c in ("average_amount", "liquidity_resilience"):
             halves[f"{g}_{c}"] = _among([g, "average_amount", "liquidity_resilience"], F.col(c))
         gates[f"liquid_{g}"] = F.when(F.col(f"{g}_average_amount") & F.col(f"{g}_liquidity_resilience"), F.col(g))
-    parts = ["momentum", "market_relative_strength", "drawdown_resilience", "low_downside_volatility", "liquidity_resilience", "crash_recovery", "recovery_quality"]
-    medians = {"m_momentum": F.median(_among(parts, F.col("momentum"))).over(w.cross()), "m_drawdown": F.median(_among(parts, F.col("drawdown_resilience"))).over(w.cross())}
+    ranked = ["momentum", "market_relative_strength", "drawdown_resilience", "low_downside_volatility", "liquidity_resilience", "crash_recovery", "recovery_quality"]
+    medians = {"m_momentum": F.median(_among(ranked, F.col("momentum"))).over(w.cross()), "m_drawdown": F.median(_among(ranked, F.col("drawdown_resilience"))).over(w.cross())}
     values, middle, counts, flags = w.upper_half(halves)
-    df = w.steps(df, values, middle | medians, counts, flags, gates, {f"r_{c}": w.pct_rank(_among(parts, F.col(c))) for c in parts})
-    stress = (F.col("m_momentum") < 0) | (F.col("m_drawdown") < -0.05)
-    df = w.steps(
-        df,
-        {"s_trend": w.row_mean("r_momentum", "r_market_relative_strength"), "s_defense": w.row_mean("r_drawdown_resilience", "r_low_downside_volatility", "r_liquidity_resilience"), "s_recovery": w.row_mean("r_crash_recovery", "r_recovery_quality", "r_drawdown_resilience")},
-        {"state_adaptive_trend_defense": F.when(F.col("m_momentum") >= 0, F.col("s_trend")).otherwise(F.col("s_defense")), "state_stress_defensive_resilience": F.when(stress, F.col("s_defense")), "state_stress_recovery_leadership": F.when(stress, F.col("s_recovery"))},
-        {name: w.row_mean(*[w.pct_rank(_among(list(parts), F.col(c))) for c in parts]) for name, parts in COMPOSITE.items()},
-    )
-    return df.select(*KEYS, *(names or NAMES))
+    df = w.steps(df, values, middle | medians, counts, flags, gates)
+    state = any(name in STATE for name in wanted)
+    ranks = {f"r_{c}": _among(ranked, F.col(c)) for c in ranked} if state else {}
+    made = {name: cs for name, cs in COMPOSITE.items() if name in wanted}
+    for name, cs in made.items():
+        ranks |= {f"r_{name}_{c}": _among(list(cs), F.col(c)) for c in cs}
+    needed = [c for c in wanted if c not in STATE and c not in COMPOSITE]
+    df = w.pct_ranks(df.select(*KEYS, *needed, *(medians if state else ()), *[v.alias(f"v_{r}") for r, v in ranks.items()]), {r: F.col(f"v_{r}") for r in ranks})
+    if state:
+        stress = (F.col("m_momentum") < 0) | (F.col("m_drawdown") < -0.05)
+        df = w.steps(
+            df,
+            {"s_trend": w.row_mean("r_momentum", "r_market_relative_strength"), "s_defense": w.row_mean("r_drawdown_resilience", "r_low_downside_volatility", "r_liquidity_resilience"), "s_recovery": w.row_mean("r_crash_recovery", "r_recovery_quality", "r_drawdown_resilience")},
+            {"state_adaptive_trend_defense": F.when(F.col("m_momentum") >= 0, F.col("s_trend")).otherwise(F.col("s_defense")), "state_stress_defensive_resilience": F.when(stress, F.col("s_defense")), "state_stress_recovery_leadership": F.when(stress, F.col("s_recovery"))},
+        )
+    df = df.withColumns({name: w.row_mean(*[f"r_{name}_{c}" for c in cs]) for name, cs in made.items()}) if made else df
+    return df.select(*KEYS, *wanted)
 
 
 def long_form(wide: DataFrame, names: list[str], lookback: int, suffix: str = "") -> DataFrame:

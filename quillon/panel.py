@@ -23,8 +23,21 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.select(F.col("s_suppkey").alias("asset_id"), F.col("r_name").alias("market"), F.col("n_name").alias("industry"))
 
 
+#: Order lines (about half as many bars) in a partition of a large panel.
+PART_LINES = 100_000
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Partitions of a panel, in step with its order lines (counted from the files' footers); None for a small one."""
+    n = -(-read(spark, sf_dir, "lineitem").count() // PART_LINES)
+    return n if n > 16 else None
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel, its rows dealt by asset: windows by asset need no further exchange."""
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    n = parts(spark, sf_dir)
+    lines = lines.repartition(n, "l_suppkey") if n else lines.repartition("l_suppkey")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     weekly = lines.groupBy(F.col("l_suppkey").alias("asset_id"), F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(
         F.round(F.avg(unit), 10).alias("open"),

@@ -48,7 +48,7 @@ def _technical(n: int):
 
     @register(f"factors_technical_{n}", sql)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        wide = technical.technical(panel.bars(spark, sf_dir), n)
+        wide = technical.technical(panel.bars(spark, sf_dir), n, parts=panel.parts(spark, sf_dir))
         return wide.select(*KEYS, *[((F.round(F.col(c) * 1e6, 4) if c in tiny else F.round(c, 6)) + F.lit(0.0)).alias(c) for c in names])
 
     return query
