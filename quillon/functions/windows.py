@@ -172,21 +172,22 @@ def deal(df: DataFrame, parts: int | None = None, keys: tuple[str, ...] = CROSS)
     return df.repartition(parts, *keys) if parts else df.repartition(*keys)
 
 
-def pct_ranks(df: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = CROSS, ids: tuple[str, ...] = ("asset_id",)) -> DataFrame:
+def pct_ranks(df: DataFrame, values: dict[str, Column | tuple[Column, Column]], keys: tuple[str, ...] = CROSS, ids: tuple[str, ...] = ("asset_id",)) -> DataFrame:
     """pct_rank of several values, added to df: one sort of narrow rows (value by value) for all of them.
 
     A window per value would sort the whole rows once each. A row's own columns travel once, beside its values, and are put
     together again by row; those outside keys and ids must be of fixed width. df is to be dealt by keys before, so that
-    this needs no exchange.
+    this needs no exchange. A pair is a value and the bucket within keys that it is ranked in.
     """
     if not values:
         return df
     kept = [c for c in df.columns if c not in (*keys, *ids)]
     whole = F.struct(*kept)
-    entry = lambda i, v, own: F.struct(F.lit(i).alias("__what"), v.cast("double").alias("__value"), own.alias("__own"))
-    entries = [entry(0, F.lit(None), whole), *[entry(i, v, F.when(F.lit(False), whole)) for i, v in enumerate(values.values(), 1)]]
+    none = F.lit(None)
+    entry = lambda i, v, b, own: F.struct(F.lit(i).alias("__what"), b.cast("int").alias("__bucket"), v.cast("double").alias("__value"), own.alias("__own"))
+    entries = [entry(0, none, none, whole), *[entry(i, *(v if isinstance(v, tuple) else (v, none)), F.when(F.lit(False), whole)) for i, v in enumerate(values.values(), 1)]]
     rows = df.withColumn("__row", F.monotonically_increasing_id()).select(*keys, *ids, "__row", F.inline(F.array(*entries)))
-    by = Window.partitionBy(*keys, "__what").orderBy("__value")
+    by = Window.partitionBy(*keys, "__what", "__bucket").orderBy("__value")
     ties = F.count(F.lit(1)).over(by.rangeBetween(Window.currentRow, Window.currentRow))
     rank = (F.rank().over(by) + (ties - 1) / 2) / F.count(F.lit(1)).over(_whole(by))
     ranked = rows.where("__what = 0 or __value is not null").withColumn("__rank", rank)

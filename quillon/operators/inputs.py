@@ -183,18 +183,25 @@ QUALITY_VALUE_MOMENTUM = Family(
 TURNOVER_COMBO = tuple(f"{c}_low_{kind}_mv_bucket_rank" for c in ("turnover_rate", "turnover_rate_f") for kind in ("liquid", "adv_blend"))
 
 
-def turnover_combo(bars: DataFrame) -> DataFrame:
-    """Low turnover within size buckets of a date: among the liquid half, or blended with liquidity."""
-    df = bars.withColumns({"adv": w.mean("amount", 20, 1), "size": log("circ_mv")})
-    for c in ("turnover_rate", "turnover_rate_f"):
-        whole = F.col(c).isNotNull() & F.col("size").isNotNull() & F.col("adv").isNotNull()
-        df = df.withColumn("bucket", w.edge_bucket(F.when(whole, F.col("size")), 5, ("date",), at_most=True))
-        keys = ("date", "bucket")
-        df = df.withColumns({"sig": F.when(whole, -F.col(c)), "adv_in": F.when(whole, F.col("adv"))})
-        df = df.withColumns({"sig_rank": w.pct_rank("sig", keys), "adv_rank": w.pct_rank("adv_in", keys)})
-        df = df.withColumns({"liquid": F.when(F.col("adv_rank") >= 0.50, F.col("sig")), "blend": 0.55 * F.col("sig_rank") + 0.45 * F.col("adv_rank")})
-        df = df.withColumns({f"{c}_low_liquid_mv_bucket_rank": w.pct_rank("liquid", keys), f"{c}_low_adv_blend_mv_bucket_rank": w.pct_rank(F.round("blend", 12), keys)})
-    return df.select(*KEYS, *TURNOVER_COMBO)
+def turnover_combo(bars: DataFrame, parts: int | None = None) -> DataFrame:
+    """Low turnover within size buckets of a date: among the liquid half, or blended with liquidity.
+
+    parts: partitions of the dates (see windows.deal).
+    """
+    sides = ("turnover_rate", "turnover_rate_f")
+    df = bars.select(*KEYS, w.mean("amount", 20, 1).alias("adv"), log("circ_mv").alias("size"), *sides)
+    df = w.deal(df, parts, ("date",))
+    whole = {c: F.col(c).isNotNull() & F.col("size").isNotNull() & F.col("adv").isNotNull() for c in sides}
+    df = df.withColumns({f"bucket_{c}": w.edge_bucket(F.when(whole[c], F.col("size")), 5, ("date",), at_most=True) for c in sides})
+    of = lambda c, value: (F.when(whole[c], value), F.col(f"bucket_{c}"))
+    first = {f"sig_{c}": of(c, -F.col(c)) for c in sides} | {f"adv_{c}": of(c, F.col("adv")) for c in sides}
+    ids = ("asset_id", "market")
+    df = w.pct_ranks(df, first, ("date",), ids)
+    second = {}
+    for c in sides:
+        blend = F.round(0.55 * F.col(f"sig_{c}") + 0.45 * F.col(f"adv_{c}"), 12)
+        second |= {f"{c}_low_liquid_mv_bucket_rank": of(c, F.when(F.col(f"adv_{c}") >= 0.50, -F.col(c))), f"{c}_low_adv_blend_mv_bucket_rank": of(c, blend)}
+    return w.pct_ranks(df, second, ("date",), ids).select(*KEYS, *TURNOVER_COMBO)
 
 
 def skip_momentum(bars: DataFrame) -> DataFrame:

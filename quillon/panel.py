@@ -6,7 +6,7 @@ are exact decimals, so bars do not depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAR_COLUMNS = ["asset_id", "market", "industry", "date", "open", "high", "low", "close", "adj_close", "volume", "amount", "vwap"]
@@ -33,11 +33,18 @@ def parts(spark: SparkSession, sf_dir: str) -> int | None:
     return n if n > 16 else None
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel, its rows dealt by asset: windows by asset need no further exchange."""
-    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    n = parts(spark, sf_dir)
-    lines = lines.repartition(n, "l_suppkey") if n else lines.repartition("l_suppkey")
+def by_asset(lines: DataFrame, n: int | None) -> DataFrame:
+    """Order lines dealt by asset, in n partitions or as the session sets it."""
+    return lines.repartition(n, "l_suppkey") if n else lines.repartition("l_suppkey")
+
+
+def bars(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """The panel, its rows dealt by asset: windows by asset need no further exchange.
+
+    more: further sums of a bar's order lines, by name, so that a side table of them needs no scan and join of its own.
+    """
+    more = more or {}
+    lines = by_asset(read(spark, sf_dir, "lineitem"), parts(spark, sf_dir))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     weekly = lines.groupBy(F.col("l_suppkey").alias("asset_id"), F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(
         F.round(F.avg(unit), 10).alias("open"),
@@ -45,6 +52,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(unit).alias("low"),
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("volume"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"),
+        *[c.alias(n) for n, c in more.items()],
     )
     price = F.col("amount") / F.col("volume")
-    return weekly.withColumns({"close": price, "adj_close": price, "vwap": price}).join(assets(spark, sf_dir), "asset_id").select(*BAR_COLUMNS)
+    return weekly.withColumns({"close": price, "adj_close": price, "vwap": price}).join(assets(spark, sf_dir), "asset_id").select(*BAR_COLUMNS, *more)

@@ -43,3 +43,65 @@ def test_large_panels_have_more_partitions(spark, sf_dir, monkeypatch):
     assert panel.parts(spark, sf_dir) == 60
     bars = panel.bars(spark, sf_dir)
     assert "hashpartitioning(l_suppkey" in plan(bars) and ", 60)" in plan(bars)
+
+
+def test_side_tables_of_the_lines_need_no_second_scan(spark, sf_dir):
+    from quillon.plans import input_queries
+
+    assert plan(input_queries.valued(spark, sf_dir)).count("l_extendedprice:double") == 1
+
+
+def test_ranks_of_turnover_within_buckets_share_sorts(spark, sf_dir):
+    from quillon.operators import inputs
+    from quillon.plans import input_queries
+
+    assert plan(inputs.turnover_combo(input_queries.valued(spark, sf_dir), 8)).count(" Sort [") <= 8
+
+
+def test_ranks_of_the_ensemble_share_a_sort(spark, sf_dir):
+    from quillon.operators import composites
+    from quillon.plans import input_queries
+
+    assert plan(composites.anomaly_ensemble(input_queries.valued(spark, sf_dir), 8)).count("Sort [date") <= 2
+
+
+def test_bridge_deals_its_factors_once(spark):
+    from quillon.operators import composites
+
+    rows = [(1, "m", "2020-01-06", 0.1), (2, "m", "2020-01-06", 0.2), (3, "m", "2020-01-06", None)]
+    side = lambda name, mine: spark.createDataFrame(mine, f"asset_id long, market string, date string, {name} double")
+    out = composites.risk_filter_bridge(side("x", rows), side("y", rows[1:] + [(4, "m", "2020-01-06", 0.3)]), "x", "y", parts=8)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    assert {r.asset_id: r[3] for r in out.collect()} == {1: None, 2: 0.75, 3: None, 4: None}
+
+
+def test_flows_shuffle_lines_by_asset(spark, sf_dir):
+    from quillon.plans import input_queries
+
+    found = plan(input_queries.flows(spark, sf_dir))
+    assert "REPARTITION_BY_COL" in found and found.count("Exchange hashpartitioning(l_suppkey") == 1
+
+
+def test_blocks_of_peers_are_few(spark):
+    from quillon.operators import peers
+
+    sizes = spark.range(4000).selectExpr("'m' as market", "date'2020-01-01' as valid_from", "id as asset_id")
+    assert peers.blocks_for(sizes) == 2
+
+
+def test_correlated_cross_sections_are_dealt_in_step(spark):
+    from quillon.operators import evaluate
+
+    left = spark.createDataFrame([("2020-01-06", i, "m", "f", float(i)) for i in range(5)], "date string, asset_id long, market string, factor_name string, factor_value double")
+    out = evaluate.factor_correlation(left, left, parts=8)
+    assert "REPARTITION_BY_NUM" in plan(out) and round(out.first().mean_correlation, 9) == 1.0
+
+
+def test_dates_of_a_grid_are_counted_over_picked_rows(spark):
+    from quillon.operators import portfolio
+
+    f = spark.range(40).selectExpr("cast(id % 4 as string) as date", "id as asset_id", "'m' as market", "'f' as factor_name", "cast(id as double) as factor_value")
+    out = portfolio.select_grid(f, [{"case_no": 0, "top_n": 2, "every": 2}])
+    found = plan(out)
+    assert "Filter" in found[found.index("dense_rank") : found.index("row_number")]
+    assert sorted((r.date, r.asset_id) for r in out.collect()) == [("0", 32), ("0", 36), ("2", 34), ("2", 38)]
