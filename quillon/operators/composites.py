@@ -64,9 +64,14 @@ SMART_MONEY = Family(
 BRIDGE = ("risk_filter_bridge_equal_20", "risk_filter_bridge_agreement_20", "risk_filter_bridge_anti_obv_weighted_20")
 
 
-def risk_filter_bridge(anti: DataFrame, smart: DataFrame, anti_name: str = "anti_obv_breakout_low_tail_20", smart_name: str = "smart_money_reversal_value_20") -> DataFrame:
-    """Two factors joined by their cross-section ranks; a rank needs two values, a blend both ranks."""
-    df = anti.select(*KEYS, F.col(anti_name).alias("a")).join(smart.select(*KEYS, F.col(smart_name).alias("b")), KEYS, "full")
+def risk_filter_bridge(anti: DataFrame, smart: DataFrame, anti_name: str = "anti_obv_breakout_low_tail_20", smart_name: str = "smart_money_reversal_value_20", parts: int | None = None) -> DataFrame:
+    """Two factors, a row each per asset, market and date, joined by their cross-section ranks.
+
+    A rank needs two values, a blend both ranks. parts: partitions of the cross-sections (see windows.deal).
+    """
+    sides = anti.select(*KEYS, F.col(anti_name).alias("a"), F.lit(None).cast("double").alias("b")).unionByName(smart.select(*KEYS, F.lit(None).cast("double").alias("a"), F.col(smart_name).alias("b")))
+    # dealt by cross-section before the two are put together: a join by asset would deal them by asset first
+    df = w.deal(sides, parts).groupBy(*KEYS).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     df = df.withColumns({f"r{c}": F.when(F.count(c).over(w.cross()) > 1, w.pct_rank(c)) for c in "ab"})
     a, b = F.col("ra"), F.col("rb")
     both = a.isNotNull() & b.isNotNull()
@@ -77,13 +82,13 @@ def risk_filter_bridge(anti: DataFrame, smart: DataFrame, anti_name: str = "anti
 ENSEMBLE = ("public_anomaly_residual_equal_weight_20", "public_anomaly_residual_agreement_20", "public_anomaly_residual_disagreement_risk_20", "public_anomaly_residual_regime_conditioned_20")
 
 
-def anomaly_ensemble(bars: DataFrame) -> DataFrame:
+def anomaly_ensemble(bars: DataFrame, parts: int | None = None) -> DataFrame:
     """Ranks of five components (value, stability, reversal, low volatility, capacity), blended where four are present.
 
     Components are rounded to nine digits first, so that equal ones tie whatever the order of their sums.
 
     The market's momentum is a sum over its own dates: returns are averaged per market and date, summed over twenty
-    dates, and joined back, one row per market and date.
+    dates, and joined back, one row per market and date. parts: partitions of the cross-sections (see windows.deal).
     """
     p = F.col("adj_close")
     log = lambda c: F.log(F.when(F.col(c) > 0, F.col(c)))
@@ -95,18 +100,22 @@ def anomaly_ensemble(bars: DataFrame) -> DataFrame:
     )
     markets = df.groupBy("market", "date").agg(F.avg("ret").alias("market_ret"))
     markets = markets.select("market", "date", w.total("market_ret", 20, keys=("market",)).alias("market_momentum"))
-    df = df.join(markets, ["market", "date"], "left")
+    used = ("ret", "ret_20", "amount_20", "cheap_pe", "cheap_pb", "dv_ttm", "down_20", "abs_ret_20", "vol_20", "log_amount", "turnover_rate_f")
+    df = w.deal(df.select(*KEYS, *used), parts)
     z = w.zscore
-    parts = {
+    blends = {
         "value": (z("cheap_pe") + z("cheap_pb") + z("dv_ttm")) / 3,
         "stable": -0.65 * z("down_20") - 0.35 * z("abs_ret_20"),
         "reversal": -z("ret_20"),
         "calm": -z("vol_20"),
         "capacity": z("log_amount") - 0.25 * z("turnover_rate_f"),
     }
-    rank = lambda c: F.when(F.count(c).over(w.cross()) > 1, w.pct_rank(c))
-    df = w.steps(df, {k: F.round(v, 9) for k, v in parts.items()}, {f"r_{k}": rank(k) for k in parts} | {"amount_rank": rank("amount_20")})
-    ranks = [F.col(f"r_{k}") for k in parts]
+    df = df.withColumns({k: F.round(v, 9) for k, v in blends.items()})
+    several = {k: F.count(k).over(w.cross()) > 1 for k in (*blends, "amount_20")}
+    df = df.withColumns({f"v_{k}": F.when(ok, F.col(k)) for k, ok in several.items()}).select(*KEYS, "ret", *[f"v_{k}" for k in several])
+    df = w.pct_ranks(df, {f"r_{k}": F.col(f"v_{k}") for k in several})
+    df = df.withColumnRenamed("r_amount_20", "amount_rank").join(F.broadcast(markets), ["market", "date"], "left")
+    ranks = [F.col(f"r_{k}") for k in blends]
     present = sum((r.isNotNull().cast("int") for r in ranks), F.lit(0))
     agree = sum((F.coalesce((r > 0.60).cast("int"), F.lit(0)) for r in ranks), F.lit(0))
     valid = (present >= 4) & (F.col("amount_rank") > 0.25) & (F.abs("ret") <= 0.50)

@@ -49,7 +49,7 @@ SELECT asset_id, market, date, round((ra + rb) / 2, 6) AS risk_filter_bridge_equ
 def factors_risk_filter_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     anti = rounded(c.CHAMPION.compute(valued(spark, sf_dir)), KEYS, [_A])
     smart = rounded(c.SMART_MONEY.compute(valued(spark, sf_dir), (_B,)), KEYS, [_B])
-    return rounded(c.risk_filter_bridge(anti, smart, _A, _B), KEYS, list(c.BRIDGE))
+    return rounded(c.risk_filter_bridge(anti, smart, _A, _B, panel.parts(spark, sf_dir)), KEYS, list(c.BRIDGE))
 
 
 _PARTS = ("value", "stable", "reversal", "calm", "capacity")
@@ -72,7 +72,7 @@ SELECT asset_id, market, date, round(CASE WHEN valid THEN equal END, 6) AS {c.EN
 
 @register("factors_anomaly_ensemble", _ENSEMBLE_SQL)
 def factors_anomaly_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(c.anomaly_ensemble(valued(spark, sf_dir)), KEYS, list(c.ENSEMBLE))
+    return rounded(c.anomaly_ensemble(valued(spark, sf_dir), panel.parts(spark, sf_dir)), KEYS, list(c.ENSEMBLE))
 
 
 FLOOR = 60_000.0  # of the order lines; their amounts stay far below the default
