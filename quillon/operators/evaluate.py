@@ -110,12 +110,15 @@ def top_set_turnover(factors: DataFrame, q: int = 5) -> DataFrame:
     return joined.select("date", "market", "factor_name", (1 - F.coalesce("shared", F.lit(0)) / F.greatest("size", "prior_size")).alias("turnover"))
 
 
-def factor_correlation(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Mean daily rank correlation of every factor on the left with every one on the right."""
+def factor_correlation(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
+    """Mean daily rank correlation of every factor on the left with every one on the right.
+
+    parts: partitions of the ranked cross-sections (see windows.deal).
+    """
     r = right.select("date", "asset_id", "market", F.col("factor_name").alias("reference_name"), F.col("factor_value").alias("reference_value"))
     both = left.join(r, ["date", "asset_id", "market"]).where("factor_value is not null and reference_value is not null")
     keys = ("date", "market", "factor_name", "reference_name")
-    ranked = both.withColumns({"a": w.avg_rank("factor_value", keys), "b": w.avg_rank("reference_value", keys)})
+    ranked = w.deal(both, parts, keys).withColumns({"a": w.avg_rank("factor_value", keys), "b": w.avg_rank("reference_value", keys)})
     daily = ranked.groupBy(*keys).agg(_corr("a", "b").alias("c"))
     return daily.where("c is not null").groupBy("factor_name", "reference_name").agg(F.avg("c").alias("mean_correlation"), F.count(F.lit(1)).alias("n_dates"))
 

@@ -164,4 +164,4 @@ SELECT factor_name, reference_name, round(avg(k), 6) AS mean_correlation, count(
 def factor_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, _ = study(spark, sf_dir)
     refs = technical.long_form(technical.technical(panel.bars(spark, sf_dir), 5, ("average_amount",)), ["average_amount"], 5, "_5")
-    return evaluate.factor_correlation(left, refs).withColumn("mean_correlation", F.round("mean_correlation", 6))
+    return evaluate.factor_correlation(left, refs, panel.parts(spark, sf_dir)).withColumn("mean_correlation", F.round("mean_correlation", 6))
