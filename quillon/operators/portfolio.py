@@ -20,14 +20,15 @@ def select_top(factors: DataFrame, n: Column | int, keys: tuple[str, ...] = ("da
 def select_grid(factors: DataFrame, cases: list[dict[str, float | int]], keys: tuple[str, ...] = ("market", "factor_name")) -> DataFrame:
     """The selections of many cases (``case_no``, ``top_n``, ``every``, and what else a case has) with equal weights.
 
-    Values are ranked and dates counted once for all cases; only rows that a case takes are written for it.
+    Values are ranked and dates counted once for all cases; only rows that a case takes are written for it. Dates are counted
+    over the rows picked (each date has some), as one task counts those of a market and factor.
     """
     best = Window.partitionBy("date", *keys).orderBy(F.desc("factor_value"), "asset_id")
     dates = Window.partitionBy(*keys).orderBy("date")
-    ranked = factors.where(F.col("factor_value").isNotNull()).withColumns({"pick": F.row_number().over(best), "place": F.dense_rank().over(dates) - 1})
+    ranked = factors.where(F.col("factor_value").isNotNull()).withColumn("pick", F.row_number().over(best))
     listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in cases])
     taken = F.filter(listed, lambda c: (F.col("pick") <= c["top_n"]) & (F.pmod(F.col("place"), c["every"]) == 0))
-    few = ranked.where(F.col("pick") <= max(c["top_n"] for c in cases))
+    few = ranked.where(F.col("pick") <= max(c["top_n"] for c in cases)).withColumn("place", F.dense_rank().over(dates) - 1)
     rows = few.select(*factors.columns, F.inline(taken))
     return rows.withColumn("target_weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("date", *keys, "case_no")))
 
