@@ -36,25 +36,26 @@ mv AS (SELECT asset_id, market, date, {s.change('adj_close', 3)} AS v FROM bars)
 pv AS (SELECT DISTINCT f.date, f.asset_id, f.market, f.v, p.asset_id AS peer, p.v AS pv FROM mv f JOIN ed ON ed.asset_id = f.asset_id AND f.date >= ed.valid_from AND (ed.valid_to IS NULL OR f.date <= ed.valid_to) JOIN mv p ON p.asset_id = ed.peer_asset_id AND p.date = f.date AND p.market = f.market WHERE f.v IS NOT NULL AND p.v IS NOT NULL)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Three-bar returns of the assets, and edges between assets of a market."""
-    bars = panel.bars(spark, sf_dir)
-    each = bars.select("asset_id", "market").distinct()
+def edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Three-bar returns of the assets, edges between assets of a market, and a bound of the dates and partitions for both."""
+    lines = panel.read(spark, sf_dir, "lineitem")
+    quarter = F.date_trunc("quarter", F.date_trunc("week", "l_shipdate")).cast("date")
+    spans = lines.select(F.col("l_suppkey").alias("asset_id"), quarter.alias("valid_from")).distinct().join(panel.assets(spark, sf_dir).select("asset_id", "market"), "asset_id")
+    each = spans.select("asset_id", "market").distinct()
     size = each.groupBy("market").agg(F.count(F.lit(1)).alias("n"))
     placed = each.withColumn("i", w.first_rank("asset_id", ("market",))).join(size, "market")
     steps = placed.select("market", "asset_id", F.explode(F.array(*[F.lit(d) for d in range(1, 5)])).alias("d"), "i", "n").where("d < n")
     pairs = steps.withColumn("i", (F.col("i") - 1 + F.col("d")) % F.col("n") + 1).join(placed.select("market", "i", F.col("asset_id").alias("peer_asset_id")), ["market", "i"])
-    quarter = F.date_trunc("quarter", "date").cast("date")
-    spans = bars.select("asset_id", quarter.alias("valid_from")).distinct()
     end = F.when((F.col("asset_id") + F.month("valid_from")) % 9 != 0, F.add_months("valid_from", 6))
-    moved = bars.select("asset_id", "market", "date", w.change("adj_close", 3).alias("v"))
-    return moved, pairs.select("asset_id", "peer_asset_id").join(spans, "asset_id").withColumn("valid_to", end)
+    moved = panel.bars(spark, sf_dir).select("asset_id", "market", "date", w.change("adj_close", 3).alias("v"))
+    bound = {"last": lines.agg(F.max(F.col("l_shipdate").cast("date"))).first()[0], "parts": panel.parts(spark, sf_dir)}
+    return moved, pairs.select("asset_id", "peer_asset_id").join(spans.drop("market"), "asset_id").withColumn("valid_to", end), bound
 
 
 @register("peer_values", f"WITH {_EDGES} SELECT date, market, asset_id, peer AS peer_asset_id, round(v, 6) + 0.0 AS v, round(pv, 6) + 0.0 AS peer_value FROM pv")
 def peer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved, pairs = edges(spark, sf_dir)
-    return rounded(peers.peer_values(moved, pairs, "v"), ["date", "market", "asset_id", "peer_asset_id"], ["v", "peer_value"])
+    moved, pairs, bound = edges(spark, sf_dir)
+    return rounded(peers.peer_values(moved, pairs, "v", **bound), ["date", "market", "asset_id", "peer_asset_id"], ["v", "peer_value"])
 
 
 _DISLOCATED = f"""WITH {_EDGES}, ps AS (SELECT date, asset_id, market, count(*) AS peer_count, median(pv) AS med FROM pv GROUP BY ALL),
@@ -65,8 +66,8 @@ SELECT asset_id, market, date, peer_count, round(raw, 6) + 0.0 AS raw_dislocatio
 
 @register("factors_peer_dislocation", _DISLOCATED)
 def factors_peer_dislocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved, pairs = edges(spark, sf_dir)
-    out = peers.peer_dislocation(moved, pairs, "v", least_peers=3, n=30, least=12)
+    moved, pairs, bound = edges(spark, sf_dir)
+    out = peers.peer_dislocation(moved, pairs, "v", least_peers=3, n=30, least=12, **bound)
     return out.select("asset_id", "market", "date", "peer_count", (F.round("raw_dislocation", 6) + F.lit(0.0)).alias("raw_dislocation"), (F.round("factor_value", 5) + F.lit(0.0)).alias("factor_value"))
 
 

@@ -105,3 +105,17 @@ def test_dates_of_a_grid_are_counted_over_picked_rows(spark):
     found = plan(out)
     assert "Filter" in found[found.index("dense_rank") : found.index("row_number")]
     assert sorted((r.date, r.asset_id) for r in out.collect()) == [("0", 32), ("0", 36), ("2", 34), ("2", 38)]
+
+
+def test_peers_are_dealt_in_step_and_facts_read_once_for_both_ends(spark):
+    from datetime import date
+
+    from quillon.operators import peers
+
+    facts = spark.createDataFrame([(date(2020, 1, d), a, "m", float(a * d)) for d in range(1, 9) for a in range(4)], "date date, asset_id int, market string, v double")
+    edges = spark.createDataFrame([(a, b, date(2020, 1, 1), end) for a in range(4) for b in range(4) if a != b for end in (None, date(2020, 1, 5))], "asset_id int, peer_asset_id int, valid_from date, valid_to date")
+    out = peers.peer_dislocation(facts, edges, "v", 2, 4, 2, last=date(2020, 2, 1), parts=8)
+    found = plan(out)
+    # spans by edge; facts and spans by month; both ends by peer; facts with peers by asset
+    assert found.count("REPARTITION_BY_NUM") == 6 and found.count("Exchange") == 6
+    assert {r.peer_count for r in out.collect()} == {3}
