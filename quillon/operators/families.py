@@ -292,26 +292,32 @@ FORMULA_PRICE_VOLUME = Family(
 )
 
 
-def _path(prefix: str, r: str, n: int, whole: str) -> dict[str, Column]:
-    """Smoothness of a path, agreement of its signs, and the share of its largest step."""
-    least = max(5, n // 3)
-    steps, signs = F.abs(r), F.signum(r)
-    length = w.total(steps, n, least)
-    jump = F.when(length <= 1e-12, 0.0).otherwise(div(w.highest(steps, n, least), length))
+def _path(r: str, n: int) -> dict[str, Column]:
+    """Frame statistics of a path: its length, the share of its largest step, and agreement of its signs.
+
+    Steps and signs are missing where the return is, so one count serves all three.
+    """
+    over, c = w.frame(n), F.col(r)
+    count = F.count(c).over(over)
+    enough = count >= max(5, n // 3)
+    length, largest = F.sum(F.abs(c)).over(over), F.max(F.abs(c)).over(over)
     return {
-        f"{prefix}smooth_{n}": w.clip(div(F.abs(whole), length), 0.0, 1.0),
-        f"{prefix}signs_{n}": w.clip(div(F.abs(w.total(signs, n, least)), F.count(r).over(w.frame(n)).cast("double")), 0.0, 1.0),
-        f"{prefix}jump_{n}": F.when(length.isNotNull(), w.clip(jump, 0.0, 1.0)),
+        f"length_{n}": F.when(enough, length),
+        f"jump_{n}": F.when(enough, w.clip(F.when(length <= 1e-12, 0.0).otherwise(div(largest, length)), 0.0, 1.0)),
+        f"signs_{n}": F.when(enough, w.clip(div(F.abs(F.sum(F.signum(c)).over(over)), count.cast("double")), 0.0, 1.0)),
     }
 
 
 def discreteness_features(bars: DataFrame) -> DataFrame:
+    """The path of the 60 rows up to five rows ago is what stood five rows ago, so its frame is not taken again."""
     p = F.col("adj_close")
+    smooth = lambda whole, length: w.clip(div(F.abs(whole), length), 0.0, 1.0)
     df = w.steps(
         bars,
         {"return_1d": w.change(p), "return_20": w.change(p, 20), "return_60": w.change(p, 60), "skip5_return_60": div(w.lag(p, 5), w.lag(p, 65)) - 1, "adv20": w.mean("amount", 20, 5)},
-        {"late": w.lag("return_1d", 5), "amount_trend_20_60": div("adv20", w.mean("amount", 60, 20)) - 1, "realized_vol_20": w.std("return_1d", 20, 5)},
-        _path("", "return_1d", 20, "return_20") | _path("", "return_1d", 60, "return_60") | _path("late_", "late", 60, "skip5_return_60"),
+        {"amount_trend_20_60": div("adv20", w.mean("amount", 60, 20)) - 1, "realized_vol_20": w.std("return_1d", 20, 5)} | _path("return_1d", 20) | _path("return_1d", 60),
+        {f"late_{x}_60": w.lag(f"{x}_60", 5) for x in ("length", "jump", "signs")},
+        {"smooth_60": smooth("return_60", "length_60"), "late_smooth_60": smooth("skip5_return_60", "late_length_60")},
         {"continuity_60": 0.5 * F.col("smooth_60") + 0.5 * F.col("signs_60") - F.col("jump_60"), "late_continuity_60": 0.5 * F.col("late_smooth_60") + 0.5 * F.col("late_signs_60") - F.col("late_jump_60")},
     )
     return df.withColumn("adv20_rank", w.pct_rank("adv20"))
