@@ -134,8 +134,12 @@ TRADEABILITY_EVENTS = Family(
 )
 
 
-def valued_features(bars: DataFrame) -> DataFrame:
-    """Bars that carry the valuation columns: price and amount features over at least five rows, ranks, inverses."""
+def valued_features(bars: DataFrame, more: tuple[dict[str, Column], ...] = (), parts: int | None = None) -> DataFrame:
+    """Bars that carry the valuation columns: price and amount features over at least five rows, ranks, inverses.
+
+    more: further stages by asset, taken before the rows are dealt by cross-section for the ranks; after them they would
+    deal the rows back by asset. parts: partitions of the cross-sections (see windows.deal).
+    """
     p = F.col("adj_close")
     low20, high20 = w.lowest(p, 20, 5), w.highest(p, 20, 5)
     df = w.steps(
@@ -143,6 +147,10 @@ def valued_features(bars: DataFrame) -> DataFrame:
         {"return_1d": w.change(p), "momentum_20": w.change(p, 20), "skip5_momentum_20": div(w.lag(p, 5), w.lag(p, 25)) - 1, "reversal_5": -w.change(p, 5), "adv20": w.mean("amount", 20, 5), "adv5": w.mean("amount", 5, 3), "range_position_20": div(p - low20, high20 - low20), "hl": div("high", "low") - 1},
         {"down": F.when(F.col("return_1d").isNotNull(), F.least("return_1d", F.lit(0.0))), "realized_vol_20": w.std("return_1d", 20, 5), "path_20": w.total(F.abs("return_1d"), 20, 5), "hl_range_20": w.mean("hl", 20, 5), "stable_amount": -F.abs(div("adv5", "adv20") - 1)},
         {"downside_vol_20": w.std("down", 20, 5), "return_efficiency_20": div("momentum_20", "path_20"), "pb_inv": inverse("pb"), "pe_inv": inverse("pe_ttm"), "ps_inv": inverse("ps_ttm"), "log_size": log("circ_mv")},
+        *more,
+    )
+    df = w.steps(
+        w.deal(df, parts),
         {"amount_rank": w.pct_rank("amount"), "adv20_rank": w.pct_rank("adv20"), "downside_rank": w.pct_rank("downside_vol_20"), "turnover_rank": w.pct_rank("turnover_rate")},
     )
     return df.withColumns({"mid_liquidity": -F.abs(F.col("adv20_rank") - 0.65), "turnover_band": -F.abs(F.col("turnover_rank") - 0.30)})

@@ -2,52 +2,79 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import windows as w
 
 
-def _solver(k: int, on_singular: str):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(xx, xy):
-            a, b = np.asarray(a, dtype=float).reshape(k, k), np.asarray(b, dtype=float)
-            if np.isnan(a).any() or np.isnan(b).any():
-                out.append(None)
-            elif np.linalg.matrix_rank(a) < k:
-                out.append(None if on_singular == "null" else np.linalg.pinv(a) @ b)
-            else:
-                out.append(np.linalg.solve(a, b))
-        return pd.Series(out, dtype=object)
+#: A column of which less than this share (of its sum of squares) is left depends on the columns before it.
+DEPENDENT = 1e-13
 
-    return solve
+
+def partial_out(df: DataFrame, cases: dict[str, tuple[str, list[str]]], keys: tuple[str, ...], on_singular: str = "min_norm", against: dict[str, str] | None = None) -> DataFrame:
+    """What centred columns leave of another centred one per key: ``cases`` is out -> (column, columns to take off).
+
+    Columns are taken off one after the other, each from the column and from those still to come (modified Gram-Schmidt).
+    What is left does not depend on how a rank-deficient system is solved: a column that depends on earlier ones is passed
+    over, or with on_singular="null" nothing is left. Every step is one window by key for all cases, on rows that are dealt
+    and sorted once: nothing is aggregated apart and joined back, so the rows are not computed twice. Nothing is left where a
+    sum is not a number.
+
+    against: columns by whose sum of squares others are found dependent, instead of by their own.
+    """
+    over = w.cross(keys)
+    now = {o: [F.col(y), *map(F.col, xs)] for o, (y, xs) in cases.items()}
+    sized = lambda x: F.col((against or {}).get(x, x))
+    name = lambda o, i: f"__{o}_{i}"
+    whole = {f"__{o}_all{i}": F.sum(sized(x) * sized(x)).over(over) for o, (_, xs) in cases.items() for i, x in enumerate(xs, 1)}
+    df = df.withColumns({name(o, i): x for o, cols in now.items() for i, x in enumerate(cols)}).withColumns(whole)
+    made = [*whole, *[name(o, i) for o, cols in now.items() for i in range(len(cols))]]
+    for step in range(1, 1 + max(len(xs) for _, xs in cases.values())):
+        sums, less = {}, {}
+        for o, (_, xs) in cases.items():
+            if step > len(xs):
+                continue
+            e, size = F.col(name(o, step)), F.col(f"__{o}_size{step}")
+            sums[f"__{o}_size{step}"] = F.sum(e * e).over(over)
+            alone = size > DEPENDENT * F.col(f"__{o}_all{step}")
+            for i in [0, *range(step + 1, len(xs) + 1)]:
+                dot = f"__{o}_dot{step}_{i}"
+                sums[dot] = F.sum(e * F.col(name(o, i))).over(over)
+                otherwise = F.lit(None) if on_singular == "null" else F.col(name(o, i))
+                less[name(o, i)] = F.when(F.isnan(size), F.lit(None)).when(alone, F.col(name(o, i)) - F.col(dot) / size * e).otherwise(otherwise)
+        df = w.steps(df, sums, less).drop(*sums)
+    left = {o: F.when(~F.isnan(name(o, 0)), F.col(name(o, 0))) for o in cases}
+    return df.withColumns(left).drop(*made)
 
 
 def ols_residual(df: DataFrame, y: str, xs: list[str], keys: tuple[str, ...] = w.CROSS, least: int = 5, on_singular: str = "null", out: str = "residual") -> DataFrame:
     """What a regression of y on xs (with a constant) per cross-section leaves, NULL where it cannot be fitted.
 
-    Two passes: sums of products per key are aggregated map-side, one row per key is solved, and the coefficients are
-    joined back. No cross-section is gathered. Columns are centred first, which keeps the system well conditioned.
     on_singular: "null" skips a rank-deficient cross-section, "min_norm" takes the smallest solution.
     """
-    whole = F.col(y).isNotNull()
-    for x in xs:
-        whole = whole & F.col(x).isNotNull()
-    cols = [y, *xs]
+    return ols_residuals(df, {out: (y, xs)}, keys, {out: least}, on_singular)
+
+
+def ols_residuals(df: DataFrame, cases: dict[str, tuple[str, list[str]]], keys: tuple[str, ...], least: dict[str, int], on_singular: str = "null") -> DataFrame:
+    """ols_residual() of several regressions, out -> (y, xs), in the same windows; see partial_out().
+
+    Columns are centred first over the rows that have all of them, which keeps the system well conditioned.
+    """
     over = w.cross(keys)
-    centred = df.withColumns({f"c_{c}": F.when(whole, F.col(c)) for c in cols})
-    centred = centred.withColumns({f"c_{c}": F.col(f"c_{c}") - F.avg(f"c_{c}").over(over) for c in cols} | {"n_rows": F.count(f"c_{y}").over(over)})
-    dot = lambda a, b: F.sum(F.col(f"c_{a}") * F.col(f"c_{b}"))
-    sums = centred.groupBy(*keys).agg(F.array(*[dot(a, b) for a in xs for b in xs]).alias("xx"), F.array(*[dot(a, y) for a in xs]).alias("xy"))
-    beta = sums.select(*keys, _solver(len(xs), on_singular)("xx", "xy").alias("beta"))
-    fitted = centred.join(beta, list(keys), "left")
-    value = F.col(f"c_{y}") - sum(F.col("beta")[i] * F.col(f"c_{x}") for i, x in enumerate(xs))
-    return fitted.withColumn(out, F.when(F.col("n_rows") >= least, value)).drop("beta", "n_rows", *[f"c_{c}" for c in cols])
+    c = lambda o, i: f"__c_{o}_{i}"
+    present, centred, at = {}, {}, {}
+    for o, (y, xs) in cases.items():
+        whole = F.lit(True)
+        for x in (y, *xs):
+            whole = whole & F.col(x).isNotNull()
+        present |= {c(o, i): F.when(whole, F.col(x).cast("double")) for i, x in enumerate((y, *xs))}
+        # of equal values exactly nothing is left
+        moves = lambda x: F.min(x).over(over) < F.max(x).over(over)
+        centred |= {c(o, i): F.when(moves(c(o, i)), F.col(c(o, i)) - F.avg(c(o, i)).over(over)).otherwise(F.col(c(o, i)) * 0.0) for i in range(1 + len(xs))} | {f"__n_{o}": F.count(c(o, 0)).over(over)}
+        at[o] = (c(o, 0), [c(o, i) for i in range(1, 1 + len(xs))])
+    df = partial_out(w.steps(df, present, centred), at, keys, on_singular)
+    return df.withColumns({o: F.when(F.col(f"__n_{o}") >= least[o], F.col(o)) for o in cases}).drop(*present, *[f"__n_{o}" for o in cases])
 
 
 def industry_style_residual(df: DataFrame, y: str, styles: list[str], keys: tuple[str, ...] = w.CROSS, industry: str = "industry", least: int = 30, least_industries: int = 3, out: str = "residual") -> DataFrame:
@@ -55,8 +82,8 @@ def industry_style_residual(df: DataFrame, y: str, styles: list[str], keys: tupl
 
     Factor and styles are z-scores over the rows that have all of them and an industry (0 where nothing varies). Industries
     may be many: taking the industry's mean off both sides leaves the same residual as a dummy each (partialling out), so
-    only the styles are solved for. Windows by industry lie within those by cross-section, so the rows are shuffled once;
-    the sums of products are aggregated map-side, as in ols_residual(). Collinear styles take the smallest solution.
+    only the styles are taken off. Windows by industry lie within those by cross-section, so the rows are shuffled once.
+    Collinear styles leave what the smallest solution does.
     """
     cols = [y, *styles]
     whole = F.col(industry).isNotNull()
@@ -70,15 +97,11 @@ def industry_style_residual(df: DataFrame, y: str, styles: list[str], keys: tupl
         {"n_rows": F.count(v(y)).over(over), "n_inner": F.count(v(y)).over(inner)} | {z(c): F.when(whole, F.coalesce(w.zscore(v(c), keys), F.lit(0.0))) for c in cols},
         {d(c): F.col(z(c)) - F.avg(z(c)).over(inner) for c in cols} | {"n_industries": F.round(F.sum(F.when(whole, 1 / F.col("n_inner"))).over(over))},
     )
-    dot = lambda a, b: F.sum(F.col(d(a)) * F.col(d(b)))
-    sums = scaled.groupBy(*keys).agg(F.array(*[dot(a, b) for a in styles for b in styles]).alias("xx"), F.array(*[dot(a, y) for a in styles]).alias("xy"))
-    beta = sums.select(*keys, _solver(len(styles), "min_norm")("xx", "xy").alias("beta"))
-    fitted = scaled.join(beta, list(keys), "left")
-    value = F.col(d(y)) - sum(F.col("beta")[i] * F.col(d(x)) for i, x in enumerate(styles))
+    fitted = partial_out(scaled, {"__left": (d(y), [d(x) for x in styles])}, keys, against={d(x): z(x) for x in styles})
     enough = (F.col("n_rows") >= least) & (F.col("n_industries") >= least_industries)
-    left = fitted.withColumn(out, F.when(enough, value))
+    left = fitted.withColumn(out, F.when(enough, F.col("__left")))
     varies = F.stddev_pop(out).over(over) > 1e-12
-    return left.withColumn(out, F.when(varies, F.col(out))).drop("beta", "n_rows", "n_inner", "n_industries", *[n(c) for n in (v, z, d) for c in cols])
+    return left.withColumn(out, F.when(varies, F.col(out))).drop("__left", "n_rows", "n_inner", "n_industries", *[n(c) for n in (v, z, d) for c in cols])
 
 
 def rank_residual(df: DataFrame, y: str, x: str, keys: tuple[str, ...] = w.CROSS) -> Column:

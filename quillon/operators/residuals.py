@@ -9,7 +9,7 @@ from ..functions import windows as w
 from ..functions.windows import div
 from . import inputs
 from .families import KEYS, Family, _plus
-from .neutralize import ols_residual
+from .neutralize import ols_residuals
 
 _LOW_TAIL = {"downside_vol_20": -1.0, "hl_range_20": -0.50, "range_position_20": 0.25}
 _CALM_CROWD = {"turnover_rank": -1.0, "volume_ratio": -0.50, "amount_trend_20": -0.30}
@@ -23,23 +23,28 @@ RESIDUAL_COMPOSITES = {
 }
 
 
-def residual_composites(valued_bars: DataFrame) -> DataFrame:
-    """Composite scores of tradeable rows, standardised, less what standardised exposures explain of them."""
-    features = lambda b: inputs.valued_features(b).withColumns({"log_adv20": inputs.log("adv20"), "amount_trend_20": div("adv5", "adv20") - 1})
+def residual_composites(valued_bars: DataFrame, parts: int | None = None) -> DataFrame:
+    """Composite scores of tradeable rows, standardised, less what standardised exposures explain of them.
+
+    All composites are columns of one row and share the windows by cross-section. parts: partitions of the cross-sections
+    (see windows.deal).
+    """
+    features = lambda b: inputs.valued_features(b, parts=parts).withColumns({"log_adv20": inputs.log("adv20"), "amount_trend_20": div("adv5", "adv20") - 1})
     gate = "adv20_rank > 0.20 and amount_rank > 0.20 and downside_rank <= 0.85 and range_position_20 >= 0.10 and abs(return_1d) <= 0.35"
     fill = frozenset({f for t, _ in RESIDUAL_COMPOSITES.values() for f in t} - {"dv_ttm"})
-    df = features(valued_bars)
     carry = tuple(sorted({x for _, exposures in RESIDUAL_COMPOSITES.values() for x in exposures}))
-    scores = Family(lambda b: b, gate, {n: t for n, (t, _) in RESIDUAL_COMPOSITES.items()}, fill=fill, carry=carry).compute(df)
-    # all composites are fitted in one pass: a row per asset, date and composite
-    cases = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("score"), *[F.col(x).alias(f"x{i}") for i, x in enumerate(xs)]) for n, (_, xs) in RESIDUAL_COMPOSITES.items()])
-    xs, keys = ["x0", "x1", "x2"], ("date", "market", "name")
-    long = scores.select(*KEYS, F.inline(cases)).where(" and ".join(f"{c} is not null" for c in ["score", *xs]))
-    long = long.withColumns({"y": w.zscore("score", keys)} | {x: F.coalesce(w.zscore(x, keys), F.lit(0.0)) for x in xs})
-    long = ols_residual(long, "y", xs, keys=keys, least=len(xs) + 3, on_singular="min_norm", out="left")
-    long = long.withColumn("left", F.when(F.stddev_pop("left").over(w.cross(keys)) > 1e-12, F.col("left")))
-    wide = long.groupBy(*KEYS).agg(*[F.max(F.when(F.col("name") == n, F.col("left"))).alias(n) for n in RESIDUAL_COMPOSITES])
-    return valued_bars.select(*KEYS).join(wide, KEYS, "left")
+    df = Family(features, gate, {n: t for n, (t, _) in RESIDUAL_COMPOSITES.items()}, fill=fill, carry=carry).compute(valued_bars)
+    held, scaled, cases = {}, {}, {}
+    for i, (n, (_, xs)) in enumerate(RESIDUAL_COMPOSITES.items()):
+        whole = F.col(n).isNotNull()
+        for x in xs:
+            whole = whole & F.col(x).isNotNull()
+        held |= {f"s{i}": F.when(whole, F.col(n))} | {f"x{i}_{j}": F.when(whole, F.col(x)) for j, x in enumerate(xs)}
+        scaled |= {f"y{i}": w.zscore(f"s{i}")} | {f"e{i}_{j}": F.when(F.col(f"s{i}").isNotNull(), F.coalesce(w.zscore(f"x{i}_{j}"), F.lit(0.0))) for j in range(len(xs))}
+        cases[f"left{i}"] = (f"y{i}", [f"e{i}_{j}" for j in range(len(xs))])
+    df = w.steps(df.select(*KEYS, *carry, *RESIDUAL_COMPOSITES), held, scaled)
+    df = ols_residuals(df, cases, w.CROSS, {o: len(xs) + 3 for o, (_, xs) in cases.items()}, on_singular="min_norm")
+    return df.select(*KEYS, *[F.when(F.stddev_pop(f"left{i}").over(w.cross()) > 1e-12, F.col(f"left{i}")).alias(n) for i, n in enumerate(RESIDUAL_COMPOSITES)])
 
 
 def board(symbol: Column, segment: Column, exchange: Column) -> Column:

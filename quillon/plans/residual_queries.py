@@ -40,7 +40,7 @@ for _i, (_t, _e) in enumerate(residuals.RESIDUAL_COMPOSITES.values()):
 
 @register("factors_residual_composite", s.chain(_RC, start="valued", head=_VALUED) + f"\nSELECT asset_id, market, date, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in residuals.RESIDUAL_COMPOSITES)} FROM last")
 def factors_residual_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(residuals.residual_composites(valued(spark, sf_dir)), KEYS, list(residuals.RESIDUAL_COMPOSITES))
+    return rounded(residuals.residual_composites(valued(spark, sf_dir), panel.parts(spark, sf_dir)), KEYS, list(residuals.RESIDUAL_COMPOSITES))
 
 
 _PREFIX = {0: "688", 1: "300", 2: "830", 3: "600"}

@@ -246,3 +246,17 @@ def test_stream_of_bars_is_landed_and_replayed_without_change(spark, tmp_path):
     first.withColumn("adj_close", F.lit(9.0)).limit(1).coalesce(1).write.mode("append").parquet(source)
     run("a")
     assert sorted(r.adj_close for r in spark.read.parquet(path).collect()) == [2.0, 3.0, 9.0]
+
+
+def test_residuals_of_equal_and_dependent_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(a, "M", day(d), y := float(rng.normal()), x := float(rng.normal()), 0.1, 3 * x + 1, float("nan") if (a, d) == (3, 1) else y) for d in range(2) for a in range(31)]
+    df = spark.createDataFrame(rows, "asset_id long, market string, date date, y double, x double, c double, z double, n double")
+    alone = {(r.date, r.asset_id): r.residual for r in neutralize.ols_residual(df, "y", ["x"]).collect()}
+    for xs in (["c", "x"], ["x", "z"], ["z", "c", "x"]):
+        least = {(r.date, r.asset_id): r.residual for r in neutralize.ols_residual(df, "y", xs, on_singular="min_norm").collect()}
+        assert all(least[k] == pytest.approx(v) for k, v in alone.items())
+        assert all(r.residual is None for r in neutralize.ols_residual(df, "y", xs).collect())
+    for y, xs in (("n", ["x"]), ("y", ["n", "x"])):
+        got = neutralize.ols_residual(df, y, xs, on_singular="min_norm").collect()
+        assert all((r.residual is None) == (r.date == day(1)) for r in got)

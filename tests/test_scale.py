@@ -119,3 +119,11 @@ def test_peers_are_dealt_in_step_and_facts_read_once_for_both_ends(spark):
     # spans by edge; facts and spans by month; both ends by peer; facts with peers by asset
     assert found.count("REPARTITION_BY_NUM") == 6 and found.count("Exchange") == 6
     assert {r.peer_count for r in out.collect()} == {3}
+
+
+def test_residual_composites_are_computed_once(spark, sf_dir):
+    from quillon.operators import residuals
+    from quillon.plans import input_queries
+
+    found = plan(residuals.residual_composites(input_queries.valued(spark, sf_dir), 8))
+    assert found.count("l_extendedprice:double") == 1 and found.count("Exchange hashpartitioning(date") == 1
