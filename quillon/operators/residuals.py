@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import windows as w
 from ..functions.windows import div
@@ -78,22 +81,60 @@ def listing_age(bars: DataFrame, basic: DataFrame) -> DataFrame:
 RESIDUAL_RISK = ("etf_idio_vol_low_60", "etf_downside_beta_low_120", "etf_positive_residual_skew_60")
 
 
-def residual_risk(bars: DataFrame, least_assets: int = 30, n: int = 120, least: int = 80, down_least: int = 24, m: int = 60, m_least: int = 40) -> DataFrame:
-    """Volatility and skew of residuals from the beta known one bar before, and beta on falling markets."""
-    r, k = F.col("r"), F.col("k")
-    both = r.isNotNull() & k.isNotNull()
-
-    def beta(a: str, b: str, size: int, low: int) -> Column:
-        var = w.roll(F.var_samp, b, size, low)
-        return w.pair_roll(F.covar_samp, a, b, size, low) / F.when(F.abs(var) > 1e-12, var)
-
-    df = w.steps(
-        bars,
-        {"r": w.change("adj_close")},
-        {"k": F.when(F.count("r").over(w.cross()) >= least_assets, F.median("r").over(w.cross()))},
-        {"pr": F.when(both, r), "pk": F.when(both, k), "dr": F.when(both & (k < 0), r), "dk": F.when(both & (k < 0), k)},
-        {"beta": beta("pr", "pk", n, least), "mr": w.mean("r", n, least), "mk": w.mean("k", n, least), "etf_downside_beta_low_120": -beta("dr", "dk", n, down_least)},
-        {"residual": r - w.lag(F.col("mr") - F.col("beta") * F.col("mk")) - w.lag("beta") * k},
-        {"etf_idio_vol_low_60": -w.std("residual", m, m_least), "etf_positive_residual_skew_60": w.skew("residual", m, m_least)},
-    )
-    return df.select(*KEYS, *RESIDUAL_RISK)
+def residual_risk(bars: DataFrame, least_assets: int = 30, n: int = 120, least: int = 80, down_least: int = 24, m: int = 60, m_least: int = 40, parts: int | None = None) -> DataFrame:
+    """Volatility and skew of residuals from the beta known one bar before, and beta on falling markets.
+
+    The market's return goes through the cross-sections and back to the assets; the long frames of an asset's returns are
+    then taken with numpy, an asset at a time, as a window would visit every frame row by row for every statistic.
+    parts: partitions of the cross-sections and of the assets (see windows.deal).
+    """
+    r = bars.select(*KEYS, w.change("adj_close").alias("r"))
+    k = w.deal(r, parts).withColumn("k", F.when(F.count("r").over(w.cross()) >= least_assets, F.median("r").over(w.cross())))
+    schema = T.StructType([*r.select(*KEYS).schema.fields, *[T.StructField(c, T.DoubleType()) for c in RESIDUAL_RISK]])
+    return w.deal(k, parts, ("asset_id",)).groupBy("asset_id").applyInPandas(_asset_risk(n, least, down_least, m, m_least), schema)
+
+
+def _asset_risk(n: int, least: int, down_least: int, m: int, m_least: int):
+    def frames(x: np.ndarray, size: int) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, np.nan), x]), size)
+
+    def centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Present values, their mean, and distances from it (0 where missing) of every frame."""
+        count = (~np.isnan(x)).sum(1)
+        mean = np.where(np.isnan(x), 0.0, x).sum(1) / np.maximum(count, 1)
+        return count, mean, np.where(np.isnan(x), 0.0, x - mean[:, None])
+
+    def beta(a: np.ndarray, b: np.ndarray, low: int) -> np.ndarray:
+        """Slope of a on b, which are missing together, in frames where both vary."""
+        a = frames(a, n)
+        count, _, x = centred(frames(b, n))
+        some = ~np.isnan(a)
+        moves = np.where(some, a, np.inf).min(1) < np.where(some, a, -np.inf).max(1)
+        var, cov = (x * x).sum(1) / np.maximum(count - 1, 1), (x * centred(a)[2]).sum(1) / np.maximum(count - 1, 1)
+        good = (count >= max(low, 2)) & moves & (var > 1e-12)
+        return np.where(good, cov / np.where(good, var, 1.0), np.nan)
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        count, mid, _ = centred(frames(x, n))
+        return np.where(count >= max(least, 1), mid, np.nan)
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", ignore_index=True, na_position="first")
+        r, k = pdf["r"].to_numpy(float), pdf["k"].to_numpy(float)
+        both = ~np.isnan(r) & ~np.isnan(k)
+        down = both & (k < 0)
+        pair = lambda where: (np.where(where, r, np.nan), np.where(where, k, np.nan))
+        slope = beta(*pair(both), least)
+        before = lambda x: np.concatenate([[np.nan], x[:-1]])
+        residual = r - before(mean(r) - slope * mean(k)) - before(slope) * k
+        count, _, x = centred(frames(residual, m))
+        size = np.maximum(count, 1)
+        second, third = (x**2).sum(1) / size, (x**3).sum(1) / size
+        enough = count >= max(m_least, 1)
+        vary = enough & (count > 2) & (second > 0)
+        skew = third / np.where(vary, second, 1.0) ** 1.5 * np.sqrt(size * np.maximum(count - 1, 0)) / np.maximum(count - 2, 1)
+        made = (np.where(enough, -np.sqrt(second), np.nan), -beta(*pair(down), down_least), np.where(vary, skew, np.nan))
+        # pandas has no NULL of its own among doubles
+        return pdf[KEYS].assign(**{c: pd.Series(v).astype("Float64") for c, v in zip(RESIDUAL_RISK, made)})
+
+    return of

@@ -80,4 +80,4 @@ def _beta(a: str, b: str, n: int, least: int) -> str:
     {"etf_idio_vol_low_60": "-" + s.roll("stddev_pop", "residual", 60, 40), "etf_positive_residual_skew_60": s.roll("skewness", "residual", 60, 40)},
 ], list(residuals.RESIDUAL_RISK), digits=5))
 def factors_residual_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(residuals.residual_risk(panel.bars(spark, sf_dir), least_assets=8), KEYS, list(residuals.RESIDUAL_RISK), 5)
+    return rounded(residuals.residual_risk(panel.bars(spark, sf_dir), least_assets=8, parts=panel.parts(spark, sf_dir)), KEYS, list(residuals.RESIDUAL_RISK), 5)
