@@ -35,12 +35,15 @@ CHAMPION = Family(
 )
 
 
-def pressure_features(bars: DataFrame) -> DataFrame:
+def pressure_features(bars: DataFrame, parts: int | None = None) -> DataFrame:
     """Valued features, and where closes lie within their bars, plain and weighted by the amount."""
     where = w.clip(div(F.col("adj_close") - F.col("low"), F.col("high") - F.col("low")), 0.0, 1.0) - 0.50
-    df = valued_features(bars).withColumns({"close_location": where, "amount_trend_20": div("adv5", "adv20") - 1})
     paid = F.log1p(F.when(F.col("amount") > 0, F.col("amount")))
-    return df.withColumns({"close_location_20": w.mean("close_location", 20, 5), "pressure_20": w.mean(F.col("close_location") * paid, 20, 5)})
+    pressure = (
+        {"close_location": where, "amount_trend_20": div("adv5", "adv20") - 1},
+        {"close_location_20": w.mean("close_location", 20, 5), "pressure_20": w.mean(F.col("close_location") * paid, 20, 5)},
+    )
+    return valued_features(bars, pressure, parts)
 
 
 # fixed values
@@ -59,6 +62,7 @@ SMART_MONEY = Family(
     fill=True,
     bucket_size="log_size",
     buckets=6,
+    dealt=True,
 )
 
 BRIDGE = ("risk_filter_bridge_equal_20", "risk_filter_bridge_agreement_20", "risk_filter_bridge_anti_obv_weighted_20")

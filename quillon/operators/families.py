@@ -26,6 +26,7 @@ class Family:
     ``fill``: whether a missing z-score counts as 0, for all features or for some. ``bucket_size``: scores become fractional
     ranks within at most ``buckets`` buckets of that column. ``extra``: further conditions of single scores.
     ``carry``: features to give out as well. ``averages``: names that are the mean of the present ones among others.
+    ``dealt``: whether features() takes the number of partitions of the cross-sections (see windows.deal) and deals them.
     """
 
     features: Callable[[DataFrame], DataFrame]
@@ -38,19 +39,20 @@ class Family:
     averages: dict[str, tuple[str, ...]] | None = None
     cross: tuple[str, ...] = w.CROSS
     carry: tuple[str, ...] = ()
+    dealt: bool = False
 
     @property
     def names(self) -> tuple[str, ...]:
         return (*self.scores, *(self.averages or {}))
 
-    def compute(self, bars: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    def compute(self, bars: DataFrame, names: tuple[str, ...] | None = None, parts: int | None = None) -> DataFrame:
         unknown = sorted(set(names or ()) - set(self.names))
         if unknown:
             raise ValueError(f"unknown factors: {', '.join(unknown)}")
         wanted = list(names or self.names)
         base = [n for n in self.scores if n in wanted or any(n in parts for a, parts in (self.averages or {}).items() if a in wanted)]
         used = sorted({f for n in base for f in self.scores[n]})
-        df = self.features(bars)
+        df = self.features(bars, parts=parts) if self.dealt else self.features(bars)
         df = df.withColumns({f"z_{f}": w.zscore(f, self.cross) for f in used})
         filled = lambda f: f in self.fill if isinstance(self.fill, frozenset) else self.fill
         z = lambda f: F.coalesce(f"z_{f}", F.lit(0.0)) if filled(f) else F.col(f"z_{f}")
@@ -61,12 +63,22 @@ class Family:
             score[n] = F.when(F.expr(allowed), sum(terms[1:], terms[0]))
         df = df.withColumns(score)
         if self.bucket_size:
-            whole = {n: F.col(n).isNotNull() & F.col(self.bucket_size).isNotNull() for n in base}
-            df = df.withColumns({f"b_{n}": w.edge_bucket(F.when(whole[n], F.col(self.bucket_size)), self.buckets, self.cross, at_most=True) for n in base})
-            df = df.withColumns({n: w.pct_rank(F.when(F.col(f"b_{n}").isNotNull(), F.col(n)), (*self.cross, f"b_{n}")) for n in base})
+            df = self._in_buckets(df.select(*KEYS, *self.carry, self.bucket_size, *base), base)
         means = {a: w.row_mean_present(*parts) for a, parts in (self.averages or {}).items() if a in wanted}
         return (df.withColumns(means) if means else df).select(*KEYS, *self.carry, *wanted)
 
+    def _in_buckets(self, df: DataFrame, base: list[str]) -> DataFrame:
+        """Scores as fractional ranks within buckets; those present on the same rows share their buckets."""
+        whole = {n: F.col(n).isNotNull() & F.col(self.bucket_size).isNotNull() for n in base}
+        # with the gate alone, and no missing z-scores, all scores are missing together
+        together = self.fill is True and not self.extra
+        bucket = {n: f"b_{base[0] if together else n}" for n in base}
+        df = df.withColumns({b: w.edge_bucket(F.when(whole[n], F.col(self.bucket_size)), self.buckets, self.cross, at_most=True) for n, b in reversed(bucket.items())})
+        if not self.dealt:
+            return df.withColumns({n: w.pct_rank(F.when(F.col(b).isNotNull(), F.col(n)), (*self.cross, b)) for n, b in bucket.items()})
+        rows = df.select(*KEYS, *self.carry, *[F.col(n).alias(f"v_{n}") for n in base], *dict.fromkeys(bucket.values()))
+        return w.pct_ranks(rows, {n: (F.when(F.col(b).isNotNull(), F.col(f"v_{n}")), F.col(b)) for n, b in bucket.items()}, self.cross)
+
 
 def rsi(n: int = 14) -> dict[str, Column]:
     """Stages of the relative strength over simple means; 100, 0 and 50 where only gains, losses or neither occur."""

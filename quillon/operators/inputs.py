@@ -169,6 +169,7 @@ VALUE_TAIL = Family(
     },
     fill=frozenset(_TAILS),
     bucket_size="log_size",
+    dealt=True,
 )
 
 _MOM = {"skip5_momentum_20": 0.70, "momentum_20": 0.30}
@@ -186,6 +187,7 @@ QUALITY_VALUE_MOMENTUM = Family(
     },
     fill=True,
     bucket_size="log_size",
+    dealt=True,
 )
 
 TURNOVER_COMBO = tuple(f"{c}_low_{kind}_mv_bucket_rank" for c in ("turnover_rate", "turnover_rate_f") for kind in ("liquid", "adv_blend"))

@@ -48,7 +48,7 @@ SELECT asset_id, market, date, round((ra + rb) / 2, 6) AS risk_filter_bridge_equ
 @register("factors_risk_filter_bridge", _BRIDGE)
 def factors_risk_filter_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     anti = rounded(c.CHAMPION.compute(valued(spark, sf_dir)), KEYS, [_A])
-    smart = rounded(c.SMART_MONEY.compute(valued(spark, sf_dir), (_B,)), KEYS, [_B])
+    smart = rounded(c.SMART_MONEY.compute(valued(spark, sf_dir), (_B,), panel.parts(spark, sf_dir)), KEYS, [_B])
     return rounded(c.risk_filter_bridge(anti, smart, _A, _B, panel.parts(spark, sf_dir)), KEYS, list(c.BRIDGE))
 
 

@@ -127,3 +127,20 @@ def test_residual_composites_are_computed_once(spark, sf_dir):
 
     found = plan(residuals.residual_composites(input_queries.valued(spark, sf_dir), 8))
     assert found.count("l_extendedprice:double") == 1 and found.count("Exchange hashpartitioning(date") == 1
+
+
+def test_smart_money_is_dealt_by_asset_and_by_date_once(spark, sf_dir):
+    from quillon.operators import composites
+    from quillon.plans import input_queries
+
+    found = plan(composites.SMART_MONEY.compute(input_queries.valued(spark, sf_dir), parts=8))
+    assert found.count("Exchange hashpartitioning(date") == 1 and found.count("Exchange hashpartitioning(asset_id") <= 1
+    # four ranks of the gates, one sort for the buckets of all scores, one for the ranks within them, those of the joins
+    assert found.count(" Sort [date") <= 9
+
+
+def test_residual_risk_takes_no_frames_row_by_row(spark, sf_dir):
+    from quillon.operators import residuals
+
+    found = plan(residuals.residual_risk(panel.bars(spark, sf_dir), parts=8))
+    assert "specifiedwindowframe(RowFrame, -119" not in found and found.count("REPARTITION_BY_NUM") == 2
