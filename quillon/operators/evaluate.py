@@ -40,7 +40,11 @@ def _corr(a: str, b: str) -> Column:
 
 def information_coefficient(factors: DataFrame, labels: DataFrame, p_values: bool = True) -> DataFrame:
     """Pearson and Spearman correlation of factor and return per group, with t statistics and p-values."""
-    rows, keys = merged(factors, labels)
+    return correlations(*merged(factors, labels), p_values)
+
+
+def correlations(rows: DataFrame, keys: list[str], p_values: bool = True) -> DataFrame:
+    """information_coefficient() of rows that have both."""
     ranked = rows.withColumns({"fr": w.avg_rank("factor_value", tuple(keys)), "rr": w.avg_rank("forward_return", tuple(keys))})
     out = ranked.groupBy(*keys).agg(_corr("factor_value", "forward_return").alias("ic"), _corr("fr", "rr").alias("rank_ic"), F.count(F.lit(1)).alias("count"))
     for name in ("ic", "rank_ic"):
@@ -54,7 +58,11 @@ def information_coefficient(factors: DataFrame, labels: DataFrame, p_values: boo
 
 
 def quantile_returns(factors: DataFrame, labels: DataFrame, quantiles: int = 5) -> DataFrame:
-    rows, keys = merged(factors, labels)
+    return bucket_returns(*merged(factors, labels), quantiles)
+
+
+def bucket_returns(rows: DataFrame, keys: list[str], quantiles: int = 5) -> DataFrame:
+    """quantile_returns() of rows that have both."""
     placed = rows.withColumn("quantile", w.ceil_bucket("factor_value", quantiles, tuple(keys)))
     return placed.groupBy(*keys, "quantile").agg(F.avg("forward_return").alias("mean_forward_return"), F.count(F.lit(1)).alias("count"))
 

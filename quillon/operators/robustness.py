@@ -44,17 +44,14 @@ def purged_combinations(dates: DataFrame, keys: list[str], groups: int, chosen:
     """
     if not 1 <= chosen < groups:
         raise ValueError("the number of test groups must be between 1 and groups - 1")
-    days = date_groups(dates, keys, groups)
-    spark = dates.sparkSession
     table = [(i, list(c)) for i, c in enumerate(itertools.combinations(range(groups), chosen), start=1)]
-    splits = spark.createDataFrame(table, "split int, tested array<int>")
-    runs = days.groupBy(*keys, "group").agg(F.min("position").alias("a"), F.max("position").alias("z"))
-    chosen_runs = runs.join(F.broadcast(splits.select("split", F.explode("tested").alias("group"))), "group")
-    of_split = chosen_runs.groupBy(*keys, "split").agg(F.collect_list(F.struct("group", "a", "z")).alias("runs"))
-    met = days.join(of_split, keys)
-    tested = F.exists("runs", lambda r: r["group"] == F.col("group"))
-    near = F.exists("runs", lambda r: F.col("position").between(r["a"] - purge, r["z"] + embargo))
-    return met.select(*keys, "split", "date", "group", F.when(tested, "test").when(near, "purged").otherwise("train").alias("role"))
+    splits = dates.sparkSession.createDataFrame(table, "split int, tested array<int>")
+    # a key's runs are at most ``groups``, gathered beside its dates: the dates are not computed again for them
+    of_run = Window.partitionBy(*keys, "group")
+    days = date_groups(dates, keys, groups).withColumn("run", F.struct("group", F.min("position").over(of_run).alias("a"), F.max("position").over(of_run).alias("z")))
+    met = days.withColumn("runs", F.collect_set("run").over(Window.partitionBy(*keys))).crossJoin(F.broadcast(splits))
+    near = F.exists("runs", lambda r: F.array_contains("tested", r["group"]) & F.col("position").between(r["a"] - purge, r["z"] + embargo))
+    return met.select(*keys, "split", "date", "group", F.when(F.array_contains("tested", F.col("group")), "test").when(near, "purged").otherwise("train").alias("role"))
 
 
 def evaluate_combinations(curves: DataFrame, combinations: DataFrame, keys: list[str], case: str, per_year: float = 252.0) -> DataFrame:
@@ -91,13 +88,15 @@ def combination_paths(curves: DataFrame, combinations: DataFrame, keys: list[str
     is tested. A group is tested in several splits; its p-th one gives its dates to path p, so every path has all dates.
     """
     r = F.col("period_return")
-    met = curves.join(combinations, [*keys, "date"])
-    train = met.where("role = 'train'").groupBy(*keys, "split", case).agg(F.round(div(F.avg(r), F.stddev_pop(r)), 10).alias("score"))
-    best = Window.partitionBy(*keys, "split").orderBy(F.desc("score"), case)
-    picked = train.where("score is not null").withColumn("place", F.row_number().over(best)).where("place = 1").select(*keys, "split", case)
-    tested = combinations.where("role = 'test'").select(*keys, "split", "group").distinct()
-    numbered = tested.withColumn("path", F.row_number().over(Window.partitionBy(*keys, "group").orderBy("split")))
-    chosen = met.where("role = 'test'").join(picked, [*keys, "split", case]).join(numbered, [*keys, "split", "group"])
+    # scores, choices and places are windows over one join: curves and combinations are not computed again for each
+    place = F.dense_rank().over(Window.partitionBy(*keys, "group", "role").orderBy("split"))
+    met = curves.join(combinations.withColumn("path", F.when(F.col("role") == "test", place)), [*keys, "date"])
+    trained, split = F.when(F.col("role") == "train", r), Window.partitionBy(*keys, "split")
+    of_case = Window.partitionBy(*keys, "split", case)
+    scored = met.withColumn("score", F.round(div(F.avg(trained).over(of_case), F.stddev_pop(trained).over(of_case)), 10))
+    down = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(-F.col("score"))  # the order of a descending sort
+    chosen = scored.withColumn("best", F.min(F.when(F.col("score").isNotNull(), F.struct(down.alias("s"), F.col(case).alias("case")))).over(split))
+    chosen = chosen.where((F.col("role") == "test") & (F.col(case) == F.col("best.case")))
     return chosen.groupBy(*keys, "path").agg(F.count(r).alias("periods"), (F.product(1 + r) - 1).alias("path_return"), F.count_distinct(case).alias("cases"))
 
 

@@ -39,10 +39,11 @@ def _among(columns: list[str], out: Column) -> Column:
     return F.when(whole, out)
 
 
-def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None, parts: int | None = None) -> DataFrame:
+def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None, parts: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keys and one column per factor, without the window length in its name.
 
-    parts: partitions of the cross-sections (see windows.deal).
+    parts: partitions of the cross-sections (see windows.deal). keep: columns of the bars to give out as well, beside factors
+    that need no cross-section.
     """
     unknown = sorted(set(names or ()) - set(NAMES))
     if unknown:
@@ -85,7 +86,9 @@ def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None, par
     )
     wanted = names or NAMES
     if set(wanted) <= set(DIRECT):
-        return df.select(*KEYS, *wanted)
+        return df.select(*KEYS, *keep, *wanted)
+    if keep:
+        raise ValueError("columns are kept beside factors of single assets only")
     df = w.steps(
         w.deal(df.select(*KEYS, *DIRECT), parts),
         {"market_momentum": F.median("momentum").over(w.cross()), "momentum_sd": F.stddev_pop("momentum").over(w.cross())},
@@ -119,8 +122,8 @@ def technical(bars: DataFrame, n: int, names: tuple[str, ...] | None = None, par
     return df.select(*KEYS, *wanted)
 
 
-def long_form(wide: DataFrame, names: list[str], lookback: int, suffix: str = "") -> DataFrame:
-    """(date, asset_id, market, factor_name, factor_value, lookback_window), one row per factor."""
-    renamed = wide.select(*KEYS, *[F.col(n).cast("double").alias(f"{n}{suffix}") for n in names])
-    out = renamed.unpivot(KEYS, [f"{n}{suffix}" for n in names], "factor_name", "factor_value")
-    return out.withColumn("lookback_window", F.lit(lookback))
+def long_form(wide: DataFrame, names: list[str], lookback: int, suffix: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(date, asset_id, market, factor_name, factor_value, lookback_window, kept columns), one row per factor."""
+    renamed = wide.select(*KEYS, *keep, *[F.col(n).cast("double").alias(f"{n}{suffix}") for n in names])
+    out = renamed.unpivot([*KEYS, *keep], [f"{n}{suffix}" for n in names], "factor_name", "factor_value").withColumn("lookback_window", F.lit(lookback))
+    return out.select(*[c for c in out.columns if c not in keep], *keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import panel
@@ -99,12 +99,21 @@ def study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return technical.long_form(wide, ["momentum", "volume_change"], 5, "_5"), labels.forward_returns(b, (1, 5))
 
 
+def study_rows(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """evaluate.merged() of study(), without its join. more: further columns of a bar."""
+    more = more or {}
+    b = panel.bars(spark, sf_dir).withColumns(more)
+    wide = technical.technical(b, 5, ("momentum", "volume_change"), keep=("adj_close", *more))
+    rows = labels.labelled(wide, ["momentum", "volume_change"], (1, 5), suffix="_5", keep=tuple(more), parts=panel.parts(spark, sf_dir))
+    return rows, ["date", "market", "factor_name", "horizon", "execution_lag"]
+
+
 _t = lambda c: f"CASE WHEN n >= 3 AND {c} IS NOT NULL THEN round(CASE WHEN abs({c}) >= 1 - 1e-12 THEN NULL ELSE {c} * sqrt((n - 2) / (1 - {c} * {c})) END, 5) + 0.0 END"
 
 
 @register("ic_daily", f"WITH {_IC} SELECT {_G}, n AS count, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic, {_t('ic')} AS ic_t_stat, {_t('rank_ic')} AS rank_ic_t_stat FROM ic0")
 def ic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ic = evaluate.information_coefficient(*study(spark, sf_dir), p_values=False)
+    ic = evaluate.correlations(*study_rows(spark, sf_dir), p_values=False)
     # a perfect correlation is 1 only up to rounding: its statistic is not compared
     t = lambda c: F.when(F.abs(c) < 1 - 1e-12, F.round(f"{c}_t_stat", 5) + F.lit(0.0)).alias(f"{c}_t_stat")
     return ic.select("date", "market", "factor_name", "horizon", "execution_lag", "count", (F.round("ic", 6) + F.lit(0.0)).alias("ic"), (F.round("rank_ic", 6) + F.lit(0.0)).alias("rank_ic"), t("ic"), t("rank_ic"))
@@ -112,7 +121,7 @@ def ic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ic_p_values")
 def ic_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.information_coefficient(*study(spark, sf_dir))
+    return evaluate.correlations(*study_rows(spark, sf_dir))
 
 
 _GROUPS = f"""{_STUDY},
@@ -122,12 +131,12 @@ groups AS (SELECT {_G}, quantile, avg(forward_return) AS m, count(*) AS n FROM p
 
 @register("quantile_returns", f"WITH {_GROUPS} SELECT {_G}, quantile, round(m, 6) AS mean_forward_return, n AS count FROM groups")
 def quantile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.quantile_returns(*study(spark, sf_dir)).withColumn("mean_forward_return", F.round("mean_forward_return", 6))
+    return evaluate.bucket_returns(*study_rows(spark, sf_dir)).withColumn("mean_forward_return", F.round("mean_forward_return", 6))
 
 
 @register("long_short", f"WITH {_GROUPS} SELECT a.date, a.market, a.factor_name, a.horizon, a.execution_lag, round(a.m - b.m, 6) AS long_short_return FROM groups a JOIN groups b USING (date, market, factor_name, horizon, execution_lag) WHERE a.quantile = 5 AND b.quantile = 1")
 def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.long_short(evaluate.quantile_returns(*study(spark, sf_dir))).withColumn("long_short_return", F.round("long_short_return", 6))
+    return evaluate.long_short(evaluate.bucket_returns(*study_rows(spark, sf_dir))).withColumn("long_short_return", F.round("long_short_return", 6))
 
 
 _K = "market, factor_name, horizon, execution_lag"
@@ -142,7 +151,7 @@ g AS (SELECT a.market, a.factor_name, a.horizon, a.execution_lag, sum(CASE WHEN
 SELECT market, factor_name, horizon, execution_lag, n, max_lag, round(mu, 6) AS mean_ic, round(mu / sd, 6) AS icir, round(pos, 6) AS positive_rate, round(mu / sqrt(greatest(g / (n - 1), 0) / n), 5) AS nw_t_stat
 FROM l JOIN g USING ({_K})""")
 def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate.ic_summary(evaluate.information_coefficient(*study(spark, sf_dir), p_values=False), p_values=False)
+    out = evaluate.ic_summary(evaluate.correlations(*study_rows(spark, sf_dir), p_values=False), p_values=False)
     return out.select("market", "factor_name", "horizon", "execution_lag", "n", "max_lag", *[F.round(c, 6).alias(c) for c in ("mean_ic", "icir", "positive_rate")], F.round("nw_t_stat", 5).alias("nw_t_stat"))
 
 

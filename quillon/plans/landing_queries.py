@@ -75,7 +75,7 @@ r AS (SELECT *, count(*) OVER w0 AS m, row_number() OVER (PARTITION BY market, f
 SELECT market, factor_name, horizon, date, round(least(1.0, min(p * m / k) OVER (PARTITION BY market, factor_name, horizon ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh_p_value, round(least(1.0, p * m), 6) AS bonferroni_p_value FROM r""")
 def false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step-up adjustment over a bound of each date's p-value, which SQL can state as well."""
-    ic = evaluate.information_coefficient(*core_queries.study(spark, sf_dir), p_values=False).where("rank_ic is not null")
+    ic = evaluate.correlations(*core_queries.study_rows(spark, sf_dir), p_values=False).where("rank_ic is not null")
     p = F.exp(-F.abs(F.round("rank_ic", 9)) * F.sqrt("count"))
     out = evaluate.benjamini_hochberg(ic.withColumn("p", p), "p", ["market", "factor_name", "horizon"], ["date"])
     return out.select("market", "factor_name", "horizon", "date", F.round("bh_p_value", 6).alias("bh_p_value"), F.round("bonferroni_p_value", 6).alias("bonferroni_p_value"))
@@ -84,6 +84,6 @@ def false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("false_discovery_ic")
 def false_discovery_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step-up adjustment of the p-values of each date's rank correlation; the normal distribution is beyond SQL."""
-    ic = evaluate.information_coefficient(*core_queries.study(spark, sf_dir)).where("rank_ic_p_value is not null")
+    ic = evaluate.correlations(*core_queries.study_rows(spark, sf_dir)).where("rank_ic_p_value is not null")
     out = evaluate.benjamini_hochberg(ic, "rank_ic_p_value", ["market", "factor_name", "horizon"], ["date"])
     return out.select("market", "factor_name", "horizon", "date", "rank_ic_p_value", "bh_p_value", "bonferroni_p_value")

@@ -192,7 +192,7 @@ ls AS (SELECT a.market, CASE a.factor_name WHEN 'momentum_5' THEN 0 ELSE 1 END *
 
 
 def case_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ls = evaluate.long_short(evaluate.quantile_returns(*core_queries.study(spark, sf_dir)))
+    ls = evaluate.long_short(evaluate.bucket_returns(*core_queries.study_rows(spark, sf_dir)))
     no = F.when(F.col("factor_name") == "momentum_5", 0).otherwise(2) + F.when(F.col("horizon") == 1, 0).otherwise(1)
     return ls.select("market", no.cast("int").alias("case_no"), "date", F.col("long_short_return").alias("period_return"))
 

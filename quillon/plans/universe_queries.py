@@ -267,7 +267,7 @@ def macro_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 mt AS (SELECT i.market, i.factor_name, i.horizon, i.rank_ic, coalesce(k.state, 'unknown') AS state FROM (SELECT * FROM ic0 WHERE rank_ic IS NOT NULL) i ASOF LEFT JOIN kn k ON i.date >= k.known_from)
 SELECT market, factor_name, horizon, state, count(*) AS n, {_R('avg(rank_ic)')} AS mean_ic, {_R('CASE WHEN count(*) > 1 THEN avg(rank_ic) * sqrt(count(*)) / CASE WHEN stddev_samp(rank_ic) > 1e-12 THEN stddev_samp(rank_ic) END END', 5)} AS t_stat, {_R('avg(CAST(round(rank_ic, 9) > 0 AS DOUBLE))')} AS positive_rate FROM mt GROUP BY market, factor_name, horizon, state""")
 def state_conditioned_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ic = evaluate.information_coefficient(*core_queries.study(spark, sf_dir), p_values=False).withColumn("rank_ic", F.round("rank_ic", 12))
+    ic = evaluate.correlations(*core_queries.study_rows(spark, sf_dir), p_values=False).withColumn("rank_ic", F.round("rank_ic", 12))
     out = states.state_conditioned_ic(ic, _states(spark, sf_dir), ["market", "factor_name", "horizon"])
     return out.select("market", "factor_name", "horizon", "state", "n", (F.round("mean_ic", 6) + F.lit(0.0)).alias("mean_ic"), (F.round("t_stat", 5) + F.lit(0.0)).alias("t_stat"), (F.round("positive_rate", 6) + F.lit(0.0)).alias("positive_rate"))
 
