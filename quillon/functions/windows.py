@@ -278,20 +278,26 @@ def steps(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
     return df
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], counts: tuple[str, str] | None = None) -> DataFrame:
     """(keys, names): interpolated quantiles without a table of all values in the memory of one task.
 
     Equal values are counted map-side, then ordered within the key, where the sort may spill; a quantile is what stands at
-    the two places around it. NULLs do not count; a key without values has NULL.
+    the two places around it. NULLs do not count; a key without values has NULL. Quantiles of one value (the same Column object)
+    share its order.
+    counts: names for the number of rows, and of values of the first one, where they are wanted as well.
     """
-    rows = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("__name"), c.cast("double").alias("__value")) for n, (c, _) in wanted.items()])))
-    counts = rows.groupBy(*keys, "__name", "__value").agg(F.count("__value").alias("__n"))
+    first = {n: next(m for m in wanted if wanted[m][0] is wanted[n][0]) for n in wanted}
+    own = list(dict.fromkeys(first.values()))
+    rows = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("__name"), wanted[n][0].cast("double").alias("__value")) for n in own])))
+    counted = rows.groupBy(*keys, "__name", "__value").agg(F.count("__value").alias("__n"), F.count(F.lit(1)).alias("__rows"))
     order = Window.partitionBy(*keys, "__name").orderBy("__value")
-    placed = counts.withColumns({"__upto": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(Window.partitionBy(*keys, "__name"))})
+    placed = counted.withColumns({"__upto": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(Window.partitionBy(*keys, "__name"))})
     at = {}
     for n, (_, q) in wanted.items():
         place = F.lit(q) * (F.col("__all") - 1)
-        inside = lambda i: (F.col("__name") == n) & (F.col("__n") > 0) & (i >= F.col("__upto") - F.col("__n")) & (i < F.col("__upto"))  # noqa: B023, E731
+        inside = lambda i: (F.col("__name") == first[n]) & (F.col("__n") > 0) & (i >= F.col("__upto") - F.col("__n")) & (i < F.col("__upto"))  # noqa: B023, E731
         low, high = (F.max(F.when(inside(f(place)), F.col("__value"))) for f in (F.floor, F.ceil))
-        at[n] = low + (high - low) * F.max(F.when(F.col("__name") == n, place - F.floor(place)))
+        at[n] = low + (high - low) * F.max(F.when(F.col("__name") == first[n], place - F.floor(place)))
+    if counts:
+        at |= {c: F.sum(F.when(F.col("__name") == own[0], F.col(x))) for c, x in zip(counts, ("__rows", "__n"))}
     return placed.groupBy(*keys).agg(*[c.alias(n) for n, c in at.items()])

@@ -145,8 +145,7 @@ def top_capacity(rows: DataFrame, keys: list[str], amount: str, value: float, po
     placed = rows.withColumns({"bucket": w.edge_bucket("factor_value", q, date_keys), "size": F.count("factor_value").over(Window.partitionBy(*date_keys))})
     top = placed.where((F.col("size") >= least) & (F.col("bucket") == q - 1))
     paid = F.when(F.col(amount) > 0, F.col(amount))
-    out = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.count(paid).alias("with_amount"))
-    out = out.join(w.exact_quantiles(top, keys, {"median_amount": (paid, 0.5), "p10_amount": (paid, 0.1)}), keys)
+    out = w.exact_quantiles(top, keys, {"median_amount": (paid, 0.5), "p10_amount": (paid, 0.1)}, counts=("observations", "with_amount"))
     share = F.lit(value / positions) / F.nullif(F.col("p10_amount"), F.lit(0.0))
     return out.withColumns({"coverage": F.col("with_amount") / F.col("observations"), "participation": share, "within_limit": F.coalesce(share <= limit, F.lit(False))})
 

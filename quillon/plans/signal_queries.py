@@ -151,10 +151,9 @@ t AS (SELECT *, CASE WHEN adv > 0 THEN adv END AS paid FROM p WHERE size >= 5 AN
 a AS (SELECT market, factor_name, horizon, execution_lag, count(*) AS observations, count(paid) AS with_amount, median(paid) AS median_amount, quantile_cont(paid, 0.1) AS p10_amount FROM t GROUP BY ALL)
 SELECT market, factor_name, horizon, execution_lag, observations, with_amount, round(median_amount, 2) AS median_amount, round(p10_amount, 2) AS p10_amount, round(with_amount / observations, 6) AS coverage, round(5000.0 / p10_amount, 6) AS participation, coalesce(5000.0 / p10_amount <= 0.2, false) AS within_limit FROM a""")
 def top_quantile_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, keys = evaluate.merged(*core_queries.study(spark, sf_dir))
-    amounts = panel.bars(spark, sf_dir).select("asset_id", "date", w.mean("amount", 20).alias("adv"))
+    rows, keys = core_queries.study_rows(spark, sf_dir, {"adv": w.mean("amount", 20)})
     keys = [k for k in keys if k != "date"]
-    out = signals.top_capacity(rows.join(amounts, ["asset_id", "date"], "left"), keys, "adv", 50_000.0, 10, 0.2, 5)
+    out = signals.top_capacity(rows, keys, "adv", 50_000.0, 10, 0.2, 5)
     return out.select(*keys, "observations", "with_amount", F.round("median_amount", 2).alias("median_amount"), F.round("p10_amount", 2).alias("p10_amount"), F.round("coverage", 6).alias("coverage"), F.round("participation", 6).alias("participation"), "within_limit")
 
 
