@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import panel
@@ -16,10 +16,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY date, market ORDER BY factor_val
 top AS (SELECT * EXCLUDE k, 1.0 / count(*) OVER (PARTITION BY date, market) AS target_weight FROM r WHERE k <= 3)"""
 
 
-def momentum(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bars = panel.bars(spark, sf_dir)
-    rows = technical.long_form(technical.technical(bars, 5, ("momentum",)), ["momentum"], 5, "_5")
-    return bars, rows.join(bars.select("asset_id", "date", "industry"), ["asset_id", "date"])
+def momentum(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The bars, and momentum in long form with the industry. more: further columns of a bar, to be carried along."""
+    bars, more = panel.bars(spark, sf_dir), more or {}
+    wide = technical.technical(bars.withColumns(more), 5, ("momentum",), keep=("industry", *more)).where("asset_id is not null and date is not null")
+    return bars, technical.long_form(wide, ["momentum"], 5, "_5", ("industry", *more))
 
 
 @register("select_top", f"WITH {_TOP} SELECT date, market, factor_name, asset_id, round(factor_value, 6) + 0.0 AS factor_value, round(target_weight, 6) AS target_weight FROM top")
@@ -56,8 +57,8 @@ trades AS (SELECT *, gross - cost_rate AS net, target_weight * (gross - cost_rat
 _R = lambda c, n=6: f"round({c}, {n}) + 0.0"
 
 
-def trades_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bars, f = momentum(spark, sf_dir)
+def trades_of(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    bars, f = momentum(spark, sf_dir, more)
     flags = bars.withColumns({"entry_tradeable": F.col("volume") >= 12, "exit_tradeable": F.col("volume") >= 20})
     return bars, portfolio.build_trades(portfolio.select_top(f, 3), flags, lag=1, hold=2, cost_bps=5.0, impact=10.0, limit=2.0, max_days=40, value=200_000.0)
 

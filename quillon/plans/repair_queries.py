@@ -120,10 +120,10 @@ _TEMPLATE = f"{_T}, cu AS (SELECT market, exit_date AS date, sum(weighted) AS ba
 
 def excluded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A template of returns that lacks some periods, and the contributions of trades that a price-volume rule flags."""
-    bars, t = portfolio_queries.trades_of(spark, sf_dir)
     p, low = F.col("adj_close"), w.lowest("low", 9)
-    ft = bars.select("asset_id", F.col("date").alias("signal_date"), w.change(p, 5).alias("return_5"), w.div(w.mean("amount", 3), w.mean("amount", 9)).alias("amount_trend"), w.div(p - low, w.highest("high", 9) - low).alias("close_location"))
-    done = t.where("reject is null").join(ft, ["asset_id", "signal_date"])
+    rule = {"return_5": w.change(p, 5), "amount_trend": w.div(w.mean("amount", 3), w.mean("amount", 9)), "close_location": w.div(p - low, w.highest("high", 9) - low)}
+    t = portfolio_queries.trades_of(spark, sf_dir, rule)[1]
+    done = t.where("reject is null")
     flag = overlays.within({"return_5": (0.05, None), "amount_trend": (None, 1.2), "close_location": (0.3, None)})
     template = portfolio.equity(t, ["market"]).drop("equity").where(F.weekofyear("date") % 6 != 0)
     return template, overlays.flagged_contributions(done, flag, ["market"])
