@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import div
-from .asof import asof_global
+from .asof import asof_by_key
 
 
 def macro_states(releases: DataFrame, flat: float) -> DataFrame:
@@ -26,10 +26,13 @@ def macro_states(releases: DataFrame, flat: float) -> DataFrame:
 def state_conditioned_ic(ic: DataFrame, states: DataFrame, keys: list[str], value: str = "rank_ic", lag_days: int = 1) -> DataFrame:
     """(keys, state, n, mean_ic, t_stat, positive_rate): daily correlations by the state known on the date.
 
-    A release counts from ``lag_days`` after its day. Only the distinct dates meet the states; correlations are joined by date.
+    A release counts from ``lag_days`` after its day. A date's correlations are one array that meets the states, so that
+    correlations are computed once and not again for their dates; there are as many as dates, keys and factors.
     """
-    known = states.select(F.date_add("release_date", lag_days).alias("known_from"), "state")
-    met = asof_global(ic.where(F.col(value).isNotNull()), known, "date", "known_from", ["state"]).withColumn("state", F.coalesce("state", F.lit("unknown")))
+    known = states.groupBy(F.date_add("release_date", lag_days).alias("known_from")).agg(F.max("state").alias("state")).withColumn("__all", F.lit(0))
+    days = ic.where(F.col(value).isNotNull()).groupBy("date").agg(F.collect_list(F.struct(*keys, value)).alias("__of_day")).withColumn("__all", F.lit(0))
+    hit = asof_by_key(days, known, ["__all"], "date", "known_from", ["state"])
+    met = hit.select(F.coalesce("state", F.lit("unknown")).alias("state"), F.inline("__of_day"))
     v = F.col(value)
     out = met.groupBy(*keys, "state").agg(F.count(v).alias("n"), F.avg(v).alias("mean_ic"), F.stddev_samp(v).alias("sd"), F.avg((v > 0).cast("double")).alias("positive_rate"))
     return out.withColumn("t_stat", F.when(F.col("n") > 1, div(F.col("mean_ic") * F.sqrt("n"), F.when(F.col("sd") > 1e-12, F.col("sd"))))).drop("sd")
