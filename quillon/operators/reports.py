@@ -76,11 +76,12 @@ def purged_folds(curves: DataFrame, keys: list[str], groups: int, chosen: int, g
         raise ValueError("combinations of two test groups are built")
     n = curves.select(*keys, "date").distinct().withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
     n = n.withColumn("g", F.floor((F.col("i") - 1) * groups / F.count(F.lit(1)).over(Window.partitionBy(*keys))).cast("int"))
-    spans = n.groupBy(*keys, "g").agg(F.min("i").alias("a"), F.max("i").alias("z"))
-    left = spans.select(*keys, F.col("g").alias("g1"), F.col("a").alias("a1"), F.col("z").alias("z1"))
-    right = spans.select(*keys, F.col("g").alias("g2"), F.col("a").alias("a2"), F.col("z").alias("z2"))
-    splits = left.join(right, keys).where("g1 < g2").withColumn("split", F.col("g1") * groups + F.col("g2"))
-    every = n.join(splits, keys)
+    # a key's runs are at most ``groups``, gathered beside its dates: the curves are not computed again for them
+    of_run = Window.partitionBy(*keys, "g")
+    runs = n.withColumn("run", F.struct("g", F.min("i").over(of_run).alias("a"), F.max("i").over(of_run).alias("z")))
+    runs = runs.withColumn("runs", F.collect_set("run").over(Window.partitionBy(*keys)))
+    left = runs.select(*keys, "date", "i", "g", "runs", F.inline("runs").alias("g1", "a1", "z1"))
+    every = left.select(*keys, "date", "i", "g", "g1", "a1", "z1", F.inline("runs").alias("g2", "a2", "z2")).where("g1 < g2").withColumn("split", F.col("g1") * groups + F.col("g2"))
     near = lambda a, z: F.col("i").between(F.col(a) - gap, F.col(z) + gap)
     role = F.when((F.col("g") == F.col("g1")) | (F.col("g") == F.col("g2")), "test").when(near("a1", "z1") | near("a2", "z2"), "purged").otherwise("train")
     return every.select(*keys, "split", "date", role.alias("role"))

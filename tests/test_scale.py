@@ -144,3 +144,34 @@ def test_residual_risk_takes_no_frames_row_by_row(spark, sf_dir):
 
     found = plan(residuals.residual_risk(panel.bars(spark, sf_dir), parts=8))
     assert "specifiedwindowframe(RowFrame, -119" not in found and found.count("REPARTITION_BY_NUM") == 2
+
+
+def scans(df, column="l_extendedprice:double"):
+    return plan(df).count(column)
+
+
+def test_factors_and_labels_are_one_narrow_row(spark, sf_dir):
+    from quillon.operators import evaluate
+    from quillon.plans import core_queries
+
+    rows, keys = core_queries.study_rows(spark, sf_dir)
+    joined, joined_keys = evaluate.merged(*core_queries.study(spark, sf_dir))
+    assert keys == joined_keys and scans(rows) == 1 and plan(rows).count("Exchange hashpartitioning(date") == 1
+    columns = [*keys, "asset_id", "factor_value", "forward_return"]
+    assert sorted(rows.select(columns).collect()) == sorted(joined.select(columns).collect())
+
+
+def test_curves_are_not_computed_again_for_folds_states_and_amounts(spark, sf_dir):
+    from quillon.plans import registry
+
+    assert scans(registry.QUERIES["purged_folds"](spark, sf_dir)) == 1
+    assert scans(registry.QUERIES["state_conditioned_ic"](spark, sf_dir)) == 1
+    assert scans(registry.QUERIES["top_quantile_capacity"](spark, sf_dir)) == 1
+    assert scans(registry.QUERIES["combination_paths"](spark, sf_dir)) == 2  # curves, and the dates of their groups
+
+
+def test_trades_carry_what_rules_look_at(spark, sf_dir):
+    from quillon.plans import registry
+
+    # signals and prices of trades, for the template and for the flagged trades
+    assert scans(registry.QUERIES["trade_exclusion_unmatched"](spark, sf_dir)) == 4
