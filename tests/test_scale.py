@@ -162,16 +162,18 @@ def test_factors_and_labels_are_one_narrow_row(spark, sf_dir):
 
 
 def test_curves_are_not_computed_again_for_folds_states_and_amounts(spark, sf_dir):
-    from quillon.plans import registry
+    import __spark_entry__ as entry
 
-    assert scans(registry.QUERIES["purged_folds"](spark, sf_dir)) == 1
-    assert scans(registry.QUERIES["state_conditioned_ic"](spark, sf_dir)) == 1
-    assert scans(registry.QUERIES["top_quantile_capacity"](spark, sf_dir)) == 1
-    assert scans(registry.QUERIES["combination_paths"](spark, sf_dir)) == 2  # curves, and the dates of their groups
+    queries = entry.queries()
+    assert scans(queries["purged_folds"](spark, sf_dir)) == 1
+    assert scans(queries["state_conditioned_ic"](spark, sf_dir)) == 1
+    assert scans(queries["top_quantile_capacity"](spark, sf_dir)) == 1
+    assert scans(queries["combination_paths"](spark, sf_dir)) == 2  # curves, and the dates of their groups
 
 
 def test_trades_carry_what_rules_look_at(spark, sf_dir):
-    from quillon.plans import registry
+    import __spark_entry__ as entry
 
+    queries = entry.queries()
     # signals and prices of trades, for the template and for the flagged trades
-    assert scans(registry.QUERIES["trade_exclusion_unmatched"](spark, sf_dir)) == 4
+    assert scans(queries["trade_exclusion_unmatched"](spark, sf_dir)) == 4
