@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import panel
 from ..functions import windows as w
 from ..operators import peers
+from ..sources import store
 from . import sqltext as s
 from .registry import register, rounded
 
@@ -90,8 +91,13 @@ SELECT market, valid_from, valid_to, source_end, asset_id, peer_asset_id, n AS p
 
 @register("comovement_peers", _COMOVING)
 def comovement_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = panel.bars(spark, sf_dir)
-    schedule = peers.rebalance_schedule(bars, (1, 4, 7, 10), N)
-    left = peers.window_residuals(bars, schedule, RETURNS, ASSETS, PAIRS)
-    out = peers.comovement_peers(left, schedule, MOST, LEAST, PAIRS, CORRELATION, peers.blocks_for(left))
+    # read for the calendar, the medians and the residuals: 12 bytes a bar, where the order lines take some 25
+    parts = panel.parts(spark, sf_dir)
+    held = store.cut(peers.histories(panel.bars(spark, sf_dir)))
+    held = held.coalesce(-(-parts // 8)) if parts else held
+    schedule = peers.rebalance_schedule(peers.days_of(held), (1, 4, 7, 10), N)
+    left = peers.residuals_of(held, schedule, RETURNS, ASSETS, PAIRS)
+    most = panel.assets(spark, sf_dir).withColumn("valid_from", F.lit(0))  # no window has more assets than its market
+    blocks = peers.blocks_for(most, peers.TASK_ASSETS)
+    out = peers.comovement_peers(left, schedule, MOST, LEAST, PAIRS, CORRELATION, blocks, parts)
     return rounded(out, ["market", "valid_from", "valid_to", "source_end", "asset_id", "peer_asset_id", "pair_observations", "peer_rank", "peer_count"], ["similarity"])

@@ -45,6 +45,11 @@ def scan(spark: SparkSession, path: str, market: str | None = None, start: date
     return df.select(*columns) if columns else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, materialised in the folder of spark.checkpoint.dir, for several readers; where none is set, each reader runs it again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 

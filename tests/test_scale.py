@@ -89,6 +89,26 @@ def test_blocks_of_peers_are_few(spark):
     assert peers.blocks_for(sizes) == 2
 
 
+def test_peers_meet_once_and_arrays_are_sent_once_a_block(spark):
+    from quillon.operators import peers
+
+    sizes = spark.range(72_000).selectExpr("'m' as market", "date'2020-01-01' as valid_from", "id as asset_id")
+    assert peers.blocks_for(sizes, peers.TASK_ASSETS) == 1
+    rows = [tuple(r) for r in peers.to_blocks(sizes.where("asset_id < 60"), 4).select("asset_id", "own", "low", "high").collect()]
+    assert len(rows) == 4 * 60
+    pairs = [(a, b) for a, own, low, high in rows for b, its, *at in rows if a < b and at == [low, high] and (own != its or low == high)]
+    assert sorted(pairs) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_windows_of_peers_are_cut_where_the_assets_lie(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    found = plan(entry.queries()["comovement_peers"](spark, sf_dir))
+    assert "l_suppkey" not in found and found.count("Exchange hashpartitioning(market#") <= 12
+    by_asset = [line for line in found.splitlines() if "Exchange hashpartitioning(market#" in line and "asset_id#" in line]
+    assert len(by_asset) == 1  # the edges found; no window of an asset is shuffled to be made
+
+
 def test_correlated_cross_sections_are_dealt_in_step(spark):
     from quillon.operators import evaluate
 
